@@ -63,12 +63,19 @@ class _Range:
 
     def bucket(self) -> Column:
         lo, c = (self.lo2, "k2") if self.on_id else (self.lo1, "k1")
-        return F.floor((F.col(c) - F.lit(lo)) / F.lit(self.width())).cast("long")
+        # exact integer division (keys may use all 60+ bits; a double would round)
+        return F.expr(f"({c} - CAST({lo} AS BIGINT)) div CAST({self.width()} AS BIGINT)")
 
 
 def nth_keys(df: DataFrame, ts: str, key: str, ranks: list[int]) -> list[tuple[int, int] | None]:
     """Exact ``(unix_micros(ts), id)`` of the rows at the given 1-based ranks."""
-    keys = _keys(df, ts, key)
+    return nth_pairs(_keys(df, ts, key), ranks, ts)
+
+
+def nth_pairs(keys: DataFrame, ranks: list[int], what: str = "k1") -> list[tuple[int, int] | None]:
+    """Exact ``(k1, k2)`` at the given 1-based ranks of ``(k1, k2)`` order;
+    ``keys`` has two long columns ``k1`` and ``k2`` (``k2`` unique)."""
+    ts = what
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k1").isNull()).alias("nulls"),
                      F.min("k1").alias("lo"), F.max("k1").alias("hi"),
                      F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).first()
