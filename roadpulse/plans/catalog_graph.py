@@ -1 +1,121 @@
-"""Catalogue module (filled in as operators land)."""
+"""Catalogue: graph collapse, edge betweenness, centrality lookup."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roadpulse.operators import graph
+from roadpulse.plans.adapters import X4_SQL, x4_edges
+from roadpulse.plans.registry import query
+from roadpulse.sources.tables import table
+
+PIVOTS = 5
+
+_BASE = f"""WITH RECURSIVE e AS ({X4_SQL}),
+  arcs AS (SELECT u AS a, v AS b, w FROM e WHERE u <> v UNION ALL SELECT v, u, w FROM e WHERE u <> v),
+  nodes AS (SELECT u AS node FROM e UNION SELECT v FROM e),
+  d1 AS (SELECT s, t, min(d) AS d FROM (SELECT a AS s, b AS t, w AS d FROM arcs UNION ALL
+                                         SELECT node, node, 0 FROM nodes) GROUP BY 1, 2),
+  d2 AS (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d1 x JOIN d1 y ON x.t = y.s GROUP BY 1, 2),
+  d4 AS (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d2 x JOIN d2 y ON x.t = y.s GROUP BY 1, 2),
+  d8 AS (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d4 x JOIN d4 y ON x.t = y.s GROUP BY 1, 2),
+  d16 AS (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d8 x JOIN d8 y ON x.t = y.s GROUP BY 1, 2),
+  dist AS (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d16 x JOIN d16 y ON x.t = y.s GROUP BY 1, 2),
+  tight AS (SELECT x.s, a.a, a.b FROM arcs a JOIN dist x ON x.t = a.a JOIN dist y ON y.s = x.s AND y.t = a.b
+            WHERE x.d + a.w = y.d),
+  paths(s, node) AS (SELECT node, node FROM nodes UNION ALL
+                     SELECT p.s, t.b FROM paths p JOIN tight t ON t.s = p.s AND t.a = p.node),
+  sigma AS (SELECT s, node, count(*)::DOUBLE AS sg FROM paths GROUP BY 1, 2),
+  piv AS (SELECT node FROM nodes ORDER BY md5('42:' || CAST(node AS VARCHAR)), node LIMIT {PIVOTS}),
+  cred AS (SELECT t.s, least(t.a, t.b) AS u, greatest(t.a, t.b) AS v, sa.sg * sb.sg / sst.sg AS c
+           FROM tight t
+           JOIN sigma sa ON sa.s = t.s AND sa.node = t.a
+           JOIN dist dsb ON dsb.s = t.s AND dsb.t = t.b
+           JOIN dist dbt ON dbt.s = t.b
+           JOIN dist dst ON dst.s = t.s AND dst.t = dbt.t
+           JOIN sigma sb ON sb.s = t.b AND sb.node = dbt.t
+           JOIN sigma sst ON sst.s = t.s AND sst.node = dbt.t
+           WHERE dbt.t <> t.s AND dsb.d + dbt.d = dst.d),
+  n AS (SELECT count(*)::DOUBLE AS n FROM nodes)"""
+
+
+def nation_edges(spark, sf_dir):
+    return x4_edges(spark, sf_dir)
+
+
+@query("edge_betweenness", f"""{_BASE}
+SELECT e.u, e.v, round(coalesce(c, 0e0) / (n * (n - 1)), 12) AS centrality
+FROM e LEFT JOIN (SELECT u, v, sum(c) AS c FROM cred GROUP BY 1, 2) USING (u, v), n""")
+def q_edge_betweenness(spark, sf_dir):
+    eb = graph.edge_betweenness(nation_edges(spark, sf_dir))
+    return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
+
+
+@query("edge_betweenness_pivots", f"""{_BASE}
+SELECT e.u, e.v, round(coalesce(c, 0e0) * (n / {PIVOTS}) / (n * (n - 1)), 12) AS centrality
+FROM e LEFT JOIN (SELECT u, v, sum(c) AS c FROM cred WHERE s IN (SELECT node FROM piv) GROUP BY 1, 2)
+USING (u, v), n""")
+def q_edge_betweenness_pivots(spark, sf_dir):
+    eb = graph.edge_betweenness(nation_edges(spark, sf_dir), k=PIVOTS)
+    return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
+
+
+def _nation_arcs(spark, sf_dir):
+    """Directed multigraph: one arc per line item, customer nation -> supplier
+    nation, length = extended price (self-loops and parallels included)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+            .join(s, F.col("l_suppkey") == s.s_suppkey)
+            .select(F.col("c_nationkey").cast("long").alias("u"), F.col("s_nationkey").cast("long").alias("v"),
+                    F.col("l_extendedprice").alias("length")))
+
+
+_ARCS_SQL = """SELECT CAST(c_nationkey AS BIGINT) AS u, CAST(s_nationkey AS BIGINT) AS v, l_extendedprice AS length
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey"""
+
+
+@query("collapse_graph", f"""WITH arcs AS ({_ARCS_SQL})
+SELECT least(u, v) AS u, greatest(u, v) AS v, round(min(coalesce(length, 1e0)), 6) AS length, count(*) AS n_parallel
+FROM arcs GROUP BY 1, 2""")
+def q_collapse_graph(spark, sf_dir):
+    c = graph.collapse_simple(_nation_arcs(spark, sf_dir))
+    return c.select("u", "v", F.round("length", 6).alias("length"), "n_parallel")
+
+
+@query("graph_metadata", f"""WITH arcs AS ({_ARCS_SQL}),
+  simple AS (SELECT least(u, v), greatest(u, v), count(*) AS n_parallel FROM arcs GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM arcs) AS n_edges_before, (SELECT count(*) FROM simple) AS n_edges_after,
+       (SELECT sum(n_parallel - 1) FROM simple)::BIGINT AS n_collapsed, (SELECT count(*) FROM nation) AS n_nodes,
+       'exact' AS method, (SELECT count(*) FROM nation) AS k_pivots, 42 AS seed""")
+def q_graph_metadata(spark, sf_dir):
+    arcs = _nation_arcs(spark, sf_dir)
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"))
+    return graph.graph_metadata(arcs, graph.collapse_simple(arcs), nodes)
+
+
+@query("assign_centrality", f"""{_BASE},
+  eb AS (SELECT e.u, e.v, coalesce(c, 0e0) / (n * (n - 1)) AS centrality
+         FROM e LEFT JOIN (SELECT u, v, sum(c) AS c FROM cred GROUP BY 1, 2) USING (u, v), n),
+  inc AS (SELECT l_orderkey, l_linenumber, c_nationkey AS nu, s_nationkey AS nv
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+          JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_orderkey, l_linenumber, round(eb.centrality, 12) AS centrality_score
+FROM inc LEFT JOIN eb ON eb.u = least(nu, nv) AND eb.v = greatest(nu, nv)""")
+def q_assign_centrality(spark, sf_dir):
+    """Every line item is an incident snapped to the (customer, supplier)
+    nation edge, looked up as an unordered pair; same-nation rows miss."""
+    eb = graph.edge_betweenness(nation_edges(spark, sf_dir))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    inc = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+           .join(s, F.col("l_suppkey") == s.s_suppkey)
+           .select("l_orderkey", "l_linenumber", F.col("c_nationkey").cast("long").alias("nearest_u"),
+                   F.col("s_nationkey").cast("long").alias("nearest_v")))
+    out = graph.assign_centrality(inc, eb)
+    return out.select("l_orderkey", "l_linenumber", F.round("centrality_score", 12).alias("centrality_score"))
