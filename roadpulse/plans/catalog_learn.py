@@ -1 +1,92 @@
-"""Catalogue module (filled in as operators land)."""
+"""Catalogue: boosted-tree models (M4-M10, P13, P34). Rows-only checks: a tree
+ensemble has no SQL oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roadpulse.functions import geo, timefn
+from roadpulse.operators import encode, learn, sampling
+from roadpulse.operators.risk import RiskScorer
+from roadpulse.plans.catalog_risk import x5_with_split
+from roadpulse.plans.registry import query
+from roadpulse.session import scratch_path
+
+REG_SPEC = learn.FeatureSpec(numeric=["latitude", "longitude", "hour_of_day", "day_of_week", "month",
+                                      "centrality_score"],
+                             categorical=["event_cause", "corridor", "zone", "junction"])
+CLF_SPEC = learn.FeatureSpec(numeric=["latitude", "longitude", "hour_of_day", "day_of_week", "month",
+                                      "centrality_score", "junction_te", "zone_te", "dist_from_center"],
+                             categorical=["event_cause", "corridor"])
+ITER = 20  # the catalogue keeps training short; the operator default is 100
+Y_REG, Y_CLF = "resolution_minutes", "requires_road_closure"
+
+
+def incidents(spark, sf_dir):
+    """The feature row of every labelled incident."""
+    df = x5_with_split(spark, sf_dir)
+    local = timefn.to_local("split_timestamp")
+    return df.withColumns({"hour_of_day": timefn.hour_of_day(local), "day_of_week": timefn.day_of_week_monday0(local),
+                           "month": timefn.month_of_year(local), "dist_from_center": geo.dist_from_center(),
+                           "is_val": F.col("split") == "val"})
+
+
+def _regressor(spark, sf_dir):
+    learn.assert_no_leak(REG_SPEC, Y_CLF)
+    df = incidents(spark, sf_dir)
+    model = learn.fit_regressor(df.where(F.col("split") != "test"), REG_SPEC, Y_REG, max_iter=ITER)
+    return df, model
+
+
+def _classifier_inputs(spark, sf_dir):
+    df = incidents(spark, sf_dir)
+    tr = df.where(F.col("split") == "train")
+    g = encode.global_mean(tr, Y_CLF)
+    tr = encode.target_encode_oof(encode.target_encode_oof(tr, "junction", Y_CLF, g=g), "zone", Y_CLF, g=g)
+    rest = df.where(F.col("split") != "train")
+    for c in ("junction", "zone"):
+        rest = encode.apply_encoder(rest, encode.encoder_table(df.where(F.col("split") == "train"), c, Y_CLF, g), c, g)
+    tr = sampling.oversample(tr, Y_CLF).drop("copy")
+    return tr, rest
+
+
+def _classifier(spark, sf_dir):
+    learn.assert_no_leak(CLF_SPEC, Y_REG)
+    tr, rest = _classifier_inputs(spark, sf_dir)
+    fit_rows = tr.unionByName(rest.where(F.col("split") == "val"))
+    return rest, learn.fit_classifier(fit_rows, CLF_SPEC, Y_CLF, max_iter=ITER)
+
+
+@query("gbt_regressor")
+def q_gbt_regressor(spark, sf_dir):
+    df, model = _regressor(spark, sf_dir)
+    p = learn.predict_minutes(model, df.where(F.col("split") == "test"), REG_SPEC)
+    return p.select("incident_id", F.round("predicted_resolution_minutes", 6).alias("predicted_resolution_minutes"))
+
+
+@query("gbt_classifier")
+def q_gbt_classifier(spark, sf_dir):
+    rest, model = _classifier(spark, sf_dir)
+    p = learn.predict_probability(model, rest.where(F.col("split") == "test"), CLF_SPEC)
+    return p.select("incident_id", F.round("closure_probability", 6).alias("closure_probability"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    _, model = _regressor(spark, sf_dir)
+    return learn.feature_importance(model, REG_SPEC, scratch_path(spark, "regressor_trees"), top=15)
+
+
+@query("predict")
+def q_predict(spark, sf_dir):
+    """M8 + M13: both models on TEST rows, then the TRAIN-fitted risk scorer."""
+    df, reg = _regressor(spark, sf_dir)
+    rest, clf = _classifier(spark, sf_dir)
+    test = rest.where(F.col("split") == "test")
+    p = learn.predict_probability(clf, test, CLF_SPEC)
+    p = learn.predict_minutes(reg, p.drop("predicted_resolution_minutes"), REG_SPEC)
+    scorer = RiskScorer().fit(df.where(F.col("split") == "train"))
+    s = scorer.score(p)
+    return s.select("incident_id", F.round("closure_probability", 6).alias("closure_probability"),
+                    F.round("predicted_resolution_minutes", 6).alias("predicted_resolution_minutes"),
+                    "cascade_risk_score", "priority")

@@ -1 +1,79 @@
-"""Catalogue module (filled in as operators land)."""
+"""Catalogue: streaming jobs checked against their batch twins (ST1-ST4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roadpulse.functions import risk as rf
+from roadpulse.operators.risk import RiskScorer
+from roadpulse.plans.adapters import X2_SQL
+from roadpulse.plans.catalog_risk import FIT_SQL, x5_with_split
+from roadpulse.plans.registry import query
+from roadpulse.streaming import jobs
+
+
+def _x5_stream(spark, sf_dir):
+    """The X5 shape over a file stream of the events table."""
+    e = jobs.file_stream(spark, sf_dir, "events.parquet")
+    j = F.substring(F.concat(F.lit("J"), F.col("user_id")), 2, 1 << 20).cast("long")
+    return e.select(
+        F.col("event_id").alias("incident_id"),
+        F.col("ts").cast("timestamp").alias("split_timestamp"),
+        F.col("ts").cast("timestamp").alias("event_time"),
+        F.col("event_type").alias("event_cause"),
+        F.concat(F.lit("Z"), F.col("user_id") % 10).alias("zone"),
+        F.concat(F.lit("C"), F.col("user_id") % 23).alias("corridor"),
+        (F.lit(12.65) + ((F.col("event_id") * 7919) % 7000).cast("double") / F.lit(1e4)).alias("latitude"),
+        (F.lit(77.25) + ((F.col("event_id") * 104729) % 7000).cast("double") / F.lit(1e4)).alias("longitude"),
+        F.col("value").alias("resolution_minutes"),
+        (F.col("value") / (F.col("value") + F.lit(60.0))).alias("closure_probability"),
+        (F.col("value") * F.lit(0.8) + F.lit(10.0)).alias("predicted_resolution_minutes"),
+        ((j * j) % 997).cast("double").__truediv__(F.lit(15000.0)).alias("centrality_score"))
+
+
+def _scorer(spark, sf_dir):
+    df = x5_with_split(spark, sf_dir)
+    return RiskScorer().fit(df.where(F.col("split") == "train"))
+
+
+@query("stream_score", f"""{FIT_SQL}
+SELECT 'INC-' || CAST(incident_id AS VARCHAR) AS id, corridor, cascade_risk_score AS crs, priority,
+       {rf.round_half_even_sql('closure_probability', 3)} AS closure_prob FROM banded""")
+def q_stream_score(spark, sf_dir):
+    """ST1: each arriving event is scored with the TRAIN-fitted scorer and appended."""
+    out = jobs.new_run_dir(spark, "score")
+    jobs.run_available_now(jobs.score_stream(_x5_stream(spark, sf_dir), _scorer(spark, sf_dir)), out)
+    return spark.read.parquet(f"{out}/data").select("id", "corridor", "crs", "priority", "closure_prob")
+
+
+@query("stream_corridors", f"""{FIT_SQL}
+SELECT corridor, round(sum(cascade_risk_score), 6) AS total_crs, count(*) AS count FROM banded GROUP BY corridor""")
+def q_stream_corridors(spark, sf_dir):
+    """ST2: running corridor roll-up (complete mode, state in the checkpoint)."""
+    out = jobs.new_run_dir(spark, "corridors")
+    q = jobs.score_stream(_x5_stream(spark, sf_dir), _scorer(spark, sf_dir))
+    jobs.run_available_now(jobs.corridor_totals(q), out, mode="complete", batch_fn=jobs.overwrite_batch)
+    return spark.read.parquet(f"{out}/data").select("corridor", F.round("total_crs", 6).alias("total_crs"), "count")
+
+
+@query("stream_hours", f"""WITH x2 AS ({X2_SQL})
+SELECT strftime(date_trunc('hour', split_timestamp), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
+FROM x2 GROUP BY 1""")
+def q_stream_hours(spark, sf_dir):
+    """ST3: 1-hour tumbling windows on event time with a watermark."""
+    out = jobs.new_run_dir(spark, "hours")
+    jobs.run_available_now(jobs.hourly_counts(_x5_stream(spark, sf_dir)), out, mode="complete",
+                           batch_fn=jobs.overwrite_batch)
+    return spark.read.parquet(f"{out}/data").select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+@query("stream_dedup", """SELECT DISTINCT event_id AS incident_id FROM events""")
+def q_stream_dedup(spark, sf_dir):
+    """ST4: every event is submitted twice (two streams over the same file);
+    the guard keeps one row per id."""
+    a = _x5_stream(spark, sf_dir).select("incident_id", "event_time")
+    b = _x5_stream(spark, sf_dir).select("incident_id", "event_time")
+    out = jobs.new_run_dir(spark, "dedup")
+    jobs.run_available_now(jobs.dedup(a.unionByName(b), "incident_id"), out)
+    return spark.read.parquet(f"{out}/data").select("incident_id")
