@@ -28,4 +28,4 @@ def load_all() -> None:
     # importing the catalogue modules fills the registry
     from roadpulse.plans import (catalog_clean, catalog_eval, catalog_features,  # noqa: F401
                                  catalog_geo, catalog_graph, catalog_learn, catalog_queue,
-                                 catalog_risk, catalog_split, catalog_stream)
+                                 catalog_risk, catalog_sources, catalog_split, catalog_stream)
