@@ -14,9 +14,11 @@ iterative DataFrame jobs whose state is partitioned by ``(source, node)``:
    tight arcs split in proportion ``sigma(a)/sigma(b)``; the flow crossing an
    arc, summed over rounds and sources, is the arc's Brandes credit.
 
-Every round ends in a reliable ``checkpoint()`` (lineage cut, survives
-executor loss); the driver only reads row counts. Integer lengths make the
-tight-arc test exact.
+Each round is one job (persist + count of the round's new rows); the state
+is written as a reliable ``checkpoint()`` every few rounds and the result at
+the end, so lineage stays bounded and a lost executor costs a recompute from
+the last checkpoint. The driver only reads row counts. Integer lengths make
+the tight-arc test exact.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import seeded_order
-from roadpulse.session import cut_lineage
+from roadpulse.session import RoundState, cut_lineage
 
 # Exact below this many nodes, else k pivots with this seed.
 EXACT_THRESHOLD_NODES = 3000
@@ -78,63 +80,65 @@ def _arcs(edges: DataFrame) -> DataFrame:
 
 
 def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
-    dist = cut_lineage(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d")))
-    frontier = dist
+    """Frontier relaxation. ``dist`` carries the round ``r`` in which each
+    (source, node) last improved; the frontier is the rows of the previous
+    round. Each round merges the candidates into ``dist`` with one full outer
+    join on the (source, node) key and cuts the plan with a reliable
+    checkpoint, so the plan never grows with the number of rounds."""
+    dist = cut_lineage(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d"),
+                                      F.lit(0).alias("r")))
+    k = 0
     while True:
+        k += 1
+        frontier = dist.where(F.col("r") == k - 1)
         cand = (frontier.join(arcs, frontier.node == arcs.a)
-                .groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("d")))
-        old = dist.select("s", "node", F.col("d").alias("old_d"))
-        improved = (cand.join(old, ["s", "node"], "left")
-                    .where(F.col("old_d").isNull() | (F.col("d") < F.col("old_d"))).select("s", "node", "d"))
-        improved = cut_lineage(improved)
-        if improved.isEmpty():
-            return dist
-        dist = cut_lineage(dist.join(improved.select("s", "node"), ["s", "node"], "left_anti")
-                           .unionByName(improved))
-        frontier = improved
-
-
-def _tight(dist: DataFrame, arcs: DataFrame) -> DataFrame:
+                .groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("cd")))
+        better = F.col("cd").isNotNull() & (F.col("d").isNull() | (F.col("cd") < F.col("d")))
+        dist = cut_lineage(dist.join(cand, ["s", "node"], "full_outer").select(
+            "s", "node", F.when(better, F.col("cd")).otherwise(F.col("d")).alias("d"),
+            F.when(better, F.lit(k)).otherwise(F.col("r")).alias("r")))
+        if dist.where(F.col("r") == k).isEmpty():
+            return dist.select("s", "node", "d")
+
+
+def _tight(dist: DataFrame, arcs: DataFrame, st: RoundState) -> DataFrame:
     da = dist.select("s", F.col("node").alias("a"), F.col("d").alias("da"))
     db = dist.select("s", F.col("node").alias("b"), F.col("d").alias("db"))
-    t = (da.join(arcs, "a").join(db, ["s", "b"])
-         .where(F.col("da") + F.col("w") == F.col("db")).select("s", "a", "b"))
-    return cut_lineage(t)
+    return st.keep(da.join(arcs, "a").join(db, ["s", "b"])
+                   .where(F.col("da") + F.col("w") == F.col("db")).select("s", "a", "b"))
 
 
-def _path_counts(sources: DataFrame, tight: DataFrame) -> DataFrame:
+def _path_counts(sources: DataFrame, tight: DataFrame, st: RoundState) -> DataFrame:
     level = sources.select("s", F.col("s").alias("node"), F.lit(1.0).alias("n"))
     levels = [level]
     step = tight.select("s", F.col("a").alias("node"), F.col("b").alias("next"))
     while True:
-        nxt = (level.join(step, ["s", "node"])
-               .groupBy("s", F.col("next").alias("node")).agg(F.sum("n").alias("n")))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        nxt, n = st.step(level.join(step, ["s", "node"])
+                         .groupBy("s", F.col("next").alias("node")).agg(F.sum("n").alias("n")))
+        if n == 0:
             break
         levels.append(nxt)
         level = nxt
     allp = levels[0]
     for lv in levels[1:]:
         allp = allp.unionByName(lv)
-    return cut_lineage(allp.groupBy("s", "node").agg(F.sum("n").alias("sigma")))
+    return st.keep(allp.groupBy("s", "node").agg(F.sum("n").alias("sigma")))
 
 
-def _credits(sigma: DataFrame, tight: DataFrame) -> DataFrame:
+def _credits(sigma: DataFrame, tight: DataFrame, st: RoundState) -> DataFrame:
     sa = sigma.select("s", F.col("node").alias("a"), F.col("sigma").alias("sig_a"))
     sb = sigma.select("s", F.col("node").alias("b"), F.col("sigma").alias("sig_b"))
-    ratio = cut_lineage(tight.join(sa, ["s", "a"]).join(sb, ["s", "b"])
-                        .select("s", "a", "b", (F.col("sig_a") / F.col("sig_b")).alias("r")))
+    ratio = st.keep(tight.join(sa, ["s", "a"]).join(sb, ["s", "b"])
+                    .select("s", "a", "b", (F.col("sig_a") / F.col("sig_b")).alias("r")))
     packets = sigma.where(F.col("node") != F.col("s")).select("s", F.col("node").alias("b"), F.lit(1.0).alias("x"))
     pushes = []
     while True:
-        push = packets.join(ratio, ["s", "b"]).select("s", "a", "b", (F.col("x") * F.col("r")).alias("f"))
-        push = cut_lineage(push)
-        if push.isEmpty():
+        push, n = st.step(packets.join(ratio, ["s", "b"]).select("s", "a", "b", (F.col("x") * F.col("r")).alias("f")))
+        if n == 0:
             break
         pushes.append(push.groupBy("a", "b").agg(F.sum("f").alias("f")))
-        packets = cut_lineage(push.where(F.col("a") != F.col("s"))
-                              .groupBy("s", F.col("a").alias("b")).agg(F.sum("f").alias("x")))
+        packets = (push.where(F.col("a") != F.col("s"))
+                   .groupBy("s", F.col("a").alias("b")).agg(F.sum("f").alias("x")))
     if not pushes:
         return sigma.sparkSession.createDataFrame([], "u long, v long, credit double")
     allp = pushes[0]
@@ -160,12 +164,16 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
     n = nodes.count()
     sources = (pivot_sources(nodes, k, seed) if k is not None
                else nodes.select(F.col("node_id").alias("s")))
-    sources = cut_lineage(sources)
-    arcs = cut_lineage(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))))
-    dist = _distances(sources, arcs)
-    tight = _tight(dist, arcs)
-    sigma = _path_counts(sources, tight)
-    credit = _credits(sigma, tight)
+    st = RoundState()
+    sources = st.keep(sources)
+    # the arcs are static: hash-partitioned on the join key once and kept, so
+    # every round's frontier join shuffles only the frontier
+    arcs = st.keep(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))).repartition("a"))
+    dist = st.keep(_distances(sources, arcs))
+    tight = _tight(dist, arcs, st)
+    sigma = _path_counts(sources, tight, st)
+    credit = cut_lineage(_credits(sigma, tight, st))
+    st.release()
     scale = 1.0
     if normalized:
         scale = 1.0 / (n * (n - 1)) if n > 1 else 0.0

@@ -44,19 +44,25 @@ class QuantileModel:
 
 def fit_quantiles(df: DataFrame, cols: list[str], n_quantiles: int = N_QUANTILES,
                   approx_accuracy: int | None = None) -> dict[str, QuantileModel]:
-    """Cut points per column; ``m = min(n_quantiles, rows)``. One job."""
-    n = df.count()
+    """Cut points per column; ``m = min(n_quantiles, rows)``.
+
+    One job when the table has at least ``n_quantiles`` rows (the count rides
+    along with the percentiles); a second, smaller-m job otherwise."""
+    def run(m):
+        parr = double_array(reference_probs(m))
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for c in cols:
+            x = F.col(c).cast("double")
+            q = (F.percentile_approx(x, parr, approx_accuracy) if approx_accuracy else F.percentile(x, parr))
+            aggs.append(q.alias(c))
+        return df.agg(*aggs).first()
+
+    row = run(n_quantiles)
+    n = row["__n"]
     if n == 0:
         raise ValueError("cannot fit quantiles on an empty table")
-    m = min(n_quantiles, n)
-    probs = reference_probs(m)
-    parr = double_array(probs)
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, parr, approx_accuracy) if approx_accuracy else F.percentile(x, parr))
-        aggs.append(q.alias(c))
-    row = df.agg(*aggs).first()
+    if n < n_quantiles:
+        row = run(n)
     out = {}
     for c in cols:
         qs, run = [], -math.inf

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import low_confidence, point_segment_distance
-from roadpulse.session import cut_lineage
+from roadpulse.session import RoundState, cut_lineage
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -48,31 +48,36 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
     """``(pid, nearest_u, nearest_v, nearest_key, snap_distance)`` per point
     with coordinates. ``segments`` has ``u, v, key, ax, ay, bx, by``."""
     segs = segments.select("u", "v", "key", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
-    if segs.isEmpty():
-        return points.sparkSession.createDataFrame(
-            [], "pid long, nearest_u long, nearest_v long, nearest_key int, snap_distance double") \
-            .withColumnRenamed("pid", pid)
-    todo = cut_lineage(points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-                       .select(F.col(pid).alias("pid"), F.col(x).cast("double").alias("px"),
-                               F.col(y).cast("double").alias("py")))
+    st = RoundState()
+    segs, n_segs = st.step(segs)
+    todo, n_todo = st.step(points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+                           .select(F.col(pid).alias("pid"), F.col(x).cast("double").alias("px"),
+                                   F.col(y).cast("double").alias("py")))
     found = []
     level = 0
-    while not todo.isEmpty():
+    while n_todo and n_segs:
         size = cell * (2 ** level)
         cand = _pt_cells(todo, size).join(_seg_cells(segs, size), ["cx", "cy"])
         dist = point_segment_distance("px", "py", "ax", "ay", "bx", "by")
-        best = (cand.select("pid", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
-                .groupBy("pid").agg(F.min("c").alias("c")))
-        settled = cut_lineage(best.where(F.col("c.d") <= F.lit(size)).select(
+        best = st.keep(cand.select("pid", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
+                       .groupBy("pid").agg(F.min("c").alias("c")))
+        settled = best.where(F.col("c.d") <= F.lit(size)).select(
             "pid", F.col("c.u").alias("nearest_u"), F.col("c.v").alias("nearest_v"),
-            F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance")))
+            F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance"))
         found.append(settled)
-        todo = cut_lineage(todo.join(settled.select("pid"), "pid", "left_anti"))
+        # one job per level: settles this level and counts what is left
+        todo, n_todo = st.step(todo.join(settled.select("pid"), "pid", "left_anti"))
         level += 1
+    if not found:
+        return points.sparkSession.createDataFrame(
+            [], "pid long, nearest_u long, nearest_v long, nearest_key int, snap_distance double") \
+            .withColumnRenamed("pid", pid)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.withColumnRenamed("pid", pid)
+    out = cut_lineage(out.withColumnRenamed("pid", pid))
+    st.release()
+    return out
 
 
 def attach_snaps(df: DataFrame, snaps: DataFrame, pid: str = "incident_id") -> DataFrame:

@@ -72,16 +72,23 @@ def nth_keys(df: DataFrame, ts: str, key: str, ranks: list[int]) -> list[tuple[i
     return nth_pairs(_keys(df, ts, key), ranks, ts)
 
 
-def nth_pairs(keys: DataFrame, ranks: list[int], what: str = "k1") -> list[tuple[int, int] | None]:
-    """Exact ``(k1, k2)`` at the given 1-based ranks of ``(k1, k2)`` order;
-    ``keys`` has two long columns ``k1`` and ``k2`` (``k2`` unique)."""
-    ts = what
+def key_stats(keys: DataFrame, what: str = "k1"):
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k1").isNull()).alias("nulls"),
                      F.min("k1").alias("lo"), F.max("k1").alias("hi"),
                      F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).first()
     if stats["nulls"]:
-        raise ValueError(f"{stats['nulls']} rows have an unparseable or missing '{ts}'")
+        raise ValueError(f"{stats['nulls']} rows have an unparseable or missing '{what}'")
+    return stats
+
+
+def nth_pairs(keys: DataFrame, ranks, what: str = "k1", stats=None) -> list[tuple[int, int] | None]:
+    """Exact ``(k1, k2)`` at the given 1-based ranks of ``(k1, k2)`` order;
+    ``keys`` has two long columns ``k1`` and ``k2`` (``k2`` unique).
+    ``ranks`` may be a function of the row count (one stats job serves both)."""
+    stats = stats or key_stats(keys, what)
     n = stats["n"]
+    if callable(ranks):
+        ranks = ranks(n)
     out: list[tuple[int, int] | None] = [None] * len(ranks)
     active: dict[int, tuple[_Range, int]] = {}
     for i, r in enumerate(ranks):
@@ -138,9 +145,10 @@ def nth_pairs(keys: DataFrame, ranks: list[int], what: str = "k1") -> list[tuple
 def chronological_split(df: DataFrame, ts: str = "split_timestamp", key: str = "incident_id",
                         train_frac: float = TRAIN_FRAC, val_frac: float = VAL_FRAC) -> DataFrame:
     """Add ``split`` in {train, val, test} by ``(ts, key)`` order."""
-    n = df.count()
-    n_train, n_val, _ = split_sizes(n, train_frac, val_frac)
-    cut1, cut2 = nth_keys(df, ts, key, [n_train, n_train + n_val])
+    def ranks(n):
+        n_train, n_val, _ = split_sizes(n, train_frac, val_frac)
+        return [n_train, n_train + n_val]
+    cut1, cut2 = nth_pairs(_keys(df, ts, key), ranks, ts)
     k1 = F.unix_micros(F.col(ts).cast("timestamp"))
     k2 = F.col(key).cast("long")
     expr = F.lit("test")
