@@ -75,7 +75,8 @@ GRAPHML_EDGE = T.StructType([
 
 
 def _data_value(key: str):
-    return F.filter("data", lambda x: x["_key"] == key)[0]["_VALUE"]
+    # get() tolerates an element without that key (ANSI indexing would fail)
+    return F.get(F.filter("data", lambda x: x["_key"] == key), 0)["_VALUE"]
 
 
 def read_graphml(spark: SparkSession, path: str, x_key: str = "x", y_key: str = "y",
