@@ -145,3 +145,18 @@ SELECT CAST(count_if(veh_type IS NULL) AS BIGINT) AS veh_type FROM kept""")
 def q_fill_counts(spark, sf_dir):
     df = clean.filter_resolution_window(clean.with_resolution_minutes(x1_lifecycle(spark, sf_dir)), hi=YEAR_MIN)
     return clean.fill_counts(df)
+
+
+_FINAL_COLS = ["incident_id", "event_cause", "veh_type", "resolution_minutes", "is_planned", "hour_of_day",
+               "day_of_week", "month", "split_timestamp"]
+
+
+@query("missingness_final", f"""{KEPT_SQL},
+  f AS (SELECT incident_id, cause AS event_cause, veh_filled AS veh_type, resolution_minutes, is_planned,
+               hour(start_datetime + INTERVAL 330 MINUTE) AS hour_of_day, start_datetime AS split_timestamp,
+               isodow(start_datetime + INTERVAL 330 MINUTE) - 1 AS day_of_week,
+               month(start_datetime + INTERVAL 330 MINUTE) AS month FROM kept)
+{_missing_sql(_FINAL_COLS, 'f')}""")
+def q_missingness_final(spark, sf_dir):
+    """A1 on the modelling-ready table (after window, flags, fills)."""
+    return profile.missingness(cleaned_x1(spark, sf_dir).select(*_FINAL_COLS))
