@@ -1,14 +1,15 @@
 """Nearest-edge snapping (J4/G4, J2, P16, A4) as a multi-level grid equi-join.
 
 Level ``L`` uses square cells of side ``c * 2**L``. A segment is keyed to
-every cell its bounding box touches; a point looks in its own cell and the
+the cells it can reach (its bounding box, or for long segments the cells
+around points sampled along it); a point looks in its own cell and the
 eight around it. Every segment within one cell side of the point is then a
 candidate, so a best distance ``<= c * 2**L`` is the exact nearest edge.
 Points not settled at a level go to the next, coarser one; the loop ends when
 all points are settled, which happens at the latest once a cell spans the
 farthest point-to-network distance. There is no candidate cap and no cross
-join: every level is an equi-join on ``(level, cx, cy)`` (AQE splits a hot
-cell), followed by a ``min`` of ``(distance, u, v, key)`` per point, which
+join: every level is an equi-join on ``(level, cx, cy)`` with hot cells
+salted (see ``_salted_join``), followed by a ``min`` of ``(distance, u, v, key)`` per point, which
 also fixes ties on the smallest edge id.
 """
 
@@ -18,56 +19,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import low_confidence, point_segment_distance
-from roadpulse.session import RoundState, cut_lineage
+from roadpulse.session import cut_lineage
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
 def _seg_cells(segs: DataFrame, cell: float) -> DataFrame:
+    """Cells a segment is keyed to at this cell size.
+
+    Short segments: every cell of the bounding box (two native explodes).
+    Long segments: points sampled along the segment at spacing <= one cell
+    side, each with its 3x3 neighbourhood — every cell the segment crosses
+    holds a segment point within half a side of a sample, so it is among them
+    (a superset, hence exact), while a long diagonal no longer claims its
+    whole bounding box. A segment takes the cheaper of the two lists.
+    """
     c = F.lit(cell)
     x0 = F.floor(F.least("ax", "bx") / c)
     x1 = F.floor(F.greatest("ax", "bx") / c)
     y0 = F.floor(F.least("ay", "by") / c)
     y1 = F.floor(F.greatest("ay", "by") / c)
-    return (segs.withColumn("cx", F.explode(F.sequence(x0, x1)))
-            .withColumn("cy", F.explode(F.sequence(y0, y1))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    steps = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / c), F.lit(1)).cast("long")
+    long_seg = (x1 - x0 + 1) * (y1 - y0 + 1) > F.lit(9) * (steps + 1)
+    short = (segs.where(~long_seg)
+             .withColumn("cx", F.explode(F.sequence(x0, x1)))
+             .withColumn("cy", F.explode(F.sequence(y0, y1))))
+    offs = F.array(*[F.struct(F.lit(ox).cast("long").alias("ox"), F.lit(oy).cast("long").alias("oy"))
+                     for ox, oy in NEIGHBOURS])
+    t = F.col("__i").cast("double") / steps.cast("double")
+    long_ = (segs.where(long_seg)
+             .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
+             .withColumn("__sx", F.floor((F.col("ax") + t * dx) / c))
+             .withColumn("__sy", F.floor((F.col("ay") + t * dy) / c))
+             .withColumn("__o", F.explode(offs))
+             .select(*segs.columns, (F.col("__sx") + F.col("__o.ox")).alias("cx"),
+                     (F.col("__sy") + F.col("__o.oy")).alias("cy"))
+             .dropDuplicates(["u", "v", "key", "cx", "cy"]))
+    return short.unionByName(long_)
 
 
 def _pt_cells(pts: DataFrame, cell: float) -> DataFrame:
-    c = F.lit(cell)
+    """Each point's 3x3 neighbourhood at its own level ``lvl``."""
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("lvl"))
     around = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"))
                        for dx, dy in NEIGHBOURS])
     return (pts.withColumn("__n", F.explode(around))
-            .select("pid", "px", "py",
-                    (F.floor(F.col("px") / c) + F.col("__n.dx")).alias("cx"),
-                    (F.floor(F.col("py") / c) + F.col("__n.dy")).alias("cy")))
+            .select("pid", "px", "py", "lvl",
+                    (F.floor(F.col("px") / size) + F.col("__n.dx")).alias("cx"),
+                    (F.floor(F.col("py") / size) + F.col("__n.dy")).alias("cy")))
+
+
+def _salted_join(pc: DataFrame, sc: DataFrame, n_rows: int) -> DataFrame:
+    """Point-cell x segment-cell equi-join that splits hot cells.
+
+    The join multiplies rows (each point meets every segment of 9 cells), so
+    both sides are hash-partitioned on the cell key with an explicit count
+    (partitions sized by the small inputs would leave the work to a few
+    tasks). A cell holding more than ``H = 2 * rows / partitions`` point rows
+    is hot: its points are spread over ``ceil(count / H)`` salts and its
+    segments replicated once per salt, so no task gets more than about H
+    point rows of one cell. The hot-cell table has at most ``partitions / 2``
+    rows, a bound that does not grow with the data, so it is broadcast.
+    """
+    spark = pc.sparkSession
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["lvl", "cx", "cy"]
+    h = max(1, -(-2 * n_rows // n_part))
+    hot = (pc.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > F.lit(h))
+           .select(*keys, F.ceil(F.col("__n") / F.lit(h)).cast("int").alias("__salts")))
+    hot = F.broadcast(hot)
+    pcs = (pc.join(hot, keys, "left")
+           .withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0))
+                       .otherwise(F.pmod(F.xxhash64("pid"), F.col("__salts")).cast("int")))
+           .drop("__salts"))
+    scs = (sc.join(hot, keys, "left")
+           .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
+           .drop("__salts"))
+    k = keys + ["__salt"]
+    return pcs.repartition(n_part, *k).join(scs.repartition(n_part, *k), k).drop("__salt")
 
 
 def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str = "incident_id",
                   x: str = "x", y: str = "y") -> DataFrame:
     """``(pid, nearest_u, nearest_v, nearest_key, snap_distance)`` per point
-    with coordinates. ``segments`` has ``u, v, key, ax, ay, bx, by``."""
+    with coordinates. ``segments`` has ``u, v, key, ax, ay, bx, by``.
+
+    Round 1 searches every point at level 0. A point not settled there but
+    with some candidate knows an upper bound ``D`` on its nearest distance,
+    so it moves straight to the first level whose cell side is ``>= D``,
+    where it is guaranteed to settle; only points that saw no segment at all
+    jump two levels (4x the cell side) per round. Points of different levels share one equi-join on
+    ``(lvl, cx, cy)``; typically two rounds settle everything.
+    """
     segs = segments.select("u", "v", "key", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
-    st = RoundState()
-    segs, n_segs = st.step(segs)
-    todo, n_todo = st.step(points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-                           .select(F.col(pid).alias("pid"), F.col(x).cast("double").alias("px"),
-                                   F.col(y).cast("double").alias("py")))
+    todo = (points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+            .select(F.col(pid).alias("pid"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"),
+                    F.lit(0).alias("lvl")))
+    counts = (todo.select(F.lit(1).alias("p"), F.lit(0).alias("s"))
+              .unionByName(segs.select(F.lit(0).alias("p"), F.lit(1).alias("s")))
+              .agg(F.sum("p").alias("p"), F.sum("s").alias("s")).first())
+    n_todo, n_segs = counts["p"] or 0, counts["s"] or 0
+    levels = [0]
     found = []
-    level = 0
     while n_todo and n_segs:
-        size = cell * (2 ** level)
-        cand = _pt_cells(todo, size).join(_seg_cells(segs, size), ["cx", "cy"])
+        seg_cells = None
+        for lv in levels:
+            part = _seg_cells(segs, cell * (2 ** lv)).withColumn("lvl", F.lit(lv))
+            seg_cells = part if seg_cells is None else seg_cells.unionByName(part)
+        cand = _salted_join(_pt_cells(todo, cell), seg_cells, 9 * n_todo)
         dist = point_segment_distance("px", "py", "ax", "ay", "bx", "by")
-        best = st.keep(cand.select("pid", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
-                       .groupBy("pid").agg(F.min("c").alias("c")))
-        settled = best.where(F.col("c.d") <= F.lit(size)).select(
+        best = (cand.select("pid", "lvl", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
+                .groupBy("pid", "lvl").agg(F.min("c").alias("c")))
+        limit = F.lit(cell) * F.pow(F.lit(2.0), F.col("lvl"))
+        # every point of the round with its outcome: settled, or the level to try next
+        need = F.greatest(F.col("lvl") + 1,
+                          F.ceil(F.log2(F.col("c.d") / F.lit(cell))).cast("int"))
+        state = cut_lineage(
+            todo.join(best.select("pid", "c"), "pid", "left")
+            .withColumn("settled", F.coalesce(F.col("c.d") <= limit, F.lit(False)))
+            .withColumn("next_lvl", F.when(F.col("c").isNull(), F.col("lvl") + 2).otherwise(need)))
+        found.append(state.where("settled").select(
             "pid", F.col("c.u").alias("nearest_u"), F.col("c.v").alias("nearest_v"),
-            F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance"))
-        found.append(settled)
-        # one job per level: settles this level and counts what is left
-        todo, n_todo = st.step(todo.join(settled.select("pid"), "pid", "left_anti"))
-        level += 1
+            F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance")))
+        nxt = state.where(~F.col("settled")).select("pid", "px", "py", F.col("next_lvl").alias("lvl"))
+        per_level = nxt.groupBy("lvl").count().collect()  # a few small ints, one job
+        levels = sorted(r["lvl"] for r in per_level)
+        n_todo = sum(r["count"] for r in per_level)
+        todo = nxt
+        if levels and levels[-1] > 60:  # cells beyond 2^60 sides: no segment reachable at all
+            raise ValueError("points cannot be snapped: no segment within any cell size")
     if not found:
         return points.sparkSession.createDataFrame(
             [], "pid long, nearest_u long, nearest_v long, nearest_key int, snap_distance double") \
@@ -75,9 +156,7 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    out = cut_lineage(out.withColumnRenamed("pid", pid))
-    st.release()
-    return out
+    return out.withColumnRenamed("pid", pid)
 
 
 def attach_snaps(df: DataFrame, snaps: DataFrame, pid: str = "incident_id") -> DataFrame:

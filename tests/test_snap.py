@@ -39,3 +39,19 @@ def test_attach_and_flags(spark):
     out = {r["incident_id"]: r for r in snap.attach_snaps(pdf, snap.snap_to_edges(pdf, sdf, cell=50.0)).collect()}
     assert out[1]["low_confidence_snap"] is True and out[1]["snap_distance"] == 1000.0
     assert out[2]["snap_distance"] is None and out[2]["low_confidence_snap"] is False
+
+
+def test_hot_cell_is_salted_and_exact(spark):
+    rnd = random.Random(11)
+    segs = [(i, i + 1, 0, rnd.uniform(0, 900), rnd.uniform(0, 900), rnd.uniform(0, 900), rnd.uniform(0, 900))
+            for i in range(40)]
+    # a third of the points fall in one cell
+    pts = [(j, rnd.uniform(400, 420), rnd.uniform(400, 420)) for j in range(100)]
+    pts += [(100 + j, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for j in range(200)]
+    sdf = spark.createDataFrame(segs, "u long, v long, key int, ax double, ay double, bx double, by double")
+    pdf = spark.createDataFrame(pts, "incident_id long, x double, y double")
+    got = {r["incident_id"]: r for r in snap.snap_to_edges(pdf, sdf, cell=100.0).collect()}
+    for j, px, py in pts:
+        best = min((seg_dist(px, py, *s[3:]), s[0], s[1], s[2]) for s in segs)
+        assert got[j]["snap_distance"] == pytest.approx(best[0], rel=1e-12)
+        assert (got[j]["nearest_u"], got[j]["nearest_v"]) == (best[1], best[2])
