@@ -40,6 +40,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings the operators' semantics depend on, applied to any session
+    (e.g. one the caller built): a UTC session clock and a checkpoint folder."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def _is_local(spark: SparkSession) -> bool:
     try:
         return spark.sparkContext.master.startswith("local")
