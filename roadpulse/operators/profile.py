@@ -2,8 +2,9 @@
 
 Everything is a single aggregate over the input plan (partial aggregation on
 the map side, one small shuffle). Exact percentiles buffer the distinct values
-of a group; for very high-cardinality measures pass ``approx_accuracy`` to use
-``percentile_approx`` (a mergeable sketch) instead.
+of a group in one task, so they are used only while every group is within
+``EXACT_PERCENTILE_MAX_ROWS``; larger groups use ``percentile_approx`` (a
+mergeable sketch, relative rank accuracy 1e-6). ``approx_accuracy`` forces it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ def _pcts(col: str, probs, approx_accuracy: int | None) -> Column:
     return F.percentile(col, F.array(*[F.lit(float(p)) for p in probs]))
 
 
+def _accuracy(df: DataFrame, by, approx_accuracy):
+    """None (exact) when every group is within the exact-percentile bound."""
+    from roadpulse.functions.arrays import APPROX_ACCURACY, exact_ok
+    if approx_accuracy:
+        return approx_accuracy
+    return None if exact_ok(df, by) else APPROX_ACCURACY
+
+
 def missingness(df: DataFrame, digits: int = 2) -> DataFrame:
     """A1: % NULL per column (>0 only), one wide aggregate then unpivot."""
     cols = df.columns
@@ -48,8 +57,9 @@ def value_shares(df: DataFrame, col: str, domain: list) -> DataFrame:
 
 def distribution_summary(df: DataFrame, col: str, by: list[str] | None = None,
                          approx_accuracy: int | None = None, digits: int = 6) -> DataFrame:
-    """A3: n, min, p25, median, mean, p75, max, sample std (linear quantiles)."""
-    q = _pcts(col, SUMMARY_PROBS, approx_accuracy)
+    """A3: n, min, p25, median, mean, p75, max, sample std (linear quantiles).
+    Exact while every group is within the exact-percentile bound."""
+    q = _pcts(col, SUMMARY_PROBS, _accuracy(df, by, approx_accuracy))
     aggs = [F.count(col).alias("n"), F.min(col).alias("min"), q.alias("__q"), F.avg(col).alias("mean"),
             F.max(col).alias("max"), F.stddev_samp(col).alias("std")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
@@ -91,7 +101,7 @@ def majority(col: str) -> Column:
 
 def quantile_pick(df: DataFrame, col: str, probs, approx_accuracy: int | None = None) -> DataFrame:
     """One row per requested probability (pooled quantiles)."""
-    arr = df.agg(_pcts(col, probs, approx_accuracy).alias("q"))
+    arr = df.agg(_pcts(col, probs, _accuracy(df, None, approx_accuracy)).alias("q"))
     rows = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col("q")[i].alias("value"))
                      for i, p in enumerate(probs)])
     return arr.select(F.inline(rows))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.arrays import double_array
+from roadpulse.functions.arrays import APPROX_ACCURACY, EXACT_PERCENTILE_MAX_ROWS, double_array
 
 # Default number of cut points and the clamp tolerance.
 N_QUANTILES = 1000
@@ -46,23 +46,27 @@ def fit_quantiles(df: DataFrame, cols: list[str], n_quantiles: int = N_QUANTILES
                   approx_accuracy: int | None = None) -> dict[str, QuantileModel]:
     """Cut points per column; ``m = min(n_quantiles, rows)``.
 
-    One job when the table has at least ``n_quantiles`` rows (the count rides
-    along with the percentiles); a second, smaller-m job otherwise."""
-    def run(m):
+    The first job counts the rows and computes the mergeable sketch
+    (``percentile_approx``, bounded memory). When the table has at most
+    ``EXACT_PERCENTILE_MAX_ROWS`` rows — the bound on what the exact
+    aggregate keeps in one task — a second job computes the exact cut points
+    (linear interpolation); beyond it the sketch at relative rank accuracy
+    1e-6 is the fit. ``approx_accuracy`` forces the sketch."""
+    def run(m, exact):
         parr = double_array(reference_probs(m))
         aggs = [F.count(F.lit(1)).alias("__n")]
         for c in cols:
             x = F.col(c).cast("double")
-            q = (F.percentile_approx(x, parr, approx_accuracy) if approx_accuracy else F.percentile(x, parr))
+            q = (F.percentile(x, parr) if exact
+                 else F.percentile_approx(x, parr, approx_accuracy or APPROX_ACCURACY))
             aggs.append(q.alias(c))
         return df.agg(*aggs).first()
 
-    row = run(n_quantiles)
-    n = row["__n"]
+    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if n == 0:
         raise ValueError("cannot fit quantiles on an empty table")
-    if n < n_quantiles:
-        row = run(n)
+    exact = approx_accuracy is None and n <= EXACT_PERCENTILE_MAX_ROWS
+    row = run(min(n_quantiles, n), exact)
     out = {}
     for c in cols:
         qs, run = [], -math.inf

@@ -168,7 +168,8 @@ def attach_snaps(df: DataFrame, snaps: DataFrame, pid: str = "incident_id") -> D
 
 def snap_summary(df: DataFrame, col: str = "snap_distance", limit: float = 750.0) -> DataFrame:
     """A4: min, p50, mean, p95, max, count and share above the limit."""
-    q = F.percentile(col, F.array(F.lit(0.5), F.lit(0.95)))
+    from roadpulse.functions.arrays import percentile_expr, exact_ok
+    q = percentile_expr(col, [0.5, 0.95], exact_ok(df))
     return df.agg(F.min(col).alias("min"), q.alias("__q"), F.avg(col).alias("mean"), F.max(col).alias("max"),
                   F.count(col).alias("n"), F.count_if(F.col(col) > F.lit(limit)).alias("n_low_confidence")) \
         .select("min", F.col("__q")[0].alias("p50"), "mean", F.col("__q")[1].alias("p95"), "max", "n",

@@ -67,3 +67,13 @@ def test_scorer_worked_example(spark):
     c = quantile_rank_ref([0.095], sc.centrality_model.quantiles)[0]
     crs = 100 * np.sqrt(0.93 * (0.5 * t + 0.5 * c))
     assert rows[1]["cascade_risk_score"] == pytest.approx(np.round(crs, 2))
+
+
+def test_quantile_fit_sketch_beyond_bound(spark, monkeypatch):
+    import roadpulse.operators.quantile as qm
+    train = spark.createDataFrame([(float(i),) for i in range(5000)], "x double")
+    exact = fit_quantiles(train, ["x"])["x"].quantiles
+    monkeypatch.setattr(qm, "EXACT_PERCENTILE_MAX_ROWS", 0)
+    approx = qm.fit_quantiles(train, ["x"])["x"].quantiles
+    assert len(approx) == len(exact) == 1000
+    assert max(abs(a - b) for a, b in zip(approx, exact)) <= 2.0   # within a rank or two of 5000
