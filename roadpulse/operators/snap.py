@@ -22,10 +22,12 @@ from roadpulse.functions.geo import low_confidence, point_segment_distance
 from roadpulse.session import cut_lineage
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+SALT_MIN_ROWS = 1_000_000  # point-cell rows below which hot cells need no salting
 
 
-def _seg_cells(segs: DataFrame, cell: float) -> DataFrame:
-    """Cells a segment is keyed to at this cell size.
+def _seg_cells(segs: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """Cells a segment is keyed to, for every level in ``levels`` at once
+    (one plan whatever the number of levels; the cell side is a column).
 
     Short segments: every cell of the bounding box (two native explodes).
     Long segments: points sampled along the segment at spacing <= one cell
@@ -34,7 +36,8 @@ def _seg_cells(segs: DataFrame, cell: float) -> DataFrame:
     (a superset, hence exact), while a long diagonal no longer claims its
     whole bounding box. A segment takes the cheaper of the two lists.
     """
-    c = F.lit(cell)
+    segs = segs.withColumn("lvl", F.explode(F.array(*[F.lit(int(lv)) for lv in levels])))
+    c = F.lit(cell) * F.pow(F.lit(2.0), F.col("lvl"))
     x0 = F.floor(F.least("ax", "bx") / c)
     x1 = F.floor(F.greatest("ax", "bx") / c)
     y0 = F.floor(F.least("ay", "by") / c)
@@ -55,17 +58,20 @@ def _seg_cells(segs: DataFrame, cell: float) -> DataFrame:
              .withColumn("__o", F.explode(offs))
              .select(*segs.columns, (F.col("__sx") + F.col("__o.ox")).alias("cx"),
                      (F.col("__sy") + F.col("__o.oy")).alias("cy"))
-             .dropDuplicates(["u", "v", "key", "cx", "cy"]))
+             .dropDuplicates(["u", "v", "key", "lvl", "cx", "cy"]))
     return short.unionByName(long_)
 
 
-def _pt_cells(pts: DataFrame, cell: float) -> DataFrame:
-    """Each point's 3x3 neighbourhood at its own level ``lvl``."""
+def _pt_cells(pts: DataFrame, cell: float, spread: int = 0) -> DataFrame:
+    """Each point's 3x3 neighbourhood at its level ``lvl`` (and, with
+    ``spread``, also at ``lvl + spread``)."""
+    levels = F.array(F.col("lvl"), F.col("lvl") + F.lit(spread)) if spread else F.array(F.col("lvl"))
+    pts = pts.withColumn("top", F.array_max(levels)).withColumn("lvl", F.explode(levels))
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("lvl"))
     around = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"))
                        for dx, dy in NEIGHBOURS])
     return (pts.withColumn("__n", F.explode(around))
-            .select("pid", "px", "py", "lvl",
+            .select("pid", "px", "py", "lvl", "top",
                     (F.floor(F.col("px") / size) + F.col("__n.dx")).alias("cx"),
                     (F.floor(F.col("py") / size) + F.col("__n.dy")).alias("cy")))
 
@@ -85,6 +91,9 @@ def _salted_join(pc: DataFrame, sc: DataFrame, n_rows: int) -> DataFrame:
     spark = pc.sparkSession
     n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["lvl", "cx", "cy"]
+    if n_rows <= SALT_MIN_ROWS:
+        # too few point rows for any one task to be overloaded: skip the pass
+        return pc.repartition(n_part, *keys).join(sc.repartition(n_part, *keys), keys)
     h = max(1, -(-2 * n_rows // n_part))
     hot = (pc.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > F.lit(h))
            .select(*keys, F.ceil(F.col("__n") / F.lit(h)).cast("int").alias("__salts")))
@@ -108,8 +117,10 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
     Round 1 searches every point at level 0. A point not settled there but
     with some candidate knows an upper bound ``D`` on its nearest distance,
     so it moves straight to the first level whose cell side is ``>= D``,
-    where it is guaranteed to settle; only points that saw no segment at all
-    jump two levels (4x the cell side) per round. Points of different levels share one equi-join on
+    where it is guaranteed to settle. Later rounds (few points) search each
+    point at its level and 3 levels coarser at once; the union of candidates
+    is still exact, and a point that saw nothing at the finer level gets its
+    bound from the coarser one. Points of different levels share one equi-join on
     ``(lvl, cx, cy)``; typically two rounds settle everything.
     """
     segs = segments.select("u", "v", "key", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
@@ -122,23 +133,22 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
     n_todo, n_segs = counts["p"] or 0, counts["s"] or 0
     levels = [0]
     found = []
+    spread = 0
     while n_todo and n_segs:
-        seg_cells = None
-        for lv in levels:
-            part = _seg_cells(segs, cell * (2 ** lv)).withColumn("lvl", F.lit(lv))
-            seg_cells = part if seg_cells is None else seg_cells.unionByName(part)
-        cand = _salted_join(_pt_cells(todo, cell), seg_cells, 9 * n_todo)
+        seg_cells = _seg_cells(segs, cell, sorted(set(levels) | {lv + spread for lv in levels}))
+        cand = _salted_join(_pt_cells(todo, cell, spread), seg_cells, 9 * n_todo * (2 if spread else 1))
         dist = point_segment_distance("px", "py", "ax", "ay", "bx", "by")
-        best = (cand.select("pid", "lvl", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
-                .groupBy("pid", "lvl").agg(F.min("c").alias("c")))
-        limit = F.lit(cell) * F.pow(F.lit(2.0), F.col("lvl"))
+        best = (cand.select("pid", F.struct(dist.alias("d"), "u", "v", "key").alias("c"))
+                .groupBy("pid").agg(F.min("c").alias("c")))
+        # the coarsest level searched bounds what the candidates cover
+        top = F.col("lvl") + F.lit(spread)
+        limit = F.lit(cell) * F.pow(F.lit(2.0), top)
         # every point of the round with its outcome: settled, or the level to try next
-        need = F.greatest(F.col("lvl") + 1,
-                          F.ceil(F.log2(F.col("c.d") / F.lit(cell))).cast("int"))
+        need = F.greatest(top + 1, F.ceil(F.log2(F.col("c.d") / F.lit(cell))).cast("int"))
         state = cut_lineage(
             todo.join(best.select("pid", "c"), "pid", "left")
             .withColumn("settled", F.coalesce(F.col("c.d") <= limit, F.lit(False)))
-            .withColumn("next_lvl", F.when(F.col("c").isNull(), F.col("lvl") + 2).otherwise(need)))
+            .withColumn("next_lvl", F.when(F.col("c").isNull(), top + 2).otherwise(need)))
         found.append(state.where("settled").select(
             "pid", F.col("c.u").alias("nearest_u"), F.col("c.v").alias("nearest_v"),
             F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance")))
@@ -149,6 +159,9 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
         todo = nxt
         if levels and levels[-1] > 60:  # cells beyond 2^60 sides: no segment reachable at all
             raise ValueError("points cannot be snapped: no segment within any cell size")
+        # later rounds hold few points: search each also 3 levels coarser, so a
+        # point that saw nothing gets an upper bound (and a direct jump) at once
+        spread = 3
     if not found:
         return points.sparkSession.createDataFrame(
             [], "pid long, nearest_u long, nearest_v long, nearest_key int, snap_distance double") \
