@@ -137,3 +137,19 @@ def clean_pipeline(raw: DataFrame, lo: float = WINDOW_MIN, hi: float = WINDOW_MA
     df = normalise_event_cause(df)
     df = drop_unusable(df)
     return fill_categoricals(df)
+
+
+def filter_with_accounting(df: DataFrame, lo: float = WINDOW_MIN, hi: float = WINDOW_MAX):
+    """F1 + F2 in one pass: the kept rows, plus an ``Observation`` whose
+    metrics (rows before, removed per reason, kept) are filled by whichever
+    action consumes the kept rows — no second scan for the accounting."""
+    from pyspark.sql import Observation
+    obs = Observation("resolution_window")
+    r = F.col("resolution_minutes")
+    observed = df.observe(obs,
+                          F.count(F.lit(1)).alias("n_before_filter"),
+                          F.count_if(r.isNull()).alias("removed_no_end"),
+                          F.count_if(r < F.lit(lo)).alias("removed_negative"),
+                          F.count_if(r > F.lit(hi)).alias("removed_over_window"),
+                          F.count_if(in_window(lo=lo, hi=hi)).alias("n_after_filter"))
+    return observed.where(in_window(lo=lo, hi=hi)), obs

@@ -81,3 +81,16 @@ def test_header_peek(spark):
     from roadpulse.sources.tables import schema_only
     assert schema_only(spark, f"{SF001}/events.parquet").fieldNames()[:2] == ["event_id", "ts"]
     assert F is not None
+
+
+def test_filter_with_accounting_single_pass(spark):
+    from conftest import SF01
+    from roadpulse.plans.adapters import x1_lifecycle
+    df = clean.with_resolution_minutes(x1_lifecycle(spark, SF01))
+    kept, obs = clean.filter_with_accounting(df, hi=525600.0)
+    n_kept = kept.count()
+    m = obs.get
+    ref = clean.rejection_counts(df, hi=525600.0).first()
+    assert m["n_after_filter"] == n_kept == ref["n_after_filter"] == 1886
+    for k in ("n_before_filter", "removed_no_end", "removed_negative", "removed_over_window"):
+        assert m[k] == ref[k]
