@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import seeded_order
-from roadpulse.session import RoundState, cut_lineage
+from roadpulse.session import RoundState, checkpoint_with_metrics, cut_lineage
 
 # Exact below this many nodes, else k pivots with this seed.
 EXACT_THRESHOLD_NODES = 3000
@@ -94,10 +94,12 @@ def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
         cand = (frontier.join(arcs, frontier.node == arcs.a)
                 .groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("cd")))
         better = F.col("cd").isNotNull() & (F.col("d").isNull() | (F.col("cd") < F.col("d")))
-        dist = cut_lineage(dist.join(cand, ["s", "node"], "full_outer").select(
-            "s", "node", F.when(better, F.col("cd")).otherwise(F.col("d")).alias("d"),
-            F.when(better, F.lit(k)).otherwise(F.col("r")).alias("r")))
-        if dist.where(F.col("r") == k).isEmpty():
+        dist, m = checkpoint_with_metrics(
+            dist.join(cand, ["s", "node"], "full_outer").select(
+                "s", "node", F.when(better, F.col("cd")).otherwise(F.col("d")).alias("d"),
+                F.when(better, F.lit(k)).otherwise(F.col("r")).alias("r")),
+            improved=F.count_if(F.col("r") == F.lit(k)))
+        if not m["improved"]:
             return dist.select("s", "node", "d")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import low_confidence, point_segment_distance
-from roadpulse.session import cut_lineage
+from roadpulse.session import checkpoint_with_metrics, cut_lineage
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 SALT_MIN_ROWS = 1_000_000  # point-cell rows below which hot cells need no salting
@@ -145,17 +145,21 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
         limit = F.lit(cell) * F.pow(F.lit(2.0), top)
         # every point of the round with its outcome: settled, or the level to try next
         need = F.greatest(top + 1, F.ceil(F.log2(F.col("c.d") / F.lit(cell))).cast("int"))
-        state = cut_lineage(
+        # one job: the round's outcome is checkpointed and, observed by the same
+        # job, how many points are left and at which (few, small) levels
+        unsettled = ~F.col("settled")
+        state, m = checkpoint_with_metrics(
             todo.join(best.select("pid", "c"), "pid", "left")
             .withColumn("settled", F.coalesce(F.col("c.d") <= limit, F.lit(False)))
-            .withColumn("next_lvl", F.when(F.col("c").isNull(), top + 2).otherwise(need)))
+            .withColumn("next_lvl", F.when(F.col("c").isNull(), top + 2).otherwise(need)),
+            left=F.count_if(unsettled),
+            levels=F.collect_set(F.when(unsettled, F.col("next_lvl"))))
         found.append(state.where("settled").select(
             "pid", F.col("c.u").alias("nearest_u"), F.col("c.v").alias("nearest_v"),
             F.col("c.key").alias("nearest_key"), F.col("c.d").alias("snap_distance")))
         nxt = state.where(~F.col("settled")).select("pid", "px", "py", F.col("next_lvl").alias("lvl"))
-        per_level = nxt.groupBy("lvl").count().collect()  # a few small ints, one job
-        levels = sorted(r["lvl"] for r in per_level)
-        n_todo = sum(r["count"] for r in per_level)
+        levels = sorted(m["levels"] or [])
+        n_todo = m["left"]
         todo = nxt
         if levels and levels[-1] > 60:  # cells beyond 2^60 sides: no segment reachable at all
             raise ValueError("points cannot be snapped: no segment within any cell size")

@@ -96,6 +96,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_with_metrics(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """Reliable checkpoint whose single job also returns aggregate metrics
+    (``DataFrame.observe``): a round's size or progress costs no extra job."""
+    from pyspark.sql import Observation
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation()
+    out = df.observe(obs, *[m.alias(k) for k, m in metrics.items()]).checkpoint(eager=True)
+    return out, obs.get
+
+
 class RoundState:
     """Iteration state for loops of DataFrame jobs.
 
@@ -103,17 +113,18 @@ class RoundState:
     its logical plan (a chain of persisted frames still re-plans the whole
     chain each round, which was measured to grow the round time linearly)
     and a lost executor costs a re-read, not a recompute. ``step`` also
-    returns the row count, read from the checkpoint files, which the driver
-    uses to decide whether to go on.
+    returns the row count, observed by the checkpoint job itself, which the
+    driver uses to decide whether to go on.
     """
 
     def __init__(self):
         self.rounds = 0
 
     def step(self, df: DataFrame) -> tuple[DataFrame, int]:
+        from pyspark.sql import functions as F
         self.rounds += 1
-        df = cut_lineage(df)
-        return df, df.count()
+        df, m = checkpoint_with_metrics(df, n=F.count(F.lit(1)))
+        return df, m["n"]
 
     def keep(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df)
