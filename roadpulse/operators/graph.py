@@ -168,9 +168,10 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
                else nodes.select(F.col("node_id").alias("s")))
     st = RoundState()
     sources = st.keep(sources)
-    # the arcs are static: hash-partitioned on the join key once and kept, so
-    # every round's frontier join shuffles only the frontier
-    arcs = st.keep(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))).repartition("a"))
+    # the arcs are static and small next to the (source, node) state; they are
+    # kept unpartitioned so each frontier join shuffles both sides and AQE can
+    # split the partition of a high-degree hub (skew join)
+    arcs = st.keep(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))))
     dist = st.keep(_distances(sources, arcs))
     tight = _tight(dist, arcs, st)
     sigma = _path_counts(sources, tight, st)
