@@ -159,7 +159,6 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
     Normalised as ordered-pair dependency sum / (n(n-1)). Returns
     ``(u, v, centrality)`` for every input edge (0 when on no shortest path).
     """
-    spark = edges.sparkSession
     if nodes is None:
         nodes = (edges.select(F.col("u").alias("node_id"))
                  .unionByName(edges.select(F.col("v").alias("node_id"))).distinct())
@@ -172,7 +171,7 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
     # kept unpartitioned so each frontier join shuffles both sides and AQE can
     # split the partition of a high-degree hub (skew join)
     arcs = st.keep(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))))
-    dist = st.keep(_distances(sources, arcs))
+    dist = _distances(sources, arcs)  # already a checkpointed table
     tight = _tight(dist, arcs, st)
     sigma = _path_counts(sources, tight, st)
     credit = cut_lineage(_credits(sigma, tight, st))
@@ -183,7 +182,6 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
         if k is not None:
             scale *= n / k
     out = edges.select("u", "v").join(credit, ["u", "v"], "left")
-    del spark
     return out.select("u", "v", (F.coalesce("credit", F.lit(0.0)) * F.lit(scale)).alias("centrality"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import low_confidence, point_segment_distance
-from roadpulse.session import checkpoint_with_metrics, cut_lineage
+from roadpulse.session import checkpoint_with_metrics
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 SALT_MIN_ROWS = 1_000_000  # point-cell rows below which hot cells need no salting
