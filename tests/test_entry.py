@@ -14,3 +14,16 @@ def test_catalogue_consistent():
     assert len(q) >= 70
     # the only queries without an oracle are the tree models
     assert set(q) - set(o) == {"gbt_regressor", "gbt_classifier", "feature_importance", "predict"}
+
+
+def test_queries_pin_utc_on_foreign_session(spark):
+    from conftest import SF001
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = entry.queries()["temporal_features"](spark, SF001).orderBy("incident_id").first()
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+        # first event 2024-01-01 00:09:58 UTC -> 05:39:58 in India, a Monday
+        assert (row["hour_of_day"], row["day_of_week"], row["month"]) == (5, 0, 1)
+        assert row["local_time"].startswith("2024-01-01 05:39:58")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
