@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import fold_of
+from roadpulse.session import cut_lineage
 
 # Encoder settings.
 SMOOTHING = 20.0
@@ -23,14 +24,31 @@ NULL_CATEGORY = "nan"
 
 
 def vocabulary(train: DataFrame, cols: list[str]) -> DataFrame:
-    """Sorted distinct TRAIN values per feature -> (feature, value, idx)."""
+    """Sorted distinct TRAIN values per feature -> (feature, value, idx).
+
+    A distributed dense rank: the distinct pairs are range-partitioned on
+    (feature, value), numbered inside each range partition, and shifted by
+    the number of the feature's values in earlier partitions (a counts table
+    of at most partitions x features rows). No task ever holds a whole
+    feature, however many levels it has.
+    """
     long = None
     for c in cols:
         part = train.where(F.col(c).isNotNull()).select(F.lit(c).alias("feature"),
                                                        F.col(c).cast("string").alias("value")).distinct()
         long = part if long is None else long.unionByName(part)
-    w = Window.partitionBy("feature").orderBy("value")  # over distinct values, not rows
-    return long.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    n_part = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the partition id is materialised once (reliable checkpoint) so both
+    # branches below see the same assignment, even after a recompute
+    ranged = cut_lineage(long.repartitionByRange(n_part, "feature", "value")
+                         .withColumn("pid", F.spark_partition_id()))
+    local = ranged.withColumn("rn", F.row_number().over(
+        Window.partitionBy("pid", "feature").orderBy("value")))      # one range partition at a time
+    counts = ranged.groupBy("feature", "pid").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.withColumn("offset", F.coalesce(F.sum("c").over(
+        Window.partitionBy("feature").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(before.select("feature", "pid", "offset"), ["feature", "pid"])
+            .select("feature", "value", (F.col("offset") + F.col("rn") - 1).cast("int").alias("idx")))
 
 
 def apply_vocabulary(df: DataFrame, vocab: DataFrame, cols: list[str], suffix: str = "_idx") -> DataFrame:
