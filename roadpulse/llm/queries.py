@@ -89,3 +89,40 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
     return quality_verdicts(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_training_order")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import training_order
+    return training_order(spark, read_table(spark, sf_dir, "documents")).drop("path")
+
+
+OP10_SQL = r"""
+WITH u AS (
+  SELECT doc_id, i, line, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
+    len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 5 ORDER BY doc_id, i) > 1 AS gone
+  FROM u)
+SELECT doc_id, CASE WHEN max(length(line)) = 0 AND count(*) = 1 THEN 0 ELSE count(*) END AS n_units,
+  count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM o GROUP BY doc_id
+"""
+
+
+@query("op10_substring_dedup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_report
+    found = dedup_report(read_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed_spans", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
+    return found.withColumn("removed_spans", F.coalesce(spans, F.lit("")))
