@@ -126,3 +126,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_report(read_table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed_spans", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
     return found.withColumn("removed_spans", F.coalesce(spans, F.lit("")))
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .golay import near_duplicates
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
