@@ -133,3 +133,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .golay import near_duplicates
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_zip_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ziparchive import round_trip
+    read = round_trip(spark, read_table(spark, sf_dir, "pages"))
+    return read.select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query("op7_label_propagation_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .propagation import shard_documents
+    return shard_documents(read_table(spark, sf_dir, "documents"))
