@@ -147,3 +147,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .propagation import shard_documents
     return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import deduplicate_bytes
+    found = deduplicate_bytes(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    zero = F.lit(0).cast("long")
+    return found.select("doc_id", "n_bytes", F.coalesce(removed, zero).alias("n_removed"),
+                        F.coalesce(F.size("spans").cast("long"), zero).alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
