@@ -158,3 +158,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.coalesce(removed, zero).alias("n_removed"),
                         F.coalesce(F.size("spans").cast("long"), zero).alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"))

@@ -76,7 +76,7 @@ class WordTokenizer:
         if len(self.known) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
             self.known.clear()
             self.parts.clear()
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))  # a copy, not a slice
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         known, new = self.known.get, self._new
