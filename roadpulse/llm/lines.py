@@ -115,11 +115,15 @@ def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
 
 def deduplicated_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                           min_words: int = MIN_WORDS, separator: str = SEPARATOR) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text``; all rows and columns stay."""
+                           min_words: int = MIN_WORDS, separator: str = SEPARATOR,
+                           length_column: str | None = None) -> DataFrame:
+    """``docs`` with repeated units cut out of ``text``; all rows and columns
+    stay. A column that holds the text's length is set anew where it is cut."""
     cut = cuts(docs, doc_id, text, min_words, separator)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = row.select("row", text_key(F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).alias("_key"))
     joined = row.join(cut, (row["_key"] == cut["key"]) & F.col(f"row.`{doc_id}`").eqNullSafe(cut["doc_id"]), "left")
     new = _rebuilt(F.col(f"row.`{text}`"), F.col("cut"), separator)
-    return joined.select(*[(new if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    shorter = lambda c: F.when(F.col("cut").isNull(), c).otherwise(F.length(new)).cast(docs.schema[length_column].dataType)
+    return joined.select(*[(new if c == text else shorter(F.col(f"row.`{c}`")) if c == length_column else F.col(f"row.`{c}`")).alias(c)
+                           for c in docs.columns])
