@@ -16,25 +16,3 @@ def double_sql(v: float) -> str:
 def double_array(values) -> Column:
     return F.expr("array(" + ", ".join(double_sql(v) for v in values) + ")")
 
-
-# Exact percentiles merge every distinct value of a group in one task; they
-# are used only when a group is known to hold at most this many rows, and the
-# mergeable sketch (percentile_approx) with high accuracy beyond that.
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000
-APPROX_ACCURACY = 1_000_000
-
-
-def percentile_expr(col, probs, exact: bool):
-    """``percentile`` (exact, bounded group) or ``percentile_approx``."""
-    arr = double_array(probs) if isinstance(probs, (list, tuple)) else probs
-    c = F.col(col) if isinstance(col, str) else col
-    return F.percentile(c, arr) if exact else F.percentile_approx(c, arr, APPROX_ACCURACY)
-
-
-def exact_ok(df, by=None) -> bool:
-    """One aggregate job: is the largest group small enough for exact percentiles?"""
-    if by:
-        row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
-    else:
-        row = df.agg(F.count(F.lit(1)).alias("m")).first()
-    return (row["m"] or 0) <= EXACT_PERCENTILE_MAX_ROWS

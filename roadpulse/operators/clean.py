@@ -38,21 +38,20 @@ def parse_timestamps(df: DataFrame, cols=("start_datetime", "resolved_datetime",
     return df.withColumns({c: timefn.parse_ts(c) for c in present})
 
 
-def strict_parse(df: DataFrame, col: str) -> DataFrame:
-    """Parse a column; one unparseable value fails the job with a count.
-
-    ``raise_error`` inside the projection fails the task that meets the bad
-    row; the separate ``count_if`` gate (``check_parsed``) reports how many.
-    """
+def count_unparseable(df: DataFrame, col: str) -> int:
+    """Missing or unparseable values of a timestamp column."""
     parsed = timefn.parse_ts(col) if dict(df.dtypes)[col] == "string" else F.col(col).cast("timestamp")
-    return df.withColumn(col, F.when(F.col(col).isNull() | parsed.isNotNull(), parsed)
-                         .otherwise(F.raise_error(F.concat(F.lit(f"unparseable {col}: "),
-                                                           F.col(col).cast("string")))))
+    return df.agg(F.count_if(parsed.isNull()).alias("n")).first()["n"]
 
 
-def count_unparseable(df: DataFrame, col: str) -> int:
+def strict_parse(df: DataFrame, col: str) -> DataFrame:
+    """Parse a column; any missing or unparseable value is an error that
+    tells how many there are. One count over the column alone goes ahead."""
+    bad = count_unparseable(df, col)
+    if bad:
+        raise ValueError(f"{bad} rows have an unparseable or missing {col!r}")
     parsed = timefn.parse_ts(col) if dict(df.dtypes)[col] == "string" else F.col(col).cast("timestamp")
-    return df.agg(F.count_if(parsed.isNull()).alias("n")).first()["n"]
+    return df.withColumn(col, parsed)
 
 
 def with_resolution_minutes(df: DataFrame) -> DataFrame:
@@ -82,7 +81,7 @@ def rejection_counts(df: DataFrame, lo: float = WINDOW_MIN, hi: float = WINDOW_M
                    F.count_if(r > F.lit(hi)).alias("removed_over_window"),
                    F.count_if(in_window(lo=lo, hi=hi)).alias("n_after_filter"))
             .withColumn("retention_pct",
-                        F.round(F.col("n_after_filter") * 100.0 / F.col("n_before_filter"), 6)))
+                        F.round(F.try_divide(F.col("n_after_filter") * 100.0, F.col("n_before_filter")), 6)))
 
 
 def with_planned_flag(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import fold_of
-from roadpulse.session import cut_lineage
+from roadpulse.session import stored
 
 # Encoder settings.
 SMOOTHING = 20.0
@@ -40,7 +40,7 @@ def vocabulary(train: DataFrame, cols: list[str]) -> DataFrame:
     n_part = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the partition id is materialised once (reliable checkpoint) so both
     # branches below see the same assignment, even after a recompute
-    ranged = cut_lineage(long.repartitionByRange(n_part, "feature", "value")
+    ranged = stored(long.repartitionByRange(n_part, "feature", "value")
                          .withColumn("pid", F.spark_partition_id()))
     local = ranged.withColumn("rn", F.row_number().over(
         Window.partitionBy("pid", "feature").orderBy("value")))      # one range partition at a time

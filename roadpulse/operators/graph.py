@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import seeded_order
-from roadpulse.session import RoundState, checkpoint_with_metrics, cut_lineage
+from roadpulse.session import RoundState, stored_with_metrics, stored
 
 # Exact below this many nodes, else k pivots with this seed.
 EXACT_THRESHOLD_NODES = 3000
@@ -85,7 +85,7 @@ def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
     round. Each round merges the candidates into ``dist`` with one full outer
     join on the (source, node) key and cuts the plan with a reliable
     checkpoint, so the plan never grows with the number of rounds."""
-    dist = cut_lineage(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d"),
+    dist = stored(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d"),
                                       F.lit(0).alias("r")))
     k = 0
     while True:
@@ -94,7 +94,7 @@ def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
         cand = (frontier.join(arcs, frontier.node == arcs.a)
                 .groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("cd")))
         better = F.col("cd").isNotNull() & (F.col("d").isNull() | (F.col("cd") < F.col("d")))
-        dist, m = checkpoint_with_metrics(
+        dist, m = stored_with_metrics(
             dist.join(cand, ["s", "node"], "full_outer").select(
                 "s", "node", F.when(better, F.col("cd")).otherwise(F.col("d")).alias("d"),
                 F.when(better, F.lit(k)).otherwise(F.col("r")).alias("r")),
@@ -174,8 +174,7 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
     dist = _distances(sources, arcs)  # already a checkpointed table
     tight = _tight(dist, arcs, st)
     sigma = _path_counts(sources, tight, st)
-    credit = cut_lineage(_credits(sigma, tight, st))
-    st.release()
+    credit = stored(_credits(sigma, tight, st))
     scale = 1.0
     if normalized:
         scale = 1.0 / (n * (n - 1)) if n > 1 else 0.0

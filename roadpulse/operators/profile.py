@@ -1,10 +1,8 @@
 """Profiling aggregates.
 
-Everything is a single aggregate over the input plan (partial aggregation on
-the map side, one small shuffle). Exact percentiles buffer the distinct values
-of a group in one task, so they are used only while every group is within
-``EXACT_PERCENTILE_MAX_ROWS``; larger groups use ``percentile_approx`` (a
-mergeable sketch, relative rank accuracy 1e-6). ``approx_accuracy`` forces it.
+Single aggregates over the input plan (partial aggregation on the map side,
+one small shuffle); quantiles are exact for groups of any size and come from
+``order_stats``.
 """
 
 from __future__ import annotations
@@ -13,24 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.risk import round_half_even
+from roadpulse.operators.order_stats import exact_quantiles
+from roadpulse.session import stored
 
 SUMMARY_PROBS = (0.25, 0.5, 0.75)
 
 
-def _pcts(col: str, probs, approx_accuracy: int | None) -> Column:
-    if approx_accuracy:
-        return F.percentile_approx(col, list(probs), approx_accuracy)
-    return F.percentile(col, F.array(*[F.lit(float(p)) for p in probs]))
-
-
-def _accuracy(df: DataFrame, by, approx_accuracy):
-    """None (exact) when every group is within the exact-percentile bound."""
-    from roadpulse.functions.arrays import APPROX_ACCURACY, exact_ok
-    if approx_accuracy:
-        return approx_accuracy
-    return None if exact_ok(df, by) else APPROX_ACCURACY
-
-
 def missingness(df: DataFrame, digits: int = 2) -> DataFrame:
     """A1: % NULL per column (>0 only), one wide aggregate then unpivot."""
     cols = df.columns
@@ -55,16 +41,21 @@ def value_shares(df: DataFrame, col: str, domain: list) -> DataFrame:
                     F.round(F.coalesce(F.col("n") / F.col("__total"), F.lit(0.0)), 6).alias("share")))
 
 
-def distribution_summary(df: DataFrame, col: str, by: list[str] | None = None,
-                         approx_accuracy: int | None = None, digits: int = 6) -> DataFrame:
-    """A3: n, min, p25, median, mean, p75, max, sample std (linear quantiles).
-    Exact while every group is within the exact-percentile bound."""
-    q = _pcts(col, SUMMARY_PROBS, _accuracy(df, by, approx_accuracy))
-    aggs = [F.count(col).alias("n"), F.min(col).alias("min"), q.alias("__q"), F.avg(col).alias("mean"),
-            F.max(col).alias("max"), F.stddev_samp(col).alias("std")]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+def distribution_summary(df: DataFrame, col: str, by: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """A3: n, min, p25, median, mean, p75, max, sample std (linear quantiles)."""
+    by = by or []
+    df = stored(df.select(*by, col))  # two aggregates follow: the input is computed once
+    q = exact_quantiles(df, {"q": col}, SUMMARY_PROBS, by).select(*[F.col(b).alias(f"__{b}") for b in by], F.col("q").alias("__q"))
+    aggs = [F.count(col).alias("n"), F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"),
+            F.stddev_samp(col).alias("std")]
+    if by:
+        same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+        g = df.groupBy(*by).agg(*aggs).join(q, same, "left")
+    else:  # two one-row tables side by side
+        one = lambda t: t.withColumn("__one", F.lit(1))
+        g = one(df.agg(*aggs)).join(F.broadcast(one(q)), "__one", "left")
     r = lambda c: F.round(c, digits)
-    return g.select(*(by or []), "n", r(F.col("min")).alias("min"), r(F.col("__q")[0]).alias("p25"),
+    return g.select(*by, "n", r(F.col("min")).alias("min"), r(F.col("__q")[0]).alias("p25"),
                     r(F.col("__q")[1]).alias("p50"), r(F.col("mean")).alias("mean"),
                     r(F.col("__q")[2]).alias("p75"), r(F.col("max")).alias("max"),
                     r(F.col("std")).alias("std"))
@@ -78,9 +69,10 @@ def duplicate_count(df: DataFrame, col: str) -> DataFrame:
 
 
 def skewness_corrected(df: DataFrame, col: str) -> Column:
-    """Bias-corrected sample skewness G1 = g1 * sqrt(n(n-1)) / (n-2)."""
+    """Bias-corrected sample skewness G1 = g1 * sqrt(n(n-1)) / (n-2);
+    NULL for fewer than three values."""
     n = F.count(col).cast("double")
-    return F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n > 2, F.skewness(col) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
 
 
 def distinct_levels(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
@@ -99,9 +91,9 @@ def majority(col: str) -> Column:
     return F.mode(col, True)
 
 
-def quantile_pick(df: DataFrame, col: str, probs, approx_accuracy: int | None = None) -> DataFrame:
+def quantile_pick(df: DataFrame, col: str, probs) -> DataFrame:
     """One row per requested probability (pooled quantiles)."""
-    arr = df.agg(_pcts(col, probs, _accuracy(df, None, approx_accuracy)).alias("q"))
+    q = exact_quantiles(df, {"q": col}, probs)
     rows = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col("q")[i].alias("value"))
                      for i, p in enumerate(probs)])
-    return arr.select(F.inline(rows))
+    return q.select(F.inline(rows))

@@ -1,7 +1,7 @@
 """Quantile-rank transform (M11, M12): uniform output, fitted on TRAIN only.
 
-Fit is one exact ``percentile`` aggregate with ``m`` literal probabilities
-(``m = min(1000, n)``); its output — at most 1000 doubles — is the fitted
+Fit takes the exact quantiles (``order_stats``) at ``m`` even probabilities
+(``m = min(1000, n)``), whatever the size of the table; its output — at most 1000 doubles — is the fitted
 model and is held on the driver like any ML model parameter. Transform finds
 the rank of a value among the
 distinct cut values with ``Bucketizer`` (JVM binary search) and reads the run
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.arrays import APPROX_ACCURACY, EXACT_PERCENTILE_MAX_ROWS, double_array
+from roadpulse.operators.order_stats import exact_quantiles, number
 
 # Default number of cut points and the clamp tolerance.
 N_QUANTILES = 1000
@@ -42,35 +42,21 @@ class QuantileModel:
         return len(self.quantiles)
 
 
-def fit_quantiles(df: DataFrame, cols: list[str], n_quantiles: int = N_QUANTILES,
-                  approx_accuracy: int | None = None) -> dict[str, QuantileModel]:
-    """Cut points per column; ``m = min(n_quantiles, rows)``.
-
-    The first job counts the rows and computes the mergeable sketch
-    (``percentile_approx``, bounded memory). When the table has at most
-    ``EXACT_PERCENTILE_MAX_ROWS`` rows — the bound on what the exact
-    aggregate keeps in one task — a second job computes the exact cut points
-    (linear interpolation); beyond it the sketch at relative rank accuracy
-    1e-6 is the fit. ``approx_accuracy`` forces the sketch."""
-    def run(m, exact):
-        parr = double_array(reference_probs(m))
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        for c in cols:
-            x = F.col(c).cast("double")
-            q = (F.percentile(x, parr) if exact
-                 else F.percentile_approx(x, parr, approx_accuracy or APPROX_ACCURACY))
-            aggs.append(q.alias(c))
-        return df.agg(*aggs).first()
-
-    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if n == 0:
-        raise ValueError("cannot fit quantiles on an empty table")
-    exact = approx_accuracy is None and n <= EXACT_PERCENTILE_MAX_ROWS
-    row = run(min(n_quantiles, n), exact)
+def fit_quantiles(df: DataFrame, cols: list[str], n_quantiles: int = N_QUANTILES) -> dict[str, QuantileModel]:
+    """Exact cut points per column (linear interpolation); ``m =
+    min(n_quantiles, rows)``. All columns are fitted in one pass. NaN is NULL."""
+    def probs(n: int) -> list[float]:
+        if n == 0:
+            raise ValueError("cannot fit quantiles on an empty table")
+        return reference_probs(min(n_quantiles, n))
+
+    found = {r["name"]: r["q"] for r in exact_quantiles(df, {c: c for c in cols}, probs).collect()}
     out = {}
     for c in cols:
+        if c not in found:
+            raise ValueError(f"column {c!r} has no value to fit quantiles on")
         qs, run = [], -math.inf
-        for v in row[c]:
+        for v in found[c]:
             run = max(run, v)  # keep the cut points monotone
             qs.append(run)
         out[c] = QuantileModel(c, qs)
@@ -104,7 +90,7 @@ def add_quantile_ranks(df: DataFrame, specs: list[tuple[str, QuantileModel, str]
     Below the first cut point (within 1e-7) -> 0, above the last -> 1 (the low
     clamp wins for a constant column). A value equal to a run of tied cut
     points maps to the middle of the run; between two points, linear
-    interpolation. NULL stays NULL.
+    interpolation. NULL stays NULL, NaN becomes NULL.
 
     Each value is placed among the distinct cut values by ``Bucketizer`` (a
     JVM binary search), then a broadcast equi-join on the interval number
@@ -118,12 +104,12 @@ def add_quantile_ranks(df: DataFrame, specs: list[tuple[str, QuantileModel, str]
         m = model.m
         distinct = sorted(set(model.quantiles))
         b, filled = f"__b{n}", f"__x{n}"
-        df = df.withColumn(filled, F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
+        df = df.withColumn(filled, F.coalesce(number(x), F.lit(0.0)))
         df = Bucketizer(splits=[-math.inf] + distinct + [math.inf], inputCol=filled, outputCol=b).transform(df)
         t = interval_table(spark, model)
         t = t.select(*[F.col(c).alias(f"{c}{n}") for c in t.columns])
         df = df.join(F.broadcast(t), F.col(b) == F.col(f"b{n}"), "left")
-        xc = F.col(x).cast("double")
+        xc = number(x)
         denom = F.lit(float(max(m - 1, 1)))
         lo_val, lo_first, lo_last = F.col(f"lo_val{n}"), F.col(f"lo_first{n}"), F.col(f"lo_last{n}")
         hi_val = F.col(f"hi_val{n}")

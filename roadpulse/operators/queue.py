@@ -78,16 +78,13 @@ def top_corridors(q: DataFrame, n: int = 5) -> DataFrame:
 def insight(q: DataFrame) -> DataFrame:
     """Top corridor and top incident in one row; empty queue -> defaults.
 
-    Ties: the smallest corridor name / incident id wins. Each side is a
-    one-row aggregate; they are combined by a union, not a join.
+    Ties: the smallest corridor name / incident id wins. Each side is one
+    aggregate with an ordering (no totals are computed twice and compared);
+    they are combined by a union, not a join.
     """
     roll = corridor_rollup(q)
-    best = roll.agg(F.max("total_crs").alias("mx"))
-    corr = (roll.join(F.broadcast(best), roll.total_crs == best.mx)
-            .agg(F.min_by(F.struct("corridor", "count", "total_crs"), F.col("corridor")).alias("c")))
-    top = q.agg(F.max("crs").alias("mx_crs"))
-    inc = (q.join(F.broadcast(top), q.crs == top.mx_crs)
-           .agg(F.min_by(F.struct("id", "crs"), F.col("id")).alias("i")))
+    corr = roll.agg(F.min_by(F.struct("corridor", "count", "total_crs"), F.struct(-F.col("total_crs"), F.col("corridor"))).alias("c"))
+    inc = q.agg(F.min_by(F.struct("id", "crs"), F.struct(-F.col("crs"), F.col("id"))).alias("i"))
     both = (corr.select("c", F.lit(None).cast("struct<id:string,crs:double>").alias("i"))
             .unionByName(inc.select(F.lit(None).cast(corr.schema["c"].dataType).alias("c"), "i")))
     agg = both.agg(F.first("c", ignorenulls=True).alias("c"), F.first("i", ignorenulls=True).alias("i"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import low_confidence, point_segment_distance
-from roadpulse.session import checkpoint_with_metrics
+from roadpulse.session import stored_with_metrics
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 SALT_MIN_ROWS = 1_000_000  # point-cell rows below which hot cells need no salting
@@ -148,7 +148,7 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
         # one job: the round's outcome is checkpointed and, observed by the same
         # job, how many points are left and at which (few, small) levels
         unsettled = ~F.col("settled")
-        state, m = checkpoint_with_metrics(
+        state, m = stored_with_metrics(
             todo.join(best.select("pid", "c"), "pid", "left")
             .withColumn("settled", F.coalesce(F.col("c.d") <= limit, F.lit(False)))
             .withColumn("next_lvl", F.when(F.col("c").isNull(), top + 2).otherwise(need)),
@@ -185,10 +185,13 @@ def attach_snaps(df: DataFrame, snaps: DataFrame, pid: str = "incident_id") -> D
 
 def snap_summary(df: DataFrame, col: str = "snap_distance", limit: float = 750.0) -> DataFrame:
     """A4: min, p50, mean, p95, max, count and share above the limit."""
-    from roadpulse.functions.arrays import percentile_expr, exact_ok
-    q = percentile_expr(col, [0.5, 0.95], exact_ok(df))
-    return df.agg(F.min(col).alias("min"), q.alias("__q"), F.avg(col).alias("mean"), F.max(col).alias("max"),
-                  F.count(col).alias("n"), F.count_if(F.col(col) > F.lit(limit)).alias("n_low_confidence")) \
-        .select("min", F.col("__q")[0].alias("p50"), "mean", F.col("__q")[1].alias("p95"), "max", "n",
-                "n_low_confidence",
-                (F.col("n_low_confidence") / F.col("n")).alias("share_low_confidence"))
+    from roadpulse.operators.order_stats import exact_quantiles
+    from roadpulse.session import stored
+    df = stored(df.select(col))
+    one = lambda t: t.withColumn("__one", F.lit(1))  # noqa: E731  one-row tables side by side
+    q = exact_quantiles(df, {"q": col}, [0.5, 0.95]).select("q")
+    rest = df.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"), F.count(col).alias("n"),
+                  F.count_if(F.col(col) > F.lit(limit)).alias("n_low_confidence"))
+    return one(rest).join(F.broadcast(one(q)), "__one", "left").select(
+        "min", F.col("q")[0].alias("p50"), "mean", F.col("q")[1].alias("p95"), "max", "n", "n_low_confidence",
+        F.try_divide(F.col("n_low_confidence"), F.col("n")).alias("share_low_confidence"))

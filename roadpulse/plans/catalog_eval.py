@@ -99,11 +99,8 @@ def q_regression_metrics(spark, sf_dir):
     df = x5_with_split(spark, sf_dir)
     b = ev.baselines(df.where(F.col("split") == "train"), YR, Y).first()
     test = df.where(F.col("split") == "test")
-    out = None
-    for name, pred in (("model", F.col(PR)), ("median_baseline", F.lit(b["train_median"])),
-                       ("mean_baseline", F.lit(b["train_mean"]))):
-        m = ev.regression_metrics(test.withColumn("__p", pred), YR, "__p").withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+    out = ev.regression_metrics(test, YR, {"model": PR, "median_baseline": F.lit(b["train_median"]),
+                                           "mean_baseline": F.lit(b["train_mean"])})
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2", "medae")])
 
 
@@ -145,7 +142,7 @@ SELECT r2 < 0.3e0 AS weak_regression, coalesce(roc_auc < 0.75e0 AND NOT isnan(ro
 def q_diagnostic_flags(spark, sf_dir):
     df = x5_with_split(spark, sf_dir)
     test = df.where(F.col("split") == "test")
-    reg = ev.regression_metrics(test, YR, PR).select("r2")
+    reg = ev.regression_metrics(test, YR, {"model": PR}).select("r2")
     auc = ev.roc_auc(test, Y, P)
     bal = (df.groupBy("split").agg(F.count_if(F.col(Y)).alias("c")).agg(F.min("c").alias("min_pos")))
     # three one-row frames side by side: union into one row instead of a join

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadpulse.functions import risk as rf
-from roadpulse.functions.arrays import EXACT_PERCENTILE_MAX_ROWS, double_array, percentile_expr
 from roadpulse.operators import profile, split
+from roadpulse.operators.order_stats import exact_quantiles
 from roadpulse.operators.quantile import (N_QUANTILES, add_quantile_ranks, fit_quantiles, quantile_rank_sql,
                                           reference_probs)
 from roadpulse.operators.risk import RiskScorer, band_by_range_join
@@ -54,11 +54,9 @@ SELECT i - 1 AS i, round(qt[i], 6) AS time_q, round(qc[i], 6) AS centrality_q
 FROM fit, range(1, len(qt) + 1) r(i)""")
 def q_quantile_fit(spark, sf_dir):
     df = x5_with_split(spark, sf_dir).where(F.col("split") == "train")
-    n = df.count()
-    probs = double_array(reference_probs(min(N_QUANTILES, n)))
-    exact = n <= EXACT_PERCENTILE_MAX_ROWS
-    fit = df.agg(percentile_expr("resolution_minutes", probs, exact).alias("qt"),
-                 percentile_expr("centrality_score", probs, exact).alias("qc"))
+    q = exact_quantiles(df, {"qt": "resolution_minutes", "qc": "centrality_score"},
+                        lambda n: reference_probs(min(N_QUANTILES, n)))
+    fit = q.agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(c) for c in ("qt", "qc")])
     return (fit.select(F.posexplode(F.arrays_zip("qt", "qc")).alias("i", "z"))
             .select(F.col("i").cast("long").alias("i"), F.round("z.qt", 6).alias("time_q"),
                     F.round("z.qc", 6).alias("centrality_q")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,34 +87,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (eager): survives executor loss, truncates the plan.
-
-    (Persisting first would save the second pass of the checkpoint write,
-    but a cached plan is planned without AQE; measured slower end to end.)
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts the lineage,
+    survives the loss of executors, and (unlike an eager checkpoint) runs the
+    plan once."""
+    path = scratch_path(df.sparkSession, f"t-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_with_metrics(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
-    """Reliable checkpoint whose single job also returns aggregate metrics
+def stored_with_metrics(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """``stored``, whose one job also returns aggregate metrics
     (``DataFrame.observe``): a round's size or progress costs no extra job."""
     from pyspark.sql import Observation
-    ensure_checkpoint_dir(df.sparkSession)
     obs = Observation()
-    out = df.observe(obs, *[m.alias(k) for k, m in metrics.items()]).checkpoint(eager=True)
+    out = stored(df.observe(obs, *[m.alias(k) for k, m in metrics.items()]))
     return out, obs.get
 
 
 class RoundState:
     """Iteration state for loops of DataFrame jobs.
 
-    Every round's frame is written as a reliable checkpoint: that truncates
+    Every round's frame is written to the shared folder: that truncates
     its logical plan (a chain of persisted frames still re-plans the whole
     chain each round, which was measured to grow the round time linearly)
     and a lost executor costs a re-read, not a recompute. ``step`` also
-    returns the row count, observed by the checkpoint job itself, which the
+    returns the row count, observed by the writing job itself, which the
     driver uses to decide whether to go on.
     """
 
@@ -123,12 +122,8 @@ class RoundState:
     def step(self, df: DataFrame) -> tuple[DataFrame, int]:
         from pyspark.sql import functions as F
         self.rounds += 1
-        df, m = checkpoint_with_metrics(df, n=F.count(F.lit(1)))
+        df, m = stored_with_metrics(df, n=F.count(F.lit(1)))
         return df, m["n"]
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df)
-
-    def release(self) -> None:
-        """Nothing is pinned in executor memory; checkpoint files stay in the
-        checkpoint folder, whose retention the cluster manages."""
+        return stored(df)

@@ -69,11 +69,10 @@ def test_scorer_worked_example(spark):
     assert rows[1]["cascade_risk_score"] == pytest.approx(np.round(crs, 2))
 
 
-def test_quantile_fit_sketch_beyond_bound(spark, monkeypatch):
-    import roadpulse.operators.quantile as qm
-    train = spark.createDataFrame([(float(i),) for i in range(5000)], "x double")
-    exact = fit_quantiles(train, ["x"])["x"].quantiles
-    monkeypatch.setattr(qm, "EXACT_PERCENTILE_MAX_ROWS", 0)
-    approx = qm.fit_quantiles(train, ["x"])["x"].quantiles
-    assert len(approx) == len(exact) == 1000
-    assert max(abs(a - b) for a, b in zip(approx, exact)) <= 2.0   # within a rank or two of 5000
+def test_quantile_fit_rejects_empty_and_skips_nan(spark):
+    train = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    assert fit_quantiles(train, ["x"])["x"].quantiles == pytest.approx([1.0, 5 / 3, 7 / 3, 3.0])  # as many points as rows
+    ranked = add_quantile_ranks(train, [("x", fit_quantiles(train, ["x"])["x"], "r")]).collect()
+    assert [r["r"] for r in ranked] == [0.0, None, None, 1.0]
+    with pytest.raises(ValueError):
+        fit_quantiles(train.limit(0), ["x"])

@@ -21,10 +21,11 @@ def test_timestamp_subformats(spark):
 
 
 def test_strict_parse_counts_and_fails(spark):
-    df = spark.createDataFrame([("2024-02-12 02:05:46+00",), ("bad",)], "t string")
-    assert clean.count_unparseable(df, "t") == 1
-    with pytest.raises(Exception):
-        clean.strict_parse(df, "t").collect()
+    df = spark.createDataFrame([("2024-02-12 02:05:46+00",), ("bad",), (None,)], "t string")
+    assert clean.count_unparseable(df, "t") == 2
+    with pytest.raises(ValueError, match="2 rows"):
+        clean.strict_parse(df, "t")
+    assert clean.strict_parse(df.limit(1), "t").first()["t"] == dt.datetime(2024, 2, 12, 2, 5, 46)
 
 
 def test_strip_lower_and_blank(spark):
