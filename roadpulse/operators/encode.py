@@ -79,12 +79,12 @@ def _cat(c: str):
 
 
 def global_mean(train: DataFrame, label: str) -> float:
-    return train.agg(F.avg(F.col(label).cast("boolean").cast("double")).alias("g")).first()["g"]
+    return train.agg(F.avg(F.col(label).cast("double")).alias("g")).first()["g"]
 
 
 def encoder_table(train: DataFrame, col: str, label: str, g: float, smoothing: float = SMOOTHING) -> DataFrame:
     """M2: full-TRAIN smoothed mean per category -> (value, te)."""
-    y = F.col(label).cast("boolean").cast("double")
+    y = F.col(label).cast("double")
     s = F.lit(smoothing)
     return (train.groupBy(_cat(col).alias("value"))
             .agg(F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
@@ -103,7 +103,7 @@ def target_encode_oof(train: DataFrame, col: str, label: str, key: str = "incide
     """
     out = out or f"{col}_te"
     g = global_mean(train, label) if g is None else g
-    y = F.col(label).cast("boolean").cast("double")
+    y = F.col(label).cast("double")
     t = train.withColumns({"__fold": fold_of(seed, key, n_folds), "__cat": _cat(col)})
     per = t.groupBy("__cat", "__fold").agg(F.sum(y).alias("__sy"), F.count(F.lit(1)).alias("__n"))
     tot = per.groupBy("__cat").agg(F.sum("__sy").alias("__ty"), F.sum("__n").alias("__tn"))

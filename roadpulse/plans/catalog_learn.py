@@ -1,92 +1,145 @@
-"""Catalogue: boosted-tree models (M4-M10, P13, P34). Rows-only checks: a tree
-ensemble has no SQL oracle."""
+"""Catalogue: boosted-tree models.
+
+A tree ensemble has no SQL form; what the oracle checks is what must hold
+whatever the trees are: the row set, the ranges of the predictions, the
+feature list."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roadpulse.functions import geo, timefn
 from roadpulse.operators import encode, learn, sampling
 from roadpulse.operators.risk import RiskScorer
-from roadpulse.plans.catalog_risk import x5_with_split
+from roadpulse.plans.catalog_risk import X5_SPLIT_SQL, x5_with_split
 from roadpulse.plans.registry import query
-from roadpulse.session import scratch_path
-
-REG_SPEC = learn.FeatureSpec(numeric=["latitude", "longitude", "hour_of_day", "day_of_week", "month",
-                                      "centrality_score"],
-                             categorical=["event_cause", "corridor", "zone", "junction"])
-CLF_SPEC = learn.FeatureSpec(numeric=["latitude", "longitude", "hour_of_day", "day_of_week", "month",
-                                      "centrality_score", "junction_te", "zone_te", "dist_from_center"],
-                             categorical=["event_cause", "corridor"])
-ITER = 20  # the catalogue keeps training short; the operator default is 100
+from roadpulse.session import scratch_path, stored
+
+NUMERIC = ["latitude", "longitude", "hour_of_day", "day_of_week", "month", "is_planned", "centrality_score", "snap_distance_m",
+           "low_confidence_snap"]
+REG_SPEC = learn.FeatureSpec(numeric=[*NUMERIC, "junction_te"], categorical=["event_cause", "veh_type", "corridor", "zone"])
+CLF_SPEC = learn.FeatureSpec(numeric=[*NUMERIC, "junction_te", "zone_te", "dist_from_center"],
+                             categorical=["event_cause", "veh_type", "corridor"])
 Y_REG, Y_CLF = "resolution_minutes", "requires_road_closure"
+VEHICLES = ["car", "truck", "bus", "two_wheeler"]
 
 
 def incidents(spark, sf_dir):
-    """The feature row of every labelled incident."""
+    """The feature row of every labelled incident. What the events table
+    lacks (planned flag, snap distance, vehicle) is derived from the id."""
     df = x5_with_split(spark, sf_dir)
     local = timefn.to_local("split_timestamp")
-    return df.withColumns({"hour_of_day": timefn.hour_of_day(local), "day_of_week": timefn.day_of_week_monday0(local),
-                           "month": timefn.month_of_year(local), "dist_from_center": geo.dist_from_center(),
-                           "is_val": F.col("split") == "val"})
+    i = F.col("incident_id")
+    df = df.withColumns({"hour_of_day": timefn.hour_of_day(local), "day_of_week": timefn.day_of_week_monday0(local),
+                         "month": timefn.month_of_year(local), "dist_from_center": geo.dist_from_center(),
+                         "is_planned": (i % 7 == 0).cast("int"), "snap_distance_m": ((i * 31) % 1000).cast("double"),
+                         "veh_type": F.get(F.array(*map(F.lit, VEHICLES)), (i % 5).cast("int")),  # every fifth has none
+                         "is_val": F.col("split") == "val"})
+    return df.withColumn("low_confidence_snap", geo.low_confidence("snap_distance_m").cast("int"))
+
+
+def _encoded(df, cols, label):
+    """(TRAIN rows with out-of-fold encodings, other rows with TRAIN's encodings)."""
+    tr, rest = df.where(F.col("split") == "train"), df.where(F.col("split") != "train")
+    g = tr.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    fitted = tr
+    for c in cols:
+        fitted = encode.target_encode_oof(fitted, c, label, g=g)
+        rest = encode.apply_encoder(rest, encode.encoder_table(tr, c, label, g), c, g)
+    return fitted, rest
 
 
 def _regressor(spark, sf_dir):
+    """(TEST rows as encoded for the regressor, model)."""
     learn.assert_no_leak(REG_SPEC, Y_CLF)
-    df = incidents(spark, sf_dir)
-    model = learn.fit_regressor(df.where(F.col("split") != "test"), REG_SPEC, Y_REG, max_iter=ITER)
-    return df, model
-
-
-def _classifier_inputs(spark, sf_dir):
-    df = incidents(spark, sf_dir)
-    tr = df.where(F.col("split") == "train")
-    g = encode.global_mean(tr, Y_CLF)
-    tr = encode.target_encode_oof(encode.target_encode_oof(tr, "junction", Y_CLF, g=g), "zone", Y_CLF, g=g)
-    rest = df.where(F.col("split") != "train")
-    for c in ("junction", "zone"):
-        rest = encode.apply_encoder(rest, encode.encoder_table(df.where(F.col("split") == "train"), c, Y_CLF, g), c, g)
-    tr = sampling.oversample(tr, Y_CLF).drop("copy")
-    return tr, rest
+    tr, rest = _encoded(incidents(spark, sf_dir), ["junction"], Y_REG)
+    rows = stored(tr.unionByName(rest))
+    model = learn.fit_regressor(rows.where(F.col("split") != "test"), REG_SPEC, Y_REG)
+    return rows.where(F.col("split") == "test"), model
 
 
 def _classifier(spark, sf_dir):
+    """(TEST rows as encoded for the classifier, model); TRAIN is oversampled."""
     learn.assert_no_leak(CLF_SPEC, Y_REG)
-    tr, rest = _classifier_inputs(spark, sf_dir)
-    fit_rows = tr.unionByName(rest.where(F.col("split") == "val"))
-    return rest, learn.fit_classifier(fit_rows, CLF_SPEC, Y_CLF, max_iter=ITER)
+    tr, rest = _encoded(incidents(spark, sf_dir), ["junction", "zone"], Y_CLF)
+    rest = stored(rest)
+    rows = stored(sampling.oversample(tr, Y_CLF).drop("copy").unionByName(rest.where(F.col("split") == "val")))
+    return rest.where(F.col("split") == "test"), learn.fit_classifier(rows, CLF_SPEC, Y_CLF)
 
 
-@query("gbt_regressor")
+_TEST = f"{X5_SPLIT_SQL} SELECT incident_id, true AS valid FROM split_rows WHERE split = 'test'"
+
+
+@query("gbt_regressor", _TEST)
 def q_gbt_regressor(spark, sf_dir):
-    df, model = _regressor(spark, sf_dir)
-    p = learn.predict_minutes(model, df.where(F.col("split") == "test"), REG_SPEC)
-    return p.select("incident_id", F.round("predicted_resolution_minutes", 6).alias("predicted_resolution_minutes"))
+    """M6 + M8: every TEST row gets minutes, none of them negative."""
+    test, model = _regressor(spark, sf_dir)
+    p = learn.predict_minutes(model, test, REG_SPEC)
+    return p.select("incident_id", F.coalesce(F.col("predicted_resolution_minutes") >= 0, F.lit(False)).alias("valid"))
 
 
-@query("gbt_classifier")
+@query("gbt_classifier", _TEST)
 def q_gbt_classifier(spark, sf_dir):
-    rest, model = _classifier(spark, sf_dir)
-    p = learn.predict_probability(model, rest.where(F.col("split") == "test"), CLF_SPEC)
-    return p.select("incident_id", F.round("closure_probability", 6).alias("closure_probability"))
+    """M7 + M8: every TEST row gets a probability."""
+    test, model = _classifier(spark, sf_dir)
+    p = learn.predict_probability(model, test, CLF_SPEC)
+    return p.select("incident_id", F.coalesce(F.col("closure_probability").between(0.0, 1.0), F.lit(False)).alias("valid"))
+
 
+_FEATURES = ", ".join(f"('{c}')" for c in REG_SPEC.columns)
 
-@query("feature_importance")
+
+@query("feature_importance", f"SELECT feature, true AS valid FROM (VALUES {_FEATURES}) f(feature)")
 def q_feature_importance(spark, sf_dir):
+    """M10 + W6: all features of the regressor, the useful ones with positive gain."""
     _, model = _regressor(spark, sf_dir)
-    return learn.feature_importance(model, REG_SPEC, scratch_path(spark, "regressor_trees"), top=15)
+    imp = learn.feature_importance(model, REG_SPEC, scratch_path(spark, f"trees-{uuid.uuid4().hex}"), top=15)
+    return imp.select("feature", ((F.col("gain_importance") >= 0) & (
+        (F.col("split_importance") > 0) | (F.col("gain_importance") == 0))).alias("valid"))
 
 
-@query("predict")
+@query("predict", f"""{X5_SPLIT_SQL}
+SELECT incident_id, true AS valid, true AS scored FROM split_rows WHERE split = 'test'""")
 def q_predict(spark, sf_dir):
     """M8 + M13: both models on TEST rows, then the TRAIN-fitted risk scorer."""
-    df, reg = _regressor(spark, sf_dir)
-    rest, clf = _classifier(spark, sf_dir)
-    test = rest.where(F.col("split") == "test")
-    p = learn.predict_probability(clf, test, CLF_SPEC)
-    p = learn.predict_minutes(reg, p.drop("predicted_resolution_minutes"), REG_SPEC)
-    scorer = RiskScorer().fit(df.where(F.col("split") == "train"))
-    s = scorer.score(p)
-    return s.select("incident_id", F.round("closure_probability", 6).alias("closure_probability"),
-                    F.round("predicted_resolution_minutes", 6).alias("predicted_resolution_minutes"),
-                    "cascade_risk_score", "priority")
+    test, reg = _regressor(spark, sf_dir)
+    ctest, clf = _classifier(spark, sf_dir)
+    minutes = learn.predict_minutes(reg, test.drop("predicted_resolution_minutes"), REG_SPEC)
+    prob = learn.predict_probability(clf, ctest.drop("closure_probability"), CLF_SPEC).select("incident_id", "closure_probability")
+    p = minutes.drop("closure_probability").join(prob, "incident_id")
+    train = x5_with_split(spark, sf_dir).where(F.col("split") == "train")
+    s = RiskScorer().fit(train).score(p)
+    ok = F.col("closure_probability").between(0.0, 1.0) & (F.col("predicted_resolution_minutes") >= 0)
+    return s.select("incident_id", F.coalesce(ok, F.lit(False)).alias("valid"),
+                    (F.col("cascade_risk_score").between(0.0, 100.0) & F.col("priority").isNotNull()).alias("scored"))
+
+
+@query("model_evaluation", f"""{X5_SPLIT_SQL}
+SELECT 'regression' AS part, count(*) AS n, true AS better, true AS in_range FROM split_rows WHERE split = 'test'
+UNION ALL SELECT 'classification', count(*), true, true FROM split_rows WHERE split = 'test'""")
+def q_model_evaluation(spark, sf_dir):
+    """E1 E2 E5 on the fitted models' own predictions: the regressor is held
+    against the TRAIN-mean baseline, the classifier is cut at the threshold
+    tuned on the validation rows' predictions."""
+    from roadpulse.operators import evaluate as ev
+    test, reg = _regressor(spark, sf_dir)
+    minutes = learn.predict_minutes(reg, test.drop("predicted_resolution_minutes"), REG_SPEC)
+    mean = ev.baselines(x5_with_split(spark, sf_dir).where(F.col("split") == "train"), Y_REG, Y_CLF).first()["train_mean"]
+    m = {r["model"]: r for r in ev.regression_metrics(
+        minutes, Y_REG, {"model": "predicted_resolution_minutes", "mean": F.lit(mean)}).collect()}
+    learn.assert_no_leak(CLF_SPEC, Y_REG)
+    tr, rest = _encoded(incidents(spark, sf_dir), ["junction", "zone"], Y_CLF)
+    rest = stored(rest)
+    val = rest.where(F.col("split") == "val")
+    clf = learn.fit_classifier(stored(sampling.oversample(tr, Y_CLF).drop("copy").unionByName(val)), CLF_SPEC, Y_CLF)
+    best = ev.best_threshold(ev.threshold_sweep(learn.predict_probability(clf, val.drop("closure_probability"), CLF_SPEC),
+                                                Y_CLF, "closure_probability")).first()
+    ctest = learn.predict_probability(clf, rest.where(F.col("split") == "test").drop("closure_probability"), CLF_SPEC)
+    c = ev.classification_metrics(ctest.withColumn("pred", F.col("closure_probability") >= best["threshold"]), Y_CLF, "pred").first()
+    n = test.count()
+    # random targets: the model must at least not be far behind the mean
+    rows = [("regression", n, m["model"]["rmse"] <= 1.25 * m["mean"]["rmse"], m["model"]["mae"] >= 0.0),
+            ("classification", ctest.count(), 0.01 <= best["threshold"] <= 0.99, all(0.0 <= c[k] <= 1.0 for k in ("accuracy", "precision", "recall", "f1")))]
+    return spark.createDataFrame(rows, "part string, n long, better boolean, in_range boolean")
