@@ -14,11 +14,14 @@ iterative DataFrame jobs whose state is partitioned by ``(source, node)``:
    tight arcs split in proportion ``sigma(a)/sigma(b)``; the flow crossing an
    arc, summed over rounds and sources, is the arc's Brandes credit.
 
-Each round is one job (persist + count of the round's new rows); the state
-is written as a reliable ``checkpoint()`` every few rounds and the result at
-the end, so lineage stays bounded and a lost executor costs a recompute from
-the last checkpoint. The driver only reads row counts. Integer lengths make
-the tight-arc test exact.
+Each round is one job, whose output (only what the round improved) is written
+to the shared folder; the improvements of several rounds are merged by their
+minimum now and then, so plans stay short and a round writes its frontier, not
+the whole state. The driver only reads row counts.
+
+Lengths are metres as doubles; inside they are whole millimetres, which makes
+the tight-arc test exact. A length that is missing or not at least a
+millimetre is an error: a cycle of zero length has no shortest paths to count.
 """
 
 from __future__ import annotations
@@ -79,28 +82,32 @@ def _arcs(edges: DataFrame) -> DataFrame:
             .unionByName(e.select(F.col("v").alias("a"), F.col("u").alias("b"), "w")))
 
 
+MERGE_ROUNDS = 8  # rounds whose improvements are kept apart
+
+
 def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Frontier relaxation. ``dist`` carries the round ``r`` in which each
-    (source, node) last improved; the frontier is the rows of the previous
-    round. Each round merges the candidates into ``dist`` with one full outer
-    join on the (source, node) key and cuts the plan with a reliable
-    checkpoint, so the plan never grows with the number of rounds."""
-    dist = stored(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d"),
-                                      F.lit(0).alias("r")))
-    k = 0
+    """Frontier relaxation: each round writes the (source, node) rows that it
+    improved, which are the next frontier. The best distance so far is the
+    minimum over all that was written."""
+    frontier = stored(sources.select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("d")))
+    written = [frontier]
+
+    def best() -> DataFrame:
+        whole = written[0]
+        for part in written[1:]:
+            whole = whole.unionByName(part)
+        return whole.groupBy("s", "node").agg(F.min("d").alias("d")) if len(written) > 1 else whole
+
     while True:
-        k += 1
-        frontier = dist.where(F.col("r") == k - 1)
         cand = (frontier.join(arcs, frontier.node == arcs.a)
                 .groupBy("s", F.col("b").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("cd")))
-        better = F.col("cd").isNotNull() & (F.col("d").isNull() | (F.col("cd") < F.col("d")))
-        dist, m = stored_with_metrics(
-            dist.join(cand, ["s", "node"], "full_outer").select(
-                "s", "node", F.when(better, F.col("cd")).otherwise(F.col("d")).alias("d"),
-                F.when(better, F.lit(k)).otherwise(F.col("r")).alias("r")),
-            improved=F.count_if(F.col("r") == F.lit(k)))
-        if not m["improved"]:
-            return dist.select("s", "node", "d")
+        better = cand.join(best(), ["s", "node"], "left").where(F.col("d").isNull() | (F.col("cd") < F.col("d")))
+        frontier, m = stored_with_metrics(better.select("s", "node", F.col("cd").alias("d")), n=F.count(F.lit(1)))
+        if not m["n"]:
+            return stored(best())
+        written.append(frontier)
+        if len(written) > MERGE_ROUNDS:
+            written = [stored(best())]
 
 
 def _tight(dist: DataFrame, arcs: DataFrame, st: RoundState) -> DataFrame:
@@ -150,12 +157,22 @@ def _credits(sigma: DataFrame, tight: DataFrame, st: RoundState) -> DataFrame:
             .agg(F.sum("f").alias("credit")))
 
 
+MILLIMETRES = 1000
+
+
+def n_sources(n: int, k: int | None = None) -> int | None:
+    """How many pivots: None (every node is a source) up to the exact
+    threshold, else ``min(500, n - 1)``; a given ``k`` holds as it is."""
+    return k if k is not None else None if n <= EXACT_THRESHOLD_NODES else min(K_PIVOTS, n - 1)
+
+
 def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int | None = None,
                      seed: int = SEED, normalized: bool = True) -> DataFrame:
     """Weighted edge betweenness of a simple undirected graph.
 
-    ``edges(u, v, w)`` with ``u <= v`` and positive integer ``w``. With ``k``
-    the sources are k md5-chosen pivots and the result is rescaled by n/k.
+    ``edges(u, v, w)`` with ``u <= v`` and lengths ``w`` in metres (a millimetre
+    at least). All nodes are sources up to ``EXACT_THRESHOLD_NODES``; beyond,
+    or with ``k``, md5-chosen pivots are, and the result is rescaled by n/k.
     Normalised as ordered-pair dependency sum / (n(n-1)). Returns
     ``(u, v, centrality)`` for every input edge (0 when on no shortest path).
     """
@@ -163,6 +180,7 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
         nodes = (edges.select(F.col("u").alias("node_id"))
                  .unionByName(edges.select(F.col("v").alias("node_id"))).distinct())
     n = nodes.count()
+    k = n_sources(n, k)
     sources = (pivot_sources(nodes, k, seed) if k is not None
                else nodes.select(F.col("node_id").alias("s")))
     st = RoundState()
@@ -170,8 +188,12 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
     # the arcs are static and small next to the (source, node) state; they are
     # kept unpartitioned so each frontier join shuffles both sides and AQE can
     # split the partition of a high-degree hub (skew join)
-    arcs = st.keep(_arcs(edges.select("u", "v", F.col("w").cast("long").alias("w"))))
-    dist = _distances(sources, arcs)  # already a checkpointed table
+    whole = F.round(F.col("w").cast("double") * MILLIMETRES).cast("long")
+    arcs, m = stored_with_metrics(_arcs(edges.select("u", "v", whole.alias("w"))),
+                                  bad=F.count_if(F.coalesce(F.col("w"), F.lit(0)) <= 0))
+    if m["bad"]:
+        raise ValueError(f"{m['bad'] // 2} edges have no length or one below a millimetre")
+    dist = _distances(sources, arcs)
     tight = _tight(dist, arcs, st)
     sigma = _path_counts(sources, tight, st)
     credit = stored(_credits(sigma, tight, st))

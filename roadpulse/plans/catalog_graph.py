@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadpulse.operators import graph
-from roadpulse.plans.adapters import X4_SQL, x4_edges
+from roadpulse.plans.adapters import X3_NODES_SQL, X4_SQL, x3_nodes, x4_edges
 from roadpulse.plans.registry import query
+from roadpulse.session import stored
 from roadpulse.sources.tables import table
 
-PIVOTS = 5
-
 _BASE = f"""WITH RECURSIVE e AS ({X4_SQL}),
   arcs AS (SELECT u AS a, v AS b, w FROM e WHERE u <> v UNION ALL SELECT v, u, w FROM e WHERE u <> v),
   nodes AS (SELECT u AS node FROM e UNION SELECT v FROM e),
@@ -26,7 +25,8 @@ _BASE = f"""WITH RECURSIVE e AS ({X4_SQL}),
   paths(s, node) AS (SELECT node, node FROM nodes UNION ALL
                      SELECT p.s, t.b FROM paths p JOIN tight t ON t.s = p.s AND t.a = p.node),
   sigma AS (SELECT s, node, count(*)::DOUBLE AS sg FROM paths GROUP BY 1, 2),
-  piv AS (SELECT node FROM nodes ORDER BY md5('42:' || CAST(node AS VARCHAR)), node LIMIT {PIVOTS}),
+  k AS (SELECT least(500, count(*) - 1) AS k FROM nodes),
+  piv AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY md5('42:' || CAST(node AS VARCHAR)), node) AS r FROM nodes), k WHERE r <= k),
   cred AS (SELECT t.s, least(t.a, t.b) AS u, greatest(t.a, t.b) AS v, sa.sg * sb.sg / sst.sg AS c
            FROM tight t
            JOIN sigma sa ON sa.s = t.s AND sa.node = t.a
@@ -52,11 +52,36 @@ def q_edge_betweenness(spark, sf_dir):
 
 
 @query("edge_betweenness_pivots", f"""{_BASE}
-SELECT e.u, e.v, round(coalesce(c, 0e0) * (n / {PIVOTS}) / (n * (n - 1)), 12) AS centrality
+SELECT e.u, e.v, round(coalesce(c, 0e0) * (n / k) / (n * (n - 1)), 12) AS centrality
 FROM e LEFT JOIN (SELECT u, v, sum(c) AS c FROM cred WHERE s IN (SELECT node FROM piv) GROUP BY 1, 2)
-USING (u, v), n""")
+USING (u, v), n, k""")
 def q_edge_betweenness_pivots(spark, sf_dir):
-    eb = graph.edge_betweenness(nation_edges(spark, sf_dir), k=PIVOTS)
+    """Pivots as beyond the exact threshold, min(500, n - 1) of them."""
+    edges = stored(nation_edges(spark, sf_dir))
+    n = edges.select(F.explode(F.array("u", "v"))).distinct().count()
+    eb = graph.edge_betweenness(edges, k=min(graph.K_PIVOTS, n - 1))
+    return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
+
+
+STRETCH = 8  # nodes of a stretch of road: the rounds needed stay the same as the network grows
+
+
+@query("edge_betweenness_roads", f"""WITH n AS (SELECT *, node_id // {STRETCH} AS stretch FROM ({X3_NODES_SQL}) x),
+  p AS (SELECT node_id AS u, lead(node_id) OVER w AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY label, stretch) AS l
+        FROM n WINDOW w AS (PARTITION BY label, stretch ORDER BY node_id)),
+  t AS (SELECT count(*)::DOUBLE AS n FROM p)
+SELECT u, v, round(2e0 * i * (l - i) / (n * (n - 1)), 12) AS centrality FROM p, t WHERE v IS NOT NULL""")
+def q_edge_betweenness_roads(spark, sf_dir):
+    """G2 on a network that grows with the data: stretches of road with lengths
+    from coordinates. On a path of l nodes, i of them before an edge, 2 i (l - i)
+    ordered pairs pass it."""
+    from pyspark.sql import Window
+    n = x3_nodes(spark, sf_dir).withColumn("stretch", F.floor(F.col("node_id") / STRETCH))
+    w = Window.partitionBy("label", "stretch").orderBy("node_id")
+    nxt = lambda c: F.lead(c).over(w)
+    e = n.select(F.col("node_id").alias("u"), nxt("node_id").alias("v"),
+                 F.hypot(nxt("x") - F.col("x"), nxt("y") - F.col("y")).alias("w")).where("v IS NOT NULL")
+    eb = graph.edge_betweenness(stored(e), n.select("node_id"))
     return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
 
 

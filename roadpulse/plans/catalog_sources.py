@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from roadpulse.operators import clean, encode
 from roadpulse.operators.risk import RiskScorer
-from roadpulse.plans.adapters import X1_SQL, X4_SQL, x1_lifecycle, x4_edges
+from roadpulse.plans.adapters import X1_SQL, X3_EDGES_SQL, X3_NODES_SQL, x1_lifecycle, x3_edges, x3_nodes
 from roadpulse.plans.catalog_clean import YEAR_MIN
 from roadpulse.plans.catalog_features import TE_BASE, LABEL, x2_split
 from roadpulse.plans.catalog_risk import FIT_SQL, x5_with_split
@@ -50,16 +50,31 @@ def q_csv_intake(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("resolution_minutes"), 6).alias("mean"))
 
 
-@query("graphml_roundtrip", f"""WITH e AS ({X4_SQL}) SELECT u, v, 0 AS key, CAST(w AS DOUBLE) AS length FROM e""")
+@query("graphml_roundtrip", f"""WITH n AS ({X3_NODES_SQL}), e AS ({X3_EDGES_SQL})
+SELECT e.u, e.v, e.key, CASE WHEN e.u % 3 = 0 THEN 1 + i ELSE 0 END AS part, CASE WHEN e.u % 5 = 0 THEN NULL ELSE e.ux END AS length,
+       CASE WHEN e.u % 3 = 0 AND i = 1 THEN e.ux + 1e0 ELSE e.ux END AS ux, CASE WHEN e.u % 3 = 0 AND i = 1 THEN e.uy + 2e0 ELSE e.uy END AS uy,
+       CASE WHEN e.u % 3 = 0 AND i = 0 THEN e.ux + 1e0 ELSE e.vx END AS vx, CASE WHEN e.u % 3 = 0 AND i = 0 THEN e.uy + 2e0 ELSE e.vy END AS vy
+FROM e, range(2) r(i) WHERE i = 0 OR e.u % 3 = 0""")
 def q_graphml_roundtrip(spark, sf_dir):
-    """S5 + S6: the nation graph written as GraphML edges, read back through the
-    XML source and cached as parquet (cache-first on the second read)."""
+    """S5 + S6 + J4: the road network written as GraphML (numbered keys, nodes,
+    some edges with a bend as geometry, some without a length), read back
+    through the XML source, cut into segments and cached as parquet."""
     path = _tmp(spark, "graphml")
-    e = x4_edges(spark, sf_dir).select("u", "v", F.lit(0).alias("key"), F.col("w").cast("double").alias("length"))
-    src.write_graphml_edges(e, path)
-    _, edges = src.read_graphml(spark, path)
+    e = x3_edges(spark, sf_dir)
+    at = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    bend = F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", at(F.col("ux"), F.col("uy")), at(F.col("ux") + 1, F.col("uy") + 2),
+                                                       at(F.col("vx"), F.col("vy"))), F.lit(")"))
+    src.write_graphml(x3_nodes(spark, sf_dir), e.select(
+        "u", "v", "key", F.when(F.col("u") % 5 != 0, F.col("ux")).alias("length"), F.when(F.col("u") % 3 == 0, bend).alias("geometry")), path)
+    nodes, edges = src.read_graphml(spark, f"{path}/*")
     cache = _tmp(spark, "graph_cache")
-    return src.cached_graph(spark, cache, lambda: edges).select("u", "v", "key", "length")
+    edges = src.cached_graph(spark, cache, lambda: edges)
+    lengths = edges.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "length")
+    seg = src.edge_segments(nodes, edges)
+    first = seg.join(nodes.select(F.col("node_id").alias("u"), "x", "y"), "u")
+    part = F.when(F.col("u") % 3 != 0, 0).when((F.col("ux") == F.col("x")) & (F.col("uy") == F.col("y")), 1).otherwise(2)
+    return first.join(lengths, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v"))).select(
+        "u", "v", "key", part.alias("part"), "length", "ux", "uy", "vx", "vy")
 
 
 _META_SCHEMA = T.StructType([T.StructField("feature", T.StringType()),

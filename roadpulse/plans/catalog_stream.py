@@ -60,11 +60,11 @@ def q_stream_corridors(spark, sf_dir):
 SELECT strftime(date_trunc('hour', split_timestamp), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
 FROM x2 GROUP BY 1""")
 def q_stream_hours(spark, sf_dir):
-    """ST3: 1-hour tumbling windows on event time with a watermark."""
+    """ST3: 1-hour tumbling windows on event time; update mode, so that the
+    watermark frees the state of closed windows."""
     out = jobs.new_run_dir(spark, "hours")
-    jobs.run_available_now(jobs.hourly_counts(_x5_stream(spark, sf_dir)), out, mode="complete",
-                           batch_fn=jobs.overwrite_batch)
-    return spark.read.parquet(f"{out}/data").select(
+    jobs.run_available_now(jobs.hourly_counts(_x5_stream(spark, sf_dir)), out, mode="update", batch_fn=jobs.upsert_batch)
+    return jobs.latest(spark.read.parquet(f"{out}/data"), ["window_start"], ["n"]).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 

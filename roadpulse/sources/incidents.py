@@ -60,48 +60,90 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 # ------------------------------------------------------------- S5/S6 graph
-GRAPHML_NODE = T.StructType([
-    T.StructField("_id", T.LongType()),
-    T.StructField("data", T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()),
-                                                    T.StructField("_key", T.StringType())]))),
-])
-GRAPHML_EDGE = T.StructType([
-    T.StructField("_source", T.LongType()),
-    T.StructField("_target", T.LongType()),
-    T.StructField("_id", T.IntegerType()),
-    T.StructField("data", T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()),
-                                                    T.StructField("_key", T.StringType())]))),
-])
-
-
-def _data_value(key: str):
+GRAPHML_DATA = T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_key", T.StringType())]))
+GRAPHML_NODE = T.StructType([T.StructField("_id", T.LongType()), T.StructField("data", GRAPHML_DATA)])
+GRAPHML_EDGE = T.StructType([T.StructField("_source", T.LongType()), T.StructField("_target", T.LongType()),
+                             T.StructField("_id", T.IntegerType()), T.StructField("data", GRAPHML_DATA)])
+GRAPHML_KEY = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_for", T.StringType()),
+                            T.StructField("_attr.name", T.StringType()), T.StructField("_attr.type", T.StringType())])
+
+
+def graphml_keys(spark: SparkSession, path: str) -> dict[tuple[str, str], str]:
+    """(node or edge, attribute name) -> key id, from the file's <key> elements
+    (a handful; they are the file's schema)."""
+    rows = spark.read.format("xml").option("rowTag", "key").schema(GRAPHML_KEY).load(path).collect()
+    return {(r["_for"], r["_attr.name"]): r["_id"] for r in rows if r["_id"] and r["_attr.name"]}
+
+
+def _data_value(key: str | None):
+    if key is None:
+        return F.lit(None).cast("string")
     # get() tolerates an element without that key (ANSI indexing would fail)
     return F.get(F.filter("data", lambda x: x["_key"] == key), 0)["_VALUE"]
 
 
-def read_graphml(spark: SparkSession, path: str, x_key: str = "x", y_key: str = "y",
-                 length_key: str = "length") -> tuple[DataFrame, DataFrame]:
+def _key_of(keys: dict[tuple[str, str], str], kind: str, name: str, needed: bool) -> str | None:
+    """The id under which an attribute is stored. A file without any <key>
+    element names its attributes directly."""
+    if not keys:
+        return name
+    got = keys.get((kind, name)) or keys.get(("all", name))
+    if got is None and needed:
+        raise ValueError(f"the file declares no {name!r} for a {kind}; it has {sorted(n for k, n in keys if k in (kind, 'all'))}")
+    return got
+
+
+def read_graphml(spark: SparkSession, path: str, x: str = "x", y: str = "y", length: str = "length",
+                 geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
     """GraphML through the built-in XML source -> (nodes, edges).
 
-    Keyed values are picked from each element's ``data`` list; a missing or
-    non-numeric length becomes NULL (the collapse then uses 1.0).
+    Attributes are looked up by name in the file's key table (``<key id="d9"
+    attr.name="length">``). A file that declares keys but no length, x or y is
+    an error; an element without a length has NULL (the collapse then uses
+    1.0). ``geometry`` is the edge's shape as WKT text, NULL for a straight edge.
     """
+    keys = graphml_keys(spark, path)
+    node = lambda name: _data_value(_key_of(keys, "node", name, True)).try_cast("double")
     nodes = (spark.read.format("xml").option("rowTag", "node").schema(GRAPHML_NODE).load(path)
-             .select(F.col("_id").alias("node_id"), _data_value(x_key).try_cast("double").alias("x"),
-                     _data_value(y_key).try_cast("double").alias("y")))
+             .select(F.col("_id").alias("node_id"), node(x).alias("x"), node(y).alias("y")))
     edges = (spark.read.format("xml").option("rowTag", "edge").schema(GRAPHML_EDGE).load(path)
              .select(F.col("_source").alias("u"), F.col("_target").alias("v"),
                      F.coalesce(F.col("_id"), F.lit(0)).alias("key"),
-                     _data_value(length_key).try_cast("double").alias("length")))
+                     _data_value(_key_of(keys, "edge", length, True)).try_cast("double").alias("length"),
+                     _data_value(_key_of(keys, "edge", geometry, False)).alias("geometry")))
     return nodes, edges
 
 
-def write_graphml_edges(edges: DataFrame, path: str, length_key: str = "length") -> None:
-    """Edges as GraphML ``<edge source target id><data key>..</data></edge>`` rows."""
-    rows = edges.select(F.col("u").alias("_source"), F.col("v").alias("_target"), F.col("key").alias("_id"),
-                        F.array(F.struct(F.col("length").cast("string").alias("_VALUE"),
-                                         F.lit(length_key).alias("_key"))).alias("data"))
-    rows.write.mode("overwrite").format("xml").option("rootTag", "graph").option("rowTag", "edge").save(path)
+def edge_segments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every edge as straight segments (u, v, key, ux, uy, vx, vy): along its
+    LINESTRING where it has one, else between its nodes."""
+    numbers = F.transform(F.split(F.regexp_extract("geometry", r"LINESTRING\s*\(([^)]*)\)", 1), r"\s*,\s*"),
+                          lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda v: v.try_cast("double")))
+    drawn = edges.where(F.col("geometry").rlike(r"LINESTRING\s*\(")).select("u", "v", "key", numbers.alias("p"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(
+        F.get(F.get("p", i), F.lit(0)).alias("ux"), F.get(F.get("p", i), F.lit(1)).alias("uy"),
+        F.get(F.get("p", i + 1), F.lit(0)).alias("vx"), F.get(F.get("p", i + 1), F.lit(1)).alias("vy")))
+    bent = drawn.where(F.size("p") > 1).select("u", "v", "key", F.explode(steps).alias("s")).select("u", "v", "key", "s.*")
+    plain = edges.where(F.col("geometry").isNull() | ~F.col("geometry").rlike(r"LINESTRING\s*\(")).select("u", "v", "key")
+    a = nodes.select(F.col("node_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
+    b = nodes.select(F.col("node_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    return bent.unionByName(plain.join(a, "u").join(b, "v").select("u", "v", "key", "ux", "uy", "vx", "vy"))
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A folder of GraphML files: keys, nodes (node_id, x, y), edges (u, v, key,
+    length and, if there, geometry). Attributes are stored under numbered keys."""
+    spark = edges.sparkSession
+    names = [("node", "x"), ("node", "y"), ("edge", "length"), ("edge", "geometry")]
+    keys = spark.createDataFrame([(f"d{i}", kind, name, "string" if name == "geometry" else "double")
+                                  for i, (kind, name) in enumerate(names)], GRAPHML_KEY).coalesce(1)
+    datum = lambda i, c: F.struct(c.cast("string").alias("_VALUE"), F.lit(f"d{i}").alias("_key"))
+    rows = nodes.select(F.col("node_id").alias("_id"), F.array(datum(0, F.col("x")), datum(1, F.col("y"))).alias("data"))
+    shape = F.col("geometry") if "geometry" in edges.columns else F.lit(None).cast("string")
+    arcs = edges.select(F.col("u").alias("_source"), F.col("v").alias("_target"), F.col("key").alias("_id"),
+                        F.filter(F.array(datum(2, F.col("length")), datum(3, shape)), lambda d: d["_VALUE"].isNotNull()).alias("data"))
+    for part, df, tag in (("keys", keys, "key"), ("nodes", rows, "node"), ("edges", arcs, "edge")):
+        df.write.mode("overwrite").format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{path.rstrip('/')}/{part}")
 
 
 def cached_graph(spark: SparkSession, cache: str, build) -> DataFrame:

@@ -20,12 +20,22 @@ from roadpulse.operators.risk import RiskScorer
 from roadpulse.session import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, file_glob: str, schema=None) -> DataFrame:
-    """A parquet file stream over ``folder`` restricted to ``file_glob``."""
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that Spark itself uses for the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def file_stream(spark: SparkSession, folder: str, table: str, schema=None, files_per_batch: int = 1000) -> DataFrame:
+    """A parquet stream over ``folder/table``, which may be one file or (as
+    Spark itself writes tables) a folder of part files."""
+    path = f"{folder.rstrip('/')}/{table}"
     if schema is None:
-        schema = spark.read.parquet(f"{folder.rstrip('/')}/{file_glob}").schema  # footer only (S4)
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", 1000).parquet(folder))
+        schema = spark.read.parquet(path).schema  # footer only (S4)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", table).parquet(folder)
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -45,6 +55,17 @@ def run_available_now(stream: DataFrame, out: str, mode: str = "append", fmt: st
         raise RuntimeError(str(q.exception()))
 
 
+def upsert_batch(df: DataFrame, epoch: int, path: str) -> None:
+    """Update-mode rows, kept per epoch (a repeated epoch replaces itself)."""
+    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def latest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The last update of every key."""
+    new = F.max_by(F.struct(*values), "epoch").alias("new")
+    return df.groupBy(*keys).agg(new).select(*keys, "new.*")
+
+
 def overwrite_batch(df: DataFrame, epoch: int, path: str) -> None:
     """Complete-mode state written as a table; the last epoch wins (idempotent)."""
     df.write.mode("overwrite").parquet(path)

@@ -69,3 +69,22 @@ def test_assign_unordered_lookup(spark):
     got = {r["incident_id"]: r["centrality_score"] for r in graph.assign_centrality(pts, cent).collect()}
     assert got == {10: 0.5, 11: 0.5, 12: None, 13: None}
     assert F is not None
+
+
+def test_fractional_lengths_and_gate(spark):
+    """Lengths of 1.6, 1.6 and 3.1 are told apart; none below a millimetre passes."""
+    tri = [(1, 2, 1.6), (2, 3, 1.6), (1, 3, 3.1)]
+    df = spark.createDataFrame(tri, "u long, v long, w double")
+    got = {(r["u"], r["v"]): r["centrality"] for r in graph.edge_betweenness(df).collect()}
+    assert got == pytest.approx({(1, 2): 1 / 3, (2, 3): 1 / 3, (1, 3): 1 / 3})
+    short = spark.createDataFrame([(1, 2, 0.4), (2, 3, 0.4), (1, 3, 0.9)], "u long, v long, w double")
+    got = {(r["u"], r["v"]): r["centrality"] for r in graph.edge_betweenness(short).collect()}
+    assert got == pytest.approx({(1, 2): 2 / 3, (2, 3): 2 / 3, (1, 3): 0.0})
+    for bad in (0.0, -1.0, 0.0001, None):
+        with pytest.raises(ValueError, match="1 edges"):
+            graph.edge_betweenness(spark.createDataFrame([(1, 2, bad), (2, 3, 1.0)], "u long, v long, w double"))
+
+
+def test_pivot_rule():
+    assert graph.n_sources(25) is None and graph.n_sources(3000) is None
+    assert graph.n_sources(3001) == 500 and graph.n_sources(10, 4) == 4

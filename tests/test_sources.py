@@ -77,6 +77,26 @@ def test_graphml_reader(spark, tmp_path):
     assert e == [(1, 2, 0, 12.5), (2, 1, 0, None)]
 
 
+def test_graphml_numbered_keys_and_geometry(spark, tmp_path):
+    head = """<?xml version='1.0' encoding='utf-8'?><graphml>
+<key id="d4" for="node" attr.name="x" attr.type="double"/><key id="d5" for="node" attr.name="y" attr.type="double"/>
+<key id="d7" for="edge" attr.name="name" attr.type="string"/>%s<key id="d12" for="edge" attr.name="geometry" attr.type="string"/>
+<graph edgedefault="directed"><node id="1"><data key="d4">0.5</data><data key="d5">1</data></node>
+<node id="2"><data key="d4">3</data><data key="d5">4</data></node>
+<edge source="1" target="2" id="0"><data key="d9">12.5</data><data key="d12">LINESTRING (0.5 1, 2 2, 3 4)</data></edge>
+<edge source="2" target="1" id="1"><data key="d7">length</data></edge></graph></graphml>"""
+    p = tmp_path / "g.graphml"
+    p.write_text(head % '<key id="d9" for="edge" attr.name="length" attr.type="double"/>')
+    nodes, edges = src.read_graphml(spark, str(p))
+    assert sorted((r["u"], r["key"], r["length"]) for r in edges.collect()) == [(1, 0, 12.5), (2, 1, None)]
+    assert sorted((r["node_id"], r["x"], r["y"]) for r in nodes.collect()) == [(1, 0.5, 1.0), (2, 3.0, 4.0)]
+    assert sorted(tuple(r) for r in src.edge_segments(nodes, edges).collect()) == [
+        (1, 2, 0, 0.5, 1.0, 2.0, 2.0), (1, 2, 0, 2.0, 2.0, 3.0, 4.0), (2, 1, 1, 3.0, 4.0, 0.5, 1.0)]
+    p.write_text(head % "")
+    with pytest.raises(ValueError, match="no 'length'"):
+        src.read_graphml(spark, str(p))
+
+
 def test_header_peek(spark):
     from conftest import SF001
     from roadpulse.sources.tables import schema_only

@@ -3,6 +3,8 @@
 import datetime as dt
 import time
 
+from pyspark.sql import functions as F
+
 from roadpulse.streaming import jobs
 
 
@@ -40,3 +42,24 @@ def test_dedup_within_watermark(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.run_available_now(jobs.dedup(stream, "incident_id"), out)
     assert sorted(r["incident_id"] for r in spark.read.parquet(f"{out}/data").collect()) == [1, 2]
+
+
+def test_stream_reads_files_and_folders(spark, tmp_path):
+    """A table that is one file and one that is a folder of parts, in several micro-batches."""
+    rows = spark.range(100).selectExpr("id AS incident_id", "timestamp_seconds(id * 600) AS event_time")
+    rows.repartition(4).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    part = next((tmp_path / "parts").glob("part-*.parquet"))
+    (tmp_path / "single").mkdir()
+    (tmp_path / "single" / "events.parquet").write_bytes(part.read_bytes())
+    want = {r["h"]: r["n"] for r in rows.groupBy(F.date_trunc("hour", "event_time").alias("h")).agg(F.count("*").alias("n")).collect()}
+    for shape in ("folder", "single"):
+        stream = jobs.file_stream(spark, str(tmp_path / shape), "events.parquet", files_per_batch=1)
+        out = str(tmp_path / f"out-{shape}")
+        jobs.run_available_now(stream.select("incident_id"), out)
+        assert spark.read.parquet(f"{out}/data").count() == 100
+        out = str(tmp_path / f"hours-{shape}")
+        stream = jobs.file_stream(spark, str(tmp_path / shape), "events.parquet")
+        jobs.run_available_now(jobs.hourly_counts(stream), out, mode="update", batch_fn=jobs.upsert_batch)
+        got = jobs.latest(spark.read.parquet(f"{out}/data"), ["window_start"], ["n"])
+        assert {r["window_start"]: r["n"] for r in got.collect()} == want
