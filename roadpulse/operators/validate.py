@@ -48,3 +48,13 @@ def validate(df: DataFrame, vocab: DataFrame | None = None, vocab_cols: list[str
         names.append(f"ok_{c}")
     failed = sum((F.when(F.col(n), 0).otherwise(1) for n in names), F.lit(0))
     return out.withColumn("n_failed", failed).withColumn("is_valid", F.col("n_failed") == 0)
+
+
+def quarantine(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows without the rule columns, rejected rows with the
+    names of the rules they broke in ``reasons``)."""
+    rules = [c for c in validated.columns if c.startswith("ok_")]
+    reasons = F.array_compact(F.array(*[F.when(~F.col(c), F.lit(c.removeprefix("ok_"))) for c in rules]))
+    plain = [c for c in validated.columns if c not in (*rules, "n_failed", "is_valid")]
+    return (validated.where("is_valid").select(*plain),
+            validated.where("NOT is_valid").withColumn("reasons", reasons).select(*plain, "reasons"))

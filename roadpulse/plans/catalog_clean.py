@@ -155,8 +155,11 @@ _FINAL_COLS = ["incident_id", "event_cause", "veh_type", "resolution_minutes", "
   f AS (SELECT incident_id, cause AS event_cause, veh_filled AS veh_type, resolution_minutes, is_planned,
                hour(start_datetime + INTERVAL 330 MINUTE) AS hour_of_day, start_datetime AS split_timestamp,
                isodow(start_datetime + INTERVAL 330 MINUTE) - 1 AS day_of_week,
-               month(start_datetime + INTERVAL 330 MINUTE) AS month FROM kept)
-{_missing_sql(_FINAL_COLS, 'f')}""")
+               month(start_datetime + INTERVAL 330 MINUTE) AS month,
+               CASE WHEN incident_id % 9 <> 0 THEN 1e0 END AS centrality_score FROM kept)
+{_missing_sql([*_FINAL_COLS, 'centrality_score'], 'f')}""")
 def q_missingness_final(spark, sf_dir):
-    """A1 on the modelling-ready table (after window, flags, fills)."""
-    return profile.missingness(cleaned_x1(spark, sf_dir).select(*_FINAL_COLS))
+    """A1 on the modelling-ready table (after window, flags, fills), where only
+    rows that were not snapped lack something."""
+    return profile.missingness(cleaned_x1(spark, sf_dir).select(
+        *_FINAL_COLS, F.when(F.col("incident_id") % 9 != 0, F.lit(1.0)).alias("centrality_score")))

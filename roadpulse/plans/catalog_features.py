@@ -44,15 +44,25 @@ def q_category_index(spark, sf_dir):
         "incident_id", "event_cause_idx", "zone_idx")
 
 
+# some junctions that occur once and so, outside TRAIN, were never seen; some without any
+_ODD_JUNCTION_SQL = """CASE WHEN incident_id % 17 = 0 THEN NULL WHEN incident_id % 13 = 0
+  THEN 'N' || CAST(incident_id AS VARCHAR) ELSE junction END"""
 _UNSEEN_SQL = " UNION ALL ".join(
-    f"""SELECT split, '{c}' AS feature, count(*) AS n_unseen FROM split_rows s
-        WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vocab v WHERE v.feature = '{c}' AND v.value = s.{c})
+    f"""SELECT split, '{c}' AS feature, count(*) AS n_unseen FROM odd s
+        WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM odd v WHERE v.split = 'train' AND v.{c} = s.{c})
         GROUP BY split""" for c in CATS)
 
 
-@query("unseen_categories", f"{VOCAB_SQL} {_UNSEEN_SQL}")
+def odd_junctions(df):
+    i = F.col("incident_id")
+    return df.withColumn("junction", F.when(i % 17 == 0, F.lit(None).cast("string")).when(
+        i % 13 == 0, F.concat(F.lit("N"), i.cast("string"))).otherwise(F.col("junction")))
+
+
+@query("unseen_categories", f"""{X2_SPLIT_SQL},
+  odd AS (SELECT * REPLACE ({_ODD_JUNCTION_SQL} AS junction) FROM split_rows) {_UNSEEN_SQL}""")
 def q_unseen_categories(spark, sf_dir):
-    df = x2_split(spark, sf_dir)
+    df = odd_junctions(x2_split(spark, sf_dir))
     vocab = encode.vocabulary(df.where(F.col("split") == "train"), CATS)
     return encode.unseen_counts(df, vocab, CATS).select("split", "feature", "n_unseen")
 
@@ -153,9 +163,13 @@ def q_dist_from_center(spark, sf_dir):
 SELECT CAST(count_if(latitude IS NULL OR longitude IS NULL) AS BIGINT) AS n_missing_coords,
        CAST(count_if(latitude IS NOT NULL AND longitude IS NOT NULL AND
                 NOT (latitude BETWEEN 12.7e0 AND 13.3e0 AND longitude BETWEEN 77.3e0 AND 77.9e0)) AS BIGINT) AS n_outside_bbox
-FROM split_rows""")
+FROM (SELECT * REPLACE (CASE WHEN incident_id % 19 <> 0 THEN latitude END AS latitude,
+                        CASE WHEN incident_id % 23 <> 0 THEN longitude END AS longitude) FROM split_rows)""")
 def q_bbox_flags(spark, sf_dir):
-    df = x2_split(spark, sf_dir)
+    """F3 + F4 on rows of which some lack a coordinate."""
+    i = F.col("incident_id")
+    df = x2_split(spark, sf_dir).withColumns({"latitude": F.when(i % 19 != 0, F.col("latitude")),
+                                              "longitude": F.when(i % 23 != 0, F.col("longitude"))})
     return df.agg(F.count_if(geo.missing_coords()).alias("n_missing_coords"),
                   F.count_if(geo.outside_bbox()).alias("n_outside_bbox"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions import geo, timefn
 from roadpulse.operators import encode, learn, sampling
 from roadpulse.operators.risk import RiskScorer
+from roadpulse.plans.catalog_features import _ODD_JUNCTION_SQL, odd_junctions
 from roadpulse.plans.catalog_risk import X5_SPLIT_SQL, x5_with_split
 from roadpulse.plans.registry import query
 from roadpulse.session import scratch_path, stored
@@ -143,3 +144,29 @@ def q_model_evaluation(spark, sf_dir):
     rows = [("regression", n, m["model"]["rmse"] <= 1.25 * m["mean"]["rmse"], m["model"]["mae"] >= 0.0),
             ("classification", ctest.count(), 0.01 <= best["threshold"] <= 0.99, all(0.0 <= c[k] <= 1.0 for k in ("accuracy", "precision", "recall", "f1")))]
     return spark.createDataFrame(rows, "part string, n long, better boolean, in_range boolean")
+
+
+_LISTS = ["event_cause", "veh_type", "corridor", "zone", "junction"]
+_RULES = {"hour": "h BETWEEN 0 AND 23", "dow": "d BETWEEN 0 AND 6", "month": "m BETWEEN 1 AND 12",
+          "lat": "latitude BETWEEN 12.8e0 AND 13.3e0", "lon": "longitude BETWEEN 77.38e0 AND 77.76e0",
+          "centrality": "centrality_score BETWEEN 0e0 AND 0.07e0", "snap": "snap BETWEEN 0e0 AND 500e0"}
+_RULES |= {c: f"EXISTS (SELECT 1 FROM f v WHERE v.split = 'train' AND v.{c} = f.{c})" for c in _LISTS}
+_VEHICLE_SQL = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VEHICLES))
+_REASONS = ", ".join(f"CASE WHEN NOT coalesce({rule}, false) THEN '{name}' END" for name, rule in _RULES.items())
+
+
+@query("intake_quarantine", f"""{X5_SPLIT_SQL},
+  f AS (SELECT incident_id, split, latitude, longitude, hour(split_timestamp + INTERVAL 330 MINUTE) AS h,
+               isodow(split_timestamp + INTERVAL 330 MINUTE) - 1 AS d, month(split_timestamp + INTERVAL 330 MINUTE) AS m,
+               centrality_score, CAST(incident_id * 31 % 1000 AS DOUBLE) AS snap, event_cause, corridor, zone,
+               CASE incident_id % 5 {_VEHICLE_SQL} END AS veh_type, {_ODD_JUNCTION_SQL} AS junction FROM split_rows)
+SELECT incident_id, concat_ws(',', {_REASONS}) AS reasons FROM f WHERE split <> 'train'""")
+def q_intake_quarantine(spark, sf_dir):
+    """all bounds and all five allowed lists; accepted rows have no reason."""
+    from roadpulse.operators import validate
+    df = odd_junctions(incidents(spark, sf_dir))
+    vocab = stored(encode.vocabulary(df.where(F.col("split") == "train"), _LISTS))
+    checked = stored(validate.validate(df.where(F.col("split") != "train"), vocab, _LISTS))
+    good, bad = validate.quarantine(checked)
+    return good.select("incident_id", F.lit("").alias("reasons")).unionByName(
+        bad.select("incident_id", F.array_join("reasons", ",").alias("reasons")))

@@ -8,6 +8,7 @@ from roadpulse.functions import risk as rf
 from roadpulse.operators import queue
 from roadpulse.plans.catalog_risk import FIT_SQL, scored_x5
 from roadpulse.plans.registry import query
+from roadpulse.session import stored
 
 QUEUE_SQL = f"""{FIT_SQL},
   q_all AS (SELECT 'INC-' || CAST(incident_id AS VARCHAR) AS id, event_cause, corridor, zone,
@@ -131,7 +132,11 @@ def q_queue_append(spark, sf_dir):
 
 
 @query("select_incident", f"""{QUEUE_SQL}
-SELECT id, crs FROM q ORDER BY CASE WHEN id = 'INC-0' THEN 0 ELSE 1 END, crs DESC, id LIMIT 1""")
+SELECT * FROM (SELECT 'absent' AS asked, id, crs FROM q ORDER BY crs DESC, id LIMIT 1)
+UNION ALL SELECT 'present', id, crs FROM q WHERE id = (SELECT min(id) FROM q)""")
 def q_select_incident(spark, sf_dir):
-    """an id that is not in the VAL queue falls back to the top row."""
-    return queue.select_incident(val_queue(spark, sf_dir), "INC-0").select("id", "crs")
+    """an id that is in the VAL queue, and one that isn't (the top row)."""
+    q = stored(val_queue(spark, sf_dir).select("id", "crs"))
+    there = q.agg(F.min("id")).first()[0]
+    return queue.select_incident(q, "INC-0").select(F.lit("absent").alias("asked"), "id", "crs").unionByName(
+        queue.select_incident(q, there).select(F.lit("present").alias("asked"), "id", "crs"))

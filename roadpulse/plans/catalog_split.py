@@ -120,10 +120,15 @@ def q_recovery_audit(spark, sf_dir):
 
 
 @query("strict_timestamp_gate", f"""{W2}
-SELECT count(*) AS n, CAST(count_if(split_timestamp IS NULL) AS BIGINT) AS n_unparseable FROM x2""")
+SELECT count(*) AS n, CAST(count_if(split_timestamp IS NULL) AS BIGINT) AS n_unparseable,
+       CAST(count_if(incident_id % 23 = 0 OR incident_id % 29 = 0) AS BIGINT) AS n_damaged FROM x2""")
 def q_strict_timestamp_gate(spark, sf_dir):
-    """Text timestamps re-parsed strictly; the gate counts failures (must be 0)."""
-    df = x2_incidents(spark, sf_dir).select(timefn.ts_text("split_timestamp").alias("split_timestamp"))
+    """Text timestamps re-parsed strictly; in a copy with bad and missing
+    texts the gate counts each of them."""
+    df = x2_incidents(spark, sf_dir).select("incident_id", timefn.ts_text("split_timestamp").alias("split_timestamp"))
     parsed = clean.strict_parse(df, "split_timestamp")
-    return parsed.agg(F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col("split_timestamp").isNull()).alias("n_unparseable"))
+    i = F.col("incident_id")
+    bad = clean.count_unparseable(df.withColumn("split_timestamp", F.when(i % 23 == 0, "no time").when(
+        i % 29 != 0, F.col("split_timestamp"))), "split_timestamp")
+    return parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split_timestamp").isNull()).alias("n_unparseable"),
+                      F.lit(bad).cast("long").alias("n_damaged"))
