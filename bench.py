@@ -27,6 +27,8 @@ HEADLINE = [
     "threshold_sweep",        # evaluation
     "roc_auc",
     "edge_betweenness",       # graph centrality
+    "edge_betweenness_roads", # the same on a network that grows with the data
+    "gbt_classifier",         # boosted trees
     "snap_to_edge",           # spatial join
     "stream_score",           # streaming intake
 ]

@@ -22,7 +22,7 @@ from roadpulse.functions.geo import low_confidence, point_segment_distance
 from roadpulse.session import stored_with_metrics
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-SALT_MIN_ROWS = 1_000_000  # point-cell rows below which hot cells need no salting
+SEGMENTS_PER_CELL = 2  # wanted on average, for a cell size taken from the data
 
 
 def _seg_cells(segs: DataFrame, cell: float, levels: list[int]) -> DataFrame:
@@ -91,9 +91,6 @@ def _salted_join(pc: DataFrame, sc: DataFrame, n_rows: int) -> DataFrame:
     spark = pc.sparkSession
     n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["lvl", "cx", "cy"]
-    if n_rows <= SALT_MIN_ROWS:
-        # too few point rows for any one task to be overloaded: skip the pass
-        return pc.repartition(n_part, *keys).join(sc.repartition(n_part, *keys), keys)
     h = max(1, -(-2 * n_rows // n_part))
     hot = (pc.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > F.lit(h))
            .select(*keys, F.ceil(F.col("__n") / F.lit(h)).cast("int").alias("__salts")))
@@ -109,10 +106,19 @@ def _salted_join(pc: DataFrame, sc: DataFrame, n_rows: int) -> DataFrame:
     return pcs.repartition(n_part, *k).join(scs.repartition(n_part, *k), k).drop("__salt")
 
 
-def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str = "incident_id",
+def _cell_of(extent, n: int) -> float:
+    """Side of a square that holds a few segments if they lie evenly."""
+    wide, high = (extent["x1"] or 0.0) - (extent["x0"] or 0.0), (extent["y1"] or 0.0) - (extent["y0"] or 0.0)
+    side = (wide * high * SEGMENTS_PER_CELL / max(n, 1)) ** 0.5 or max(wide, high) * SEGMENTS_PER_CELL / max(n, 1)
+    return side or 1.0
+
+
+def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float | None = None, pid: str = "incident_id",
                   x: str = "x", y: str = "y") -> DataFrame:
     """``(pid, nearest_u, nearest_v, nearest_key, snap_distance)`` per point
-    with coordinates. ``segments`` has ``u, v, key, ax, ay, bx, by``.
+    with coordinates. ``segments`` has ``u, v, key, ax, ay, bx, by``. Without
+    ``cell`` the finest cell side follows from the number and the extent of the
+    segments, so that cells stay about equally full as the network grows.
 
     Round 1 searches every point at level 0. A point not settled there but
     with some candidate knows an upper bound ``D`` on its nearest distance,
@@ -127,10 +133,11 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, cell: float, pid: str
     todo = (points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
             .select(F.col(pid).alias("pid"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"),
                     F.lit(0).alias("lvl")))
-    counts = (todo.select(F.lit(1).alias("p"), F.lit(0).alias("s"))
-              .unionByName(segs.select(F.lit(0).alias("p"), F.lit(1).alias("s")))
-              .agg(F.sum("p").alias("p"), F.sum("s").alias("s")).first())
-    n_todo, n_segs = counts["p"] or 0, counts["s"] or 0
+    n_todo = todo.count()
+    extent = segs.agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
+                      F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
+    n_segs = extent["n"]
+    cell = cell or _cell_of(extent, n_segs)
     levels = [0]
     found = []
     spread = 0

@@ -9,8 +9,6 @@ from roadpulse.operators import snap
 from roadpulse.plans.adapters import X2_SQL, X3_EDGES_SQL, X3_POINTS_SQL, x2_incidents, x3_edges, x3_points
 from roadpulse.plans.registry import query
 
-CELL = 20000.0  # the planar fixture spans about +-4e5 units
-
 # Centimetres: the two engines differ by ~1e-9 m (their sin/exp/log differ in
 # the last bits), so finer rounding would flip a digit now and then.
 
@@ -36,7 +34,7 @@ def _snaps(spark, sf_dir):
     segs = x3_edges(spark, sf_dir).select("u", "v", "key", F.col("ux").alias("ax"), F.col("uy").alias("ay"),
                                           F.col("vx").alias("bx"), F.col("vy").alias("by"))
     pts = x3_points(spark, sf_dir)
-    return pts, snap.snap_to_edges(pts, segs, CELL)
+    return pts, snap.snap_to_edges(pts, segs)
 
 
 @query("snap_to_edge", f"""{SNAP_SQL}

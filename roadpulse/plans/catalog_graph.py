@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadpulse.operators import graph
-from roadpulse.plans.adapters import X3_NODES_SQL, X4_SQL, x3_nodes, x4_edges
+from roadpulse.functions import geo
+from roadpulse.operators import graph, snap
+from roadpulse.plans.adapters import X2_SQL, X3_NODES_SQL, X4_SQL, x2_incidents, x3_nodes, x4_edges
 from roadpulse.plans.registry import query
 from roadpulse.session import stored
 from roadpulse.sources.tables import table
@@ -144,3 +145,49 @@ def q_assign_centrality(spark, sf_dir):
                    F.col("s_nationkey").cast("long").alias("nearest_v")))
     out = graph.assign_centrality(inc, eb)
     return out.select("l_orderkey", "l_linenumber", F.round("centrality_score", 12).alias("centrality_score"))
+
+
+# X3 as a road network around the city, in degrees
+_NE, _NN = geo.utm_project_sql("lat", "lon")
+_PE, _PN = geo.utm_project_sql("latitude", "longitude")
+_SNAP_DIST = geo.point_segment_distance_sql("q.x", "q.y", "s.ux", "s.uy", "s.vx", "s.vy")
+
+
+@query("centrality_from_degrees", f"""WITH deg AS (SELECT node_id, label, 12.97e0 + x * 3e-7 AS lat, 77.59e0 + y * 3e-7 AS lon FROM ({X3_NODES_SQL}) n0),
+  n AS (SELECT node_id, label, node_id // {STRETCH} AS stretch, round({_NE}, 2) AS x, round({_NN}, 2) AS y FROM deg),
+  p AS (SELECT node_id AS u, lead(node_id) OVER w AS v, x AS ux, y AS uy, lead(x) OVER w AS vx, lead(y) OVER w AS vy,
+               row_number() OVER w AS i, count(*) OVER (PARTITION BY label, stretch) AS l
+        FROM n WINDOW w AS (PARTITION BY label, stretch ORDER BY node_id)),
+  t AS (SELECT count(*)::DOUBLE AS n FROM p),
+  s AS (SELECT u, v, ux, uy, vx, vy, 2e0 * i * (l - i) / (n * (n - 1)) AS c FROM p, t WHERE v IS NOT NULL),
+  q AS (SELECT incident_id, round({_PE}, 2) AS x, round({_PN}, 2) AS y FROM ({X2_SQL}) x2 WHERE incident_id % 19 <> 0),
+  d AS (SELECT q.incident_id, s.u, s.v, s.c, {_SNAP_DIST} AS d FROM q, s),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY d, u, v) AS r FROM d) WHERE r = 1)
+SELECT x2.incident_id, b.u AS nearest_u, round(b.d, 4) AS snap_distance_m, round(b.c, 12) AS centrality_score
+FROM ({X2_SQL}) x2 LEFT JOIN b USING (incident_id)""")
+def q_centrality_from_degrees(spark, sf_dir):
+    """Step 2 end to end: network and incidents in degrees, projected; parallel
+    edges collapsed; betweenness of its edges; every incident (some have no
+    coordinate) snapped to its nearest edge and given that edge's score."""
+    from pyspark.sql import Window
+    east, north = geo.utm_project("lat", "lon")
+    n = x3_nodes(spark, sf_dir).select("node_id", "label", (F.lit(12.97) + F.col("x") * F.lit(3e-7)).alias("lat"),
+                                       (F.lit(77.59) + F.col("y") * F.lit(3e-7)).alias("lon"))
+    n = stored(n.select("node_id", "label", F.floor(F.col("node_id") / STRETCH).alias("stretch"),
+                        F.round(east, 2).alias("x"), F.round(north, 2).alias("y")))
+    w = Window.partitionBy("label", "stretch").orderBy("node_id")
+    nxt = lambda c: F.lead(c).over(w)
+    road = n.select(F.col("node_id").alias("u"), nxt("node_id").alias("v"), F.col("x").alias("ax"), F.col("y").alias("ay"),
+                    nxt("x").alias("bx"), nxt("y").alias("by")).where("v IS NOT NULL")
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    both = road.select("u", "v", length.alias("length")).unionByName(road.select(F.col("v").alias("u"), F.col("u").alias("v"), (2 * length).alias("length")))
+    simple = graph.collapse_simple(both)
+    eb = stored(graph.edge_betweenness(simple.select("u", "v", F.col("length").alias("w")), n.select("node_id")))
+    pe, pn = geo.utm_project("latitude", "longitude")
+    inc = x2_incidents(spark, sf_dir).select("incident_id", F.when(F.col("incident_id") % 19 != 0, F.round(pe, 2)).alias("x"),
+                                             F.when(F.col("incident_id") % 19 != 0, F.round(pn, 2)).alias("y"))
+    inc = stored(inc)
+    snaps = snap.snap_to_edges(inc, road.withColumn("key", F.lit(0)))
+    out = graph.assign_centrality(snap.attach_snaps(inc, snaps), eb)
+    return out.select("incident_id", "nearest_u", F.round("snap_distance", 4).alias("snap_distance_m"),
+                      F.round("centrality_score", 12).alias("centrality_score"))

@@ -42,7 +42,6 @@ def test_attach_and_flags(spark):
 
 
 def test_hot_cell_is_salted_and_exact(spark, monkeypatch):
-    monkeypatch.setattr(snap, "SALT_MIN_ROWS", 0)
     rnd = random.Random(11)
     segs = [(i, i + 1, 0, rnd.uniform(0, 900), rnd.uniform(0, 900), rnd.uniform(0, 900), rnd.uniform(0, 900))
             for i in range(40)]
