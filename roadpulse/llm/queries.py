@@ -104,19 +104,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH u AS (
-  SELECT doc_id, i, line, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
-    len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 5 ORDER BY doc_id, i) > 1 AS gone
-  FROM u)
-SELECT doc_id, CASE WHEN max(length(line)) = 0 AND count(*) = 1 THEN 0 ELSE count(*) END AS n_units,
-  count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-FROM o GROUP BY doc_id
+WITH l AS (
+  SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
+    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents))),
+lg AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 5 ORDER BY doc_id, i) > 1 AS gone
+  FROM l),
+s AS (
+  SELECT doc_id, i, j, s, start + sum(length(s)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(s) AS start,
+    list_filter(regexp_split_to_array(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, i, start, generate_subscripts(t, 1) AS j, unnest(t) AS s
+    FROM (SELECT doc_id, i, start, regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+') AS t FROM l))),
+r AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i, j) > 1 AS again,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM s WHERE len(w) > 0),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r WHERE again),
+c AS (SELECT doc_id, i, j FROM (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id, run) AS words FROM g) WHERE words >= 20),
+sc AS (SELECT s.*, c.j IS NOT NULL AND NOT lg.gone AS cut FROM s JOIN lg ON s.doc_id = lg.doc_id AND s.i = lg.i
+  LEFT JOIN c ON s.doc_id = c.doc_id AND s.i = c.i AND s.j = c.j),
+lc AS (SELECT doc_id, i, trim(coalesce(string_agg(s, '' ORDER BY j) FILTER (NOT cut), ''), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS rest
+  FROM sc GROUP BY doc_id, i HAVING bool_or(cut)),
+kept AS (SELECT lg.doc_id, lg.i, gone, rest IS NOT NULL AND rest = '' AS empty, coalesce(rest, line) AS line
+  FROM lg LEFT JOIN lc ON lg.doc_id = lc.doc_id AND lg.i = lc.i),
+sp AS (SELECT doc_id, start AS a, start + length(line) AS b FROM lg WHERE gone
+  UNION ALL SELECT doc_id, start, start + length(s) FROM sc WHERE cut),
+si AS (SELECT *, sum(CASE WHEN a = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a) AS grp
+  FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM sp)),
+sm AS (SELECT doc_id, grp, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b FROM si GROUP BY doc_id, grp),
+sd AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a) AS BIGINT) AS n FROM sm GROUP BY doc_id),
+t AS (SELECT doc_id, CASE WHEN count(*) = 1 AND max(length(line)) = 0 AND NOT bool_or(gone) AND NOT bool_or(empty) THEN 0 ELSE count(*) END AS n_units,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone AND NOT empty), '') AS text FROM kept GROUP BY doc_id)
+SELECT t.doc_id, n_units, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS removed_spans, text FROM t LEFT JOIN sd ON t.doc_id = sd.doc_id
 """
 
 
