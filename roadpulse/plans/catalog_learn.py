@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions import geo, timefn
 from roadpulse.operators import encode, learn, sampling
 from roadpulse.operators.risk import RiskScorer
+from roadpulse.plans.catalog_eval import SWEEP_SQL
 from roadpulse.plans.catalog_features import _ODD_JUNCTION_SQL, odd_junctions
 from roadpulse.plans.catalog_risk import X5_SPLIT_SQL, x5_with_split
 from roadpulse.plans.registry import query
@@ -170,3 +171,52 @@ def q_intake_quarantine(spark, sf_dir):
     good, bad = validate.quarantine(checked)
     return good.select("incident_id", F.lit("").alias("reasons")).unionByName(
         bad.select("incident_id", F.array_join("reasons", ",").alias("reasons")))
+
+
+@query("model_reload", f"{X5_SPLIT_SQL} SELECT incident_id, true AS same FROM split_rows WHERE split = 'test'")
+def q_model_reload(spark, sf_dir):
+    """The whole fitted pipeline (vocabularies, imputation, trees) saved,
+    loaded and applied; its predictions equal the original's."""
+    from pyspark.ml import PipelineModel
+    test, model = _regressor(spark, sf_dir)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    model.save(path)
+    a = learn.predict_minutes(model, test.drop("predicted_resolution_minutes"), REG_SPEC)
+    b = learn.predict_minutes(PipelineModel.load(path), test.drop("predicted_resolution_minutes"), REG_SPEC)
+    b = b.select(F.col("incident_id").alias("__id"), F.col("predicted_resolution_minutes").alias("__m"))
+    return a.join(b, F.col("incident_id") == F.col("__id")).select(
+        "incident_id", F.col("predicted_resolution_minutes").eqNullSafe(F.col("__m")).alias("same"))
+
+
+_META_LISTS = " UNION ALL ".join(f"SELECT 'vocabulary', '{c}', {c}, NULL::BIGINT FROM (SELECT DISTINCT {c} FROM split_rows WHERE split = 'train' AND {c} IS NOT NULL)"
+                                 for c in ("event_cause", "corridor", "zone", "junction"))
+_META_NAMES = ", ".join([f"('numeric_feature', '{c}')" for c in REG_SPEC.numeric] + [f"('categorical_feature', '{c}')" for c in REG_SPEC.categorical])
+
+
+@query("metadata_document", f"""{SWEEP_SQL}
+SELECT section, name, NULL::VARCHAR AS value, NULL::BIGINT AS n, NULL::DOUBLE AS number FROM (VALUES {_META_NAMES}) f(section, name)
+UNION ALL SELECT 'split_rows', split, NULL, count(*), NULL FROM split_rows GROUP BY split
+UNION ALL SELECT 'threshold', 'closure_probability', NULL, NULL, threshold FROM best
+UNION ALL SELECT *, NULL FROM ({_META_LISTS})""")
+def q_metadata_document(spark, sf_dir):
+    """S7 + S8: what inference needs besides the models (feature lists, TRAIN
+    vocabularies, split sizes, the tuned threshold), one JSON document a part,
+    written in parallel and read back."""
+    from pyspark.sql import types as T
+
+    from roadpulse.operators import evaluate as ev
+    from roadpulse.sources import incidents as src
+    schema = T.StructType.fromDDL("section string, name string, value string, n bigint, number double")
+    df = stored(x5_with_split(spark, sf_dir))
+    names = [("numeric_feature", c, None, None, None) for c in REG_SPEC.numeric]
+    names += [("categorical_feature", c, None, None, None) for c in REG_SPEC.categorical]
+    best = ev.best_threshold(ev.threshold_sweep(df.where(F.col("split") == "val"), Y_CLF, "closure_probability")).first()
+    names.append(("threshold", "closure_probability", None, None, best["threshold"]))
+    none = lambda kind: F.lit(None).cast(kind)
+    sizes = df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("split_rows").alias("section"), F.col("split").alias("name"), none("string").alias("value"), "n", none("double").alias("number"))
+    words = encode.vocabulary(df.where(F.col("split") == "train"), ["event_cause", "corridor", "zone", "junction"]).select(
+        F.lit("vocabulary").alias("section"), F.col("feature").alias("name"), "value", none("bigint").alias("n"), none("double").alias("number"))
+    path = scratch_path(spark, f"metadata-{uuid.uuid4().hex}")
+    src.write_metadata(spark.createDataFrame(names, schema).unionByName(sizes).unionByName(words), path)
+    return src.read_metadata(spark, path, schema)
