@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import counted, rows_of
+from .test_text_operators import counted, rows_of
 
 
 # ---- operator 4 ---------------------------------------------------------------
