@@ -140,6 +140,8 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source",
     judged = rule_failures(document_measures(inner, "row", "t", "h")).select(
         F.col("doc_id").alias("row"), "host", *[f"{r}_failed" for r in (limits or HOST_LIMITS)])
     judged = materialize(judged, "quality-rows")
-    bad = host_verdicts(judged, limits).where("host_bad").select(F.col("host").alias("_host"))
+    # written first, so that its size is known: a short list of bad hosts is
+    # broadcast and the rows with their texts stay where they are
+    bad = materialize(host_verdicts(judged, limits).where("host_bad").select(F.col("host").alias("_host")), "bad-hosts")
     passed = judged.where(~F.col("base_failed"))
     return passed.join(bad, passed["host"] == bad["_host"], "left_anti").select("row.*")
