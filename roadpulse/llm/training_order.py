@@ -127,7 +127,9 @@ def _numbered(seqs: DataFrame) -> tuple[DataFrame, int]:
     parts = parts.select("part", F.coalesce(F.sum("pm").over(ahead), F.lit(0)).alias("before"), "pm")
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.withColumn("own", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(parts, "part")
-    first = first.select("block", (F.col("own") + F.col("before")).alias("first"))
+    # one row a block, written, so that its size is known: it is broadcast if it
+    # is small, and the sequences are not shuffled to find their number
+    first = materialize(first.select("block", (F.col("own") + F.col("before")).alias("first")), "block-starts")
     n = seqs.count()
     return seqs.join(first, "block").withColumn("number", F.col("first") + F.col("nth")), n
 
