@@ -21,7 +21,9 @@ stretch of text:
    ones the comparison goes on, behind the known prefix. The merge gives each
    suffix its longest common prefix with any other.
 4. Where that is long enough to complete a window, the window's hash (together
-   with its k-gram's, 128 bits) decides, counted over all representatives.
+   with its k-gram's, 128 bits) decides, counted over all representatives that
+   share the k-gram. These lie together; a k-gram with very many contexts is
+   split by window hash, so that no task compares more than a bounded share.
 
 Results depend on texts only, so rows are linked by a digest of the text.
 
@@ -49,6 +51,8 @@ CHUNK = 1 << 18  # bytes hashed at a time
 PLACE = np.uint64((1 << 24) - 1)
 RUN_ROWS = 20_000  # representatives of a sorted run
 BUCKET_ROWS = 50_000  # representatives merged by one task
+WINDOWS = 1_000_000  # window hashes compared at a time, beyond it up to the end of a group
+GROUP = 20_000  # contexts of one k-gram that are compared by one task
 
 
 # ---- 1. anchors -------------------------------------------------------------
@@ -304,40 +308,82 @@ def shared_prefixes(reps: DataFrame, n: int) -> DataFrame:
 # ---- the whole --------------------------------------------------------------
 
 def _contexts(docs: DataFrame, reps: DataFrame, text: str, length: int) -> DataFrame:
-    """``reps`` (key, lo, width, at, g, x, m) with the bytes of their contexts.
+    """``reps`` (key, lo, width, at, g, m, parts) with the bytes of their contexts.
 
     Copies of a text are folded before the shuffle, so a text that a third of
     all rows hold travels once per task."""
     t = text_of(text)
     texts = docs.where(F.octet_length(t) >= length).groupBy(text_key(t).alias("key")).agg(F.first(t.cast("binary")).alias("raw"))
-    wanted = reps.groupBy("key").agg(F.collect_list(F.struct("lo", "width", "at", "g", "x", "m")).alias("own"))
+    wanted = reps.groupBy("key").agg(F.collect_list(F.struct("lo", "width", "at", "g", "m", "parts")).alias("own"))
     joined = texts.join(wanted, "key").select("key", "raw", "own")
     own = joined.select("key", "raw", F.explode("own").alias("r")).select(
-        "key", F.col("r.lo").alias("lo"), (F.col("r.at") - F.col("r.lo")).alias("at"), "r.g", "r.x", "r.m",
+        "key", F.col("r.lo").alias("lo"), (F.col("r.at") - F.col("r.lo")).alias("at"), "r.g", "r.m", "r.parts",
         F.substring(F.col("raw"), F.col("r.lo") + 1, F.col("r.width") + length).alias("context"))
     return own.withColumn("suffix", F.unhex(F.md5(F.substring(F.col("context"), F.col("at") + 1, F.length("context")))))
 
 
 def _windows(reps: DataFrame, length: int) -> DataFrame:
-    """key, lo, g, m, hashes: of every representative's windows that its suffix
-    shares far enough; the i-th hash is the window at lo + i."""
+    """(g, part, key, lo, m, at, hashes): of every representative's windows that
+    its suffix shares far enough, their hashes; window i begins at lo + at[i].
+    A k-gram with very many contexts (``parts`` > 1) is split by window hash."""
+    schema = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("key", pa.binary()), ("lo", pa.int32()), ("m", pa.int64()),
+                        ("at", pa.binary()), ("hashes", pa.binary())])
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for context, at, shared in zip(*[batch.column(c).to_pylist() for c in ("context", "at", "shared")], strict=True):
-                n = min(len(context) - length, at - length + shared) + 1
+            for r in batch.to_pylist():
+                n = min(len(r["context"]) - length, r["at"] - length + r["shared"]) + 1
                 if n <= 0:
-                    out.append(None)
-                else:
-                    data = np.frombuffer(context, np.uint8)[:n - 1 + length]
-                    out.append(window_hashes(doubled(data, length), length, np.arange(n)).view(np.int64))
-            keep = pa.array([i for i, x in enumerate(out) if x is not None], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(keep) for c in ("key", "lo", "g", "m")],
-                 pa.array([x for x in out if x is not None], pa.list_(pa.int64()))], names=["key", "lo", "g", "m", "hashes"])
+                    continue
+                data = np.frombuffer(r["context"], np.uint8)[:n - 1 + length]
+                h, at = window_hashes(doubled(data, length), length, np.arange(n)), np.arange(n, dtype=np.uint16)
+                for part in range(r["parts"]):
+                    own = slice(None) if r["parts"] == 1 else h % np.uint64(r["parts"]) == part
+                    out.append((r["g"], part, r["key"], r["lo"], r["m"], at[own].tobytes(), h[own].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return reps.select("g", "parts", "key", "lo", "m", "context", "at", "shared").mapInArrow(
+        hashed, "g long, part int, key binary, lo int, m long, at binary, hashes binary")
+
+
+def _repeated_windows(windows: DataFrame, length: int) -> DataFrame:
+    """(key, start, end): runs of windows that another representative has too.
+    ``windows`` lies sorted by (g, part), so equal windows are in one stretch."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done(rows: list[dict]) -> pa.RecordBatch:
+            h = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+            n = np.array([len(x) for x in h], np.int64)
+            # a window's k-gram and hash, told apart among the rows held here
+            gram = mix(np.array([r["g"] for r in rows], np.int64).view(np.uint64) + np.uint64(1))
+            whole = np.concatenate(h) ^ np.repeat(gram, n) if len(h) else np.zeros(0, np.uint64)
+            _, place, count = np.unique(whole, return_inverse=True, return_counts=True)
+            twice = count[place] > 1
+            keys, starts, ends = [], [], []
+            for r, a, b in zip(rows, np.cumsum(n) - n, np.cumsum(n), strict=True):
+                if r["m"] == 1 and twice[a:b].any():  # classes of several members repeat as a whole
+                    at = np.frombuffer(r["at"], np.uint16)[twice[a:b]].astype(np.int64)
+                    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+                    keys += [r["key"]] * len(cut)
+                    starts += (r["lo"] + at[cut]).tolist()
+                    ends += (r["lo"] + at[np.r_[cut[1:], len(at)] - 1] + length).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+                                              names=["key", "start", "end"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if size > WINDOWS and (held[-1]["g"], held[-1]["part"]) != (r["g"], r["part"]):
+                    yield done(held)
+                    held, size = [], 0
+                held.append(r)
+                size += len(r["hashes"]) // 8
+        yield done(held)
 
-    return reps.select("key", "lo", "g", "m", "context", "at", "shared").mapInArrow(
-        hashed, "key binary, lo int, g long, m long, hashes array<bigint>")
+    dealt = windows.repartition("g", "part").sortWithinPartitions("g", "part")
+    return dealt.mapInArrow(counted, "key binary, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -355,15 +401,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     whole = found.join(equal, (found["g"] == equal["_g"]) & (found["x"] == equal["_x"])).select(
         "key", F.col("lo").alias("start"), (F.col("last") + length).alias("end"))
 
-    reps = classes.where("mixed").select("r.key", "r.lo", "r.width", "r.at", "g", "x", "m")
+    reps = classes.where("mixed")
+    # a k-gram with more contexts than one task should compare is split by window
+    many = reps.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")).where("parts > 1")
+    reps = reps.join(many, "g", "left").select("r.key", "r.lo", "r.width", "r.at", "g", "x", "m", F.coalesce("parts", F.lit(1)).alias("parts"))
     reps = materialize(_contexts(docs, reps, text, length), "contexts")
     shared = materialize(shared_prefixes(reps, reps.count()), "shared")
     reps = reps.join(shared, "suffix")
-    windows = materialize(_windows(reps, length), "windows")
-    each = windows.select("key", "lo", "g", "m", F.posexplode("hashes").alias("i", "h"))
-    twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "h")
-    some = each.where("m = 1").join(twice, ["g", "h"], "left_semi").select(
-        "key", (F.col("lo") + F.col("i")).alias("start"), (F.col("lo") + F.col("i") + length).alias("end"))
+    windows = _windows(reps, length)
+    some = _repeated_windows(windows, length)
     spans = whole.union(some).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.mapInArrow(_joined_spans, "key binary, spans array<struct<start:int,end:int>>")
 
