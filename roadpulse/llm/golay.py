@@ -259,9 +259,10 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     return dealt.mapInArrow(linked, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
-    """Per document: doc_id, key, fp, component_id (smallest doc_id reachable)."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int) -> DataFrame:
+    """Per document: doc_id, key, fp, root (the component's smallest fingerprint,
+    its identity), component_id (smallest doc_id reachable, repeated or null if
+    the ids are)."""
     prints = materialize(fingerprints(docs, doc_id, text, shingle), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = materialize(fingerprint_links(distinct, distance), "links")
@@ -270,19 +271,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     with_root = materialize(with_root, "roots")
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = with_root.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "key", "fp", "component_id")
+    of = with_root.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    distance: int = DISTANCE) -> DataFrame:
+    """Per document: doc_id, key, fp, component_id (smallest doc_id reachable)."""
+    return _rooted(docs, doc_id, text, shingle, distance).drop("root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row
     with the smallest doc_id stays (ties: the smallest digest, then one row of
-    equal ones). Components whose ids are all null keep one row as well."""
-    found = materialize(near_duplicates(docs, doc_id, text, shingle, distance), "near-duplicates")
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    equal ones). Components whose ids are all null keep one row as well, and
+    components that share an id keep one each."""
+    found = materialize(_rooted(docs, doc_id, text, shingle, distance), "near-duplicates")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("key"))
-    stay = found.groupBy(group.alias("g")).agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("n")).select(
+    stay = found.groupBy("root").agg(F.min(rank).alias("r")).select(
         F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
     stay = materialize(stay, "stay")
     same = (text_key(text_of(text)) == stay["_key"]) & docs[doc_id].eqNullSafe(stay["_id"])

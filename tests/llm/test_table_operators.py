@@ -95,6 +95,20 @@ def test_simhash_near_dedup(awkward, nothing):
     assert near_duplicates(nothing).count() == 0 and one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    """Components are told apart by themselves, whatever their ids are."""
+    from roadpulse.llm.golay import one_of_each
+    texts = [" ".join(f"{topic}{i * i % 89}" for i in range(300)) for topic in ("road", "bread", "music")]
+    near = texts[2].replace("music49 ", "other ", 1)
+    prints = [simhash(t) for t in (*texts, near)]
+    assert len(set(prints)) == 4 and (prints[2] ^ prints[3]).bit_count() <= 3
+    assert all((prints[a] ^ prints[b]).bit_count() > 3 for a in range(3) for b in range(a))
+    rows = [(1, texts[0]), (7, texts[0]), (1, texts[1]), (8, texts[1]), (None, texts[2]), (None, near), (None, near)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    have = sorted((r["doc_id"] or 0, texts.index(r["text"]) if r["text"] in texts else 2) for r in kept.collect())
+    assert have == [(0, 2), (1, 0), (1, 1)]
+
+
 def test_components(spark):
     from roadpulse.llm.components import components
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
