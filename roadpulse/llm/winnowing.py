@@ -14,7 +14,8 @@ with equal texts are worked on once each, results are joined back by digest.
 
 Defined results: null or empty texts have no words, so no hit; an item without
 words matches nothing; repeated items count as items of their own (each id is
-listed once); an empty benchmark leaves every document clean.
+listed once); items with a null id count like any other, all of them together
+as one item that isn't listed; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -134,13 +135,14 @@ def _extended(docs: DataFrame, found: DataFrame, short: list[int], span: int, k:
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """One row per distinct text with a hit: key, n_hit (words inside a shared
-    span), n_items, item_ids (sorted as strings, each once)."""
+    span), n_items, item_ids (sorted as strings, each once, without the null one)."""
     t = docs.select(text_of(text).alias("t"))
     prints = materialize(benchmark_fingerprints(benchmark, item_text, span, k), "fingerprints")
     short = sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())  # at most nine
     found = materialize(_candidates(t, prints, short, span, k), "candidates")
     spans = benchmark_spans(benchmark, item_id, item_text, span)
-    marks = materialize(spans.groupBy("n", "digest").agg(F.collect_set("item_id").alias("items")), "spans")
+    marks = materialize(spans.groupBy("n", "digest").agg(
+        F.collect_set(F.struct("item_id")).alias("items")), "spans")  # in structs, as sets drop nulls
     hits = _extended(t, found, short, span, k).join(_small(marks, BROADCAST_ROWS // 4), ["n", "digest"])
     hits = materialize(hits, "hits")
     covered = F.aggregate(
@@ -149,9 +151,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0))).alias("n"),
                                 F.greatest(s["end"], acc["end"]).alias("end")))
     words = hits.select("key", "start", "n").distinct().groupBy("key").agg(covered["n"].cast("long").alias("n_hit"))
-    items = hits.select("key", F.explode("items").alias("item_id")).distinct().groupBy("key").agg(
-        F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    return words.join(items, "key").select("key", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    items = hits.select("key", F.explode("items").alias("item")).select("key", "item.item_id").distinct().groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    return words.join(items, "key").select("key", "n_hit", "n_items", "item_ids")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -107,6 +107,27 @@ def test_decontamination(awkward, nothing, items, monkeypatch, limit):
         assert winnowing.clean_documents(awkward, items.limit(0)).count() == awkward.count()
 
 
+def test_items_without_id_contaminate(spark, tmp_path):
+    import corpus_pipeline
+    import duckdb
+
+    from roadpulse.llm.queries import OP6_SQL, op6
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = [(1, text), (2, "not a word of it"), (3, "x " + text + " and tail end")]
+    spans = [(None, " ".join(text.split()[3:17])), (None, " ".join(text.split()[5:20])), (4, "and tail end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(spans, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = db.sql(OP6_SQL).fetchall()
+    assert counted(map(tuple, op6(spark, str(tmp_path)).collect())) == counted(want)
+    assert {r[0]: r[2:4] for r in want} == {1: (17, 1), 2: (0, 0), 3: (20, 2)}
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.benchmark_decontamination(spark, read, str(tmp_path))
+    assert [r["doc_id"] for r in clean.collect()] == [2]
+
+
 # ---- operator 10 --------------------------------------------------------------
 
 def line_dedup(rows, min_words=5, min_run=20):
