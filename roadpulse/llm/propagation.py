@@ -9,6 +9,12 @@ without any link that move from t to s, which cuts nothing. Within a pair of
 shards larger gains go first. So row counts stay at most one apart (law
 ``rows``) while fewer and fewer links are cut.
 
+Where a shard has nothing left to give for the wishes from s to t, those from
+s go to their next best shard from then on, until t has free documents or
+wishes to s again. So a group larger than a shard fills its best shard, then
+its second best, and so on. Rounds that find such a pair of shards don't count
+among ``rounds``, up to one a shard.
+
 Only counts per pair of shards and size of gain come to the driver (at most
 shards x shards x 64 rows). A group that a third of all rows belong to is one
 row of counts; its members are never gathered.
@@ -41,18 +47,21 @@ def equal_shards(nodes: DataFrame, shards: int, n: int) -> DataFrame:
     return ranked.select("node", (F.col("rank") % shards).cast("int").alias("shard"))
 
 
-def _wishes(members: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+def _wishes(members: DataFrame, labels: DataFrame, shards: int, blocked: set[tuple[int, int]], room: set[int]) -> DataFrame:
     """(node, shard, target, level): one row per member that would rather be
-    elsewhere. Ties between shards are settled by a hash of the group, so that
-    all members of a group agree."""
+    elsewhere, at a shard it isn't ``blocked`` (from, to) from. Ties between
+    shards are settled by ``room`` for more, then by a hash of the group, so
+    that all members of a group agree."""
     cols = [f"n{s}" for s in range(shards)]
     placed = members.join(labels, "node")
     counts = placed.groupBy("group").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(c) for s, c in enumerate(cols)])
     seen = placed.join(counts, "group").groupBy("node", "shard").agg(
         F.min("group").alias("group"), *[F.sum(c).alias(c) for c in cols])
     turn = F.pmod(F.xxhash64("group"), F.lit(shards))
-    best = F.array_max(F.array(*[F.struct(F.col(c).alias("n"), F.pmod(turn + s, F.lit(shards)).alias("turn"),
-                                          F.lit(s).alias("s")) for s, c in enumerate(cols)]))
+    best = F.array_max(F.array(*[F.when(
+        ~F.col("shard").isin([f for f, t in blocked if t == s]),
+        F.struct(F.col(c).alias("n"), F.lit(s in room).alias("room"), F.pmod(turn + s, F.lit(shards)).alias("turn"),
+                 F.lit(s).alias("s"))) for s, c in enumerate(cols)]))  # nulls don't count
     own: Column = F.get(F.array(*cols), F.col("shard"))
     w = seen.select("node", "shard", best.alias("best"), own.alias("own"))
     w = w.where(F.col("best.s") != F.col("shard"))
@@ -85,6 +94,16 @@ def _quotas(wanted: dict[tuple[int, int, int], int], free: dict[int, int], shard
     return quota, filled
 
 
+def _blocked(before: set[tuple[int, int]], wanted: dict[tuple[int, int, int], int], quota: dict[tuple[int, int, int], int],
+             room: set[int]) -> set[tuple[int, int]]:
+    """Pairs (from, to) of shards whose wishes can't be granted any more."""
+    refused = {(s, t) for (s, t, level), n in wanted.items() if n > quota[s, t, level]}
+    still = {(s, t) for s, t in before if (t, s) not in refused}
+    # wishes against a blocked pair's direction are matched once it is open
+    new = {(s, t) for s, t in refused if (t, s) not in before}
+    return {(s, t) for s, t in still | new if t not in room}
+
+
 def _lookup(table: dict[tuple, int], *columns: str) -> Column:
     """Value for a key of small integers, 0 if there is none; at most a few
     hundred literals."""
@@ -102,16 +121,33 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     labels = materialize(equal_shards(nodes, shards, n), "labels")
     linked = materialize(members.select("node").distinct(), "linked")
     m = linked.count()
-    for round_no in range(rounds if m else 0):
-        wishes = materialize(_wishes(members, labels, shards), "wishes")
+    blocked, room = set(), set(range(shards))
+    left, extra, round_no = rounds if m else 0, shards, 0
+    while left:
+        wishes = materialize(_wishes(members, labels, shards, blocked, room), "wishes")
         wanted = {(r["shard"], r["target"], r["level"]): r["n"] for r in wishes.groupBy("shard", "target", "level").agg(
             F.count(F.lit(1)).alias("n")).collect()}
         idle = labels.join(linked, "node", "left_anti")
         free = {r["shard"]: r["n"] for r in idle.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         quota, filled = _quotas(wanted, free, shards)
         moved = sum(quota.values())
-        if moved <= SETTLED * m:
-            break
+        after = dict(free)
+        for (t, s), k in filled.items():  # free documents of t go to s
+            after[t] -= k
+            after[s] = after.get(s, 0) + k
+        room = {s for s, k in after.items() if k}
+        now = _blocked(blocked, wanted, quota, room)
+        last, news = moved <= SETTLED * m and now == blocked, bool(now - blocked)
+        blocked = now
+        round_no += 1
+        if news and extra:
+            extra -= 1
+        else:
+            left -= 1
+        if not moved:
+            if last:
+                break
+            continue
         order = F.xxhash64("node", F.lit(round_no))
         go = exact_rank(wishes, ["shard", "target", "level"], order, "rank", max(4, _parts(m) // 16))
         go = go.where(F.col("rank") < _lookup(quota, "shard", "target", "level")).select("node", F.col("target").alias("to"))
@@ -125,6 +161,8 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
                 to = F.when((F.col("shard") == t) & (F.col("rank") >= begin) & (F.col("rank") < begin + k), s).otherwise(to)
             go = go.union(spread.select("node", to.alias("to")).where("to is not null"))
         labels = materialize(labels.join(go, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "labels")
+        if last:
+            break
     return labels
 
 

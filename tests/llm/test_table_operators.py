@@ -211,6 +211,17 @@ def test_propagation_gathers_groups(spark):
     assert cut <= 6  # at random, 52 of the 60 pairs would be cut
 
 
+def test_propagation_fills_several_shards_with_a_large_group(spark):
+    from roadpulse.llm.propagation import propagate
+    # a third of all rows on shards of 75 each: two whole shards and two thirds of another
+    nodes = spark.range(600).withColumnRenamed("id", "node")
+    group = [(i, 0) for i in range(200)]
+    found = propagate(nodes, spark.createDataFrame(group, "node long, group long")).collect()
+    assert set(collections.Counter(r["shard"] for r in found).values()) == {75}
+    held = sorted(collections.Counter(r["shard"] for r in found if r["node"] < 200).values(), reverse=True)
+    assert held == [75, 75, 50]
+
+
 # ---- operators 9 and 3 --------------------------------------------------------
 
 def encoded(texts):
