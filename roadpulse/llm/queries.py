@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, with their SQL where SQL can say it."""
+"""The thin queries of the operators, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -184,3 +184,69 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pairs import align
+    return align(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS s FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) >= 0.93 * a.s * b.s),
+reach AS (SELECT vec_id, vec_id AS w FROM v UNION SELECT reach.vec_id, links.w FROM reach JOIN links ON reach.w = links.u),
+c AS (SELECT vec_id, min(w) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.u
+"""
+
+
+@query("op12_embedding_near_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .projectionforest import near_vectors
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Lloyd's rounds written out; every round compares every entry."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (SELECT vec_id, label, part, list_min(list_transform(list_zip(range(len(b)), b),
+    lambda e: (list_sum(list_transform(list_zip(x, e[2]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e[1]))) AS best, x
+  FROM p JOIN book{k} USING (part)),
+h{k} AS (SELECT vec_id, label, part, x, CAST(best[1] AS BIGINT) AS dist, CAST(best[2] AS BIGINT) AS e FROM a{k})"""
+    steps = []
+    for k in range(rounds):
+        steps.append(assigned(k))
+        steps.append(f"""s{k} AS (SELECT part, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+  FROM (SELECT part, e, x, unnest(range(1, len(x) + 1)) AS i FROM h{k}) GROUP BY ALL),
+n{k} AS (SELECT part, e, list(m ORDER BY i) AS m FROM s{k} GROUP BY ALL),
+f{k} AS (SELECT part, unnest(range(len(b))) AS e, unnest(b) AS old FROM book{k}),
+book{k + 1} AS (SELECT part, list(coalesce(m, old) ORDER BY e) AS b FROM f{k} LEFT JOIN n{k} USING (part, e) GROUP BY part)""")
+    steps.append(assigned(rounds))
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT vec_id, label, k AS part, q[k * (len(q) // {parts}) + 1 : (k + 1) * (len(q) // {parts})] AS x
+  FROM (SELECT *, unnest(range({parts})) AS k FROM v)),
+book0 AS (SELECT part, list(x ORDER BY vec_id) AS b FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}) GROUP BY part),
+{", ".join(steps)},
+r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+  FROM h{rounds} GROUP BY vec_id, label),
+d AS (SELECT sha256(string_agg(t, ',' ORDER BY part)) AS sha FROM (
+  SELECT part, array_to_string(list_transform(flatten(b), lambda c: CAST(c AS VARCHAR)), ',') AS t FROM book{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM r, d
+"""
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import code_report
+    return code_report(read_table(spark, sf_dir, "embeddings"))
