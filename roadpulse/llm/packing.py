@@ -31,7 +31,7 @@ from .tokens import public_path, tokenizer
 
 CAPACITY = 4096
 END = 1
-ROWS = 4000  # texts encoded at a time in a worker
+ROWS = 1000  # texts encoded at a time in a worker
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text",

@@ -47,11 +47,11 @@ from .files import map_file, open_output
 from .tokens import _byte_symbols, public_path
 
 RADIX = 16
-BLOCK_BYTES = 8 << 20  # of texts, whose records are sorted at once
+BLOCK_BYTES = 2 << 20  # of texts, whose records are sorted at once
 FAN_IN = 64
 FRAME = 1 << 14  # pairs in a zstd frame
 FRAMES = 16  # in a row
-LINKS = 1 << 22  # links expanded at once
+LINKS = 1 << 19  # links expanded at once
 
 # white space of any kind: a space after one of these starts no chunk
 SPACES = "\t-\r \\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"

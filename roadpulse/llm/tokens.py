@@ -18,8 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words remembered in a worker; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 150_000
+# What a worker remembers of words and their pieces, in bytes; beyond it the
+# memory is emptied and filled anew, within a column of texts as well.
+CACHE_BYTES = 48 << 20
+ENTRY = 240  # of an entry besides its letters and ids: two objects and its place in the table
+# Bytes of texts whose words are held at a time.
+SLICE_BYTES = 2 << 20
 
 
 def _byte_symbols() -> list[str]:
@@ -41,22 +45,23 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        with open(path) as f:
-            told = json.load(f)
-        split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split).findall
+        # the split step alone: the whole file, parsed, would stay in the worker's memory
+        told = json.loads(self.tok.pre_tokenizer.__getstate__())
+        self.pieces = regex.compile(told["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.model = self.tok.model
-        self.specials = [a["content"] for a in told["added_tokens"]]
+        self.specials = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.symbols = _byte_symbols()
         # Latin letters whose lower case is one letter, digits and ASCII signs
         self.plain = regex.compile("[\\x21-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u012F\\u0131-\\u0148\\u014A-\\u017E]+").fullmatch
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0  # bytes remembered
 
     def _part(self, piece: str) -> bytes:
         # printable ASCII stands for itself in the byte-level alphabet
         symbols = piece if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
         got = self.parts[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        self.held += ENTRY + 4 * len(piece) + len(got)
         return got
 
     def _new(self, word: str) -> bytes:
@@ -69,13 +74,31 @@ class WordTokenizer:
         else:
             got = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
         self.known[word] = got
+        self.held += ENTRY + 4 * len(word) + len(got)
+        if self.held > CACHE_BYTES:
+            # whole words first; pieces are met again more often
+            self.known.clear()
+            self.held = sum(map(len, self.parts.values())) + ENTRY * len(self.parts)
+            if self.held > CACHE_BYTES // 2:
+                self.parts.clear()
+                self.held = 0
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null is empty."""
-        if len(self.known) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.known.clear()
-            self.parts.clear()
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(size) or size[-1] <= SLICE_BYTES:
+            return self._encoded(texts)
+        ids, counts, at = [], [], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            some, offsets = self._encoded(texts.slice(at, to - at))
+            ids.append(some)
+            counts.append(np.diff(offsets))
+            at = to
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))  # a copy, not a slice
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
