@@ -297,4 +297,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     twice = found.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
     if not twice:
         return kept
-    return kept.withColumn("_key", text_key(text_of(text))).dropDuplicates([doc_id, "_key"]).drop("_key")
+    # the row travels as one value, so that none of its columns' names can clash
+    whole = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col(doc_id).alias("id"), text_key(text_of(text)).alias("digest"))
+    return whole.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")

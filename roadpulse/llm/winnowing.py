@@ -29,9 +29,8 @@ SPAN = 10
 K = 6
 # Not words: ASCII other than digits and letters (after lower-casing).
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-# The benchmark's side is broadcast up to this many rows of two or three longs
-# (24 MB), and joined by a shuffle beyond.
+# The benchmark's fingerprints are broadcast up to this many rows of two longs
+# (16 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,9 +58,9 @@ def _span_digest(words: Column, start: Column, n: Column | int) -> Column:
     return F.unhex(F.md5(F.array_join(F.slice(words, start + 1, n), " ")))
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
     """``df`` (a written table) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def benchmark_spans(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -97,24 +96,31 @@ def _short_spans(m: int) -> Column:
         F.array().cast("array<struct<n:int,start:int>>"))
 
 
-def _candidates(docs: DataFrame, prints: DataFrame, short: list[int], span: int, k: int) -> DataFrame:
-    """key, found: the texts that share fingerprints, with the shared ones."""
+def _fingerprinted(docs: DataFrame, text: Column, short: list[int], span: int, k: int, *also: Column) -> DataFrame:
+    """Per row of ``docs``: key, n_words, x (its fingerprints) and what else is asked for."""
     w = span - k + 1
-    d = docs.select(text_key(F.col("t")).alias("key"), words_of(F.col("t")).alias("w"))
-    d = d.select("key", "w", _grams(F.col("w"), k).alias("g"))
+    d = docs.select(*also, text_key(text).alias("key"), words_of(text).alias("w"))
+    rest = [c for c in d.columns if c != "w"]
+    d = d.select(*rest, F.size("w").cast("long").alias("n_words"), "w", _grams(F.col("w"), k).alias("g"))
     # For an item shorter than the span its own length is the window: each
     # length that occurs (below the span, so at most nine) is hashed as well.
     tagged = [_tagged(k, _minima(F.col("g"), w))]
     tagged += [_tagged(-m, F.array_distinct(_grams(F.col("w"), m))) for m in short]
-    d = d.select("key", F.explode(F.concat(*tagged)).alias("x")).select("key", "x.n", "x.f")
+    return d.select(*rest, "n_words", F.concat(*tagged).alias("x"))
+
+
+def _candidates(fingerprinted: DataFrame, prints: DataFrame) -> DataFrame:
+    """key, found: the texts that share fingerprints, with the shared ones."""
+    d = fingerprinted.select("key", F.explode("x").alias("x")).select("key", "x.n", "x.f")
     hit = d.join(_small(prints), ["n", "f"], "left_semi")
     return hit.groupBy("key").agg(F.collect_set(F.struct("n", "f")).alias("found"))
 
 
 def _extended(docs: DataFrame, found: DataFrame, short: list[int], span: int, k: int) -> DataFrame:
     """key, n, start, digest: the spans around every hit in the candidate texts."""
-    d = docs.select(text_key(F.col("t")).alias("key"), F.col("t"))
-    d = d.join(found, "key").dropDuplicates(["key"])
+    d = docs.select(text_key(F.col("t")).alias("key"), F.col("t")).join(found.select("key"), "key", "left_semi")
+    # copies are folded where they are read, before a text is sent anywhere
+    d = d.groupBy("key").agg(F.first("t").alias("t")).join(found, "key")
     d = d.select("key", "found", words_of(F.col("t")).alias("w"))
     d = d.select("key", "found", "w", _grams(F.col("w"), k).alias("g"))
     long = F.transform(F.filter("found", lambda x: x["n"] == k), lambda x: x["f"])
@@ -132,19 +138,29 @@ def _extended(docs: DataFrame, found: DataFrame, short: list[int], span: int, k:
     return d.select("key", F.explode("spans").alias("s")).select("key", "s.n", "s.start", "s.digest")
 
 
+def _prints(benchmark: DataFrame, item_text: str, span: int, k: int) -> tuple[DataFrame, list[int]]:
+    """The benchmark's fingerprints, and the lengths below the span that occur (at most nine)."""
+    prints = materialize(benchmark_fingerprints(benchmark, item_text, span, k), "fingerprints")
+    return prints, sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """One row per distinct text with a hit: key, n_hit (words inside a shared
     span), n_items, item_ids (sorted as strings, each once, without the null one)."""
+    prints, short = _prints(benchmark, item_text, span, k)
+    return _hit_texts(docs, text, _fingerprinted(docs, text_of(text), short, span, k), prints, short, benchmark, item_id, item_text, span, k)
+
+
+def _hit_texts(docs: DataFrame, text: str, fingerprinted: DataFrame, prints: DataFrame, short: list[int], benchmark: DataFrame,
+               item_id: str, item_text: str, span: int, k: int) -> DataFrame:
     t = docs.select(text_of(text).alias("t"))
-    prints = materialize(benchmark_fingerprints(benchmark, item_text, span, k), "fingerprints")
-    short = sorted(-r["n"] for r in prints.where("n < 0").select("n").distinct().collect())  # at most nine
-    found = materialize(_candidates(t, prints, short, span, k), "candidates")
+    found = materialize(_candidates(fingerprinted, prints), "candidates")
     spans = benchmark_spans(benchmark, item_id, item_text, span)
     marks = materialize(spans.groupBy("n", "digest").agg(
         F.collect_set(F.struct("item_id")).alias("items")), "spans")  # in structs, as sets drop nulls
-    hits = _extended(t, found, short, span, k).join(_small(marks, BROADCAST_ROWS // 4), ["n", "digest"])
-    hits = materialize(hits, "hits")
+    # a span's list of items has no bound, so the written size of ``marks`` decides how it is joined
+    hits = materialize(_extended(t, found, short, span, k).join(marks, ["n", "digest"]), "hits")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -159,10 +175,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated."""
-    hits = contaminated_texts(docs, benchmark, text, item_id, item_text)
-    t = text_of(text)
-    d = docs.select(F.col(doc_id).alias("doc_id"), text_key(t).alias("key"),
-                    F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"))
+    prints, short = _prints(benchmark, item_text, SPAN, K)
+    # texts are cut into words once; fingerprints and numbers of words are written
+    d = materialize(_fingerprinted(docs, text_of(text), short, SPAN, K, F.col(doc_id).alias("doc_id")), "document-fingerprints")
+    hits = _hit_texts(docs, text, d, prints, short, benchmark, item_id, item_text, SPAN, K)
     zero = F.lit(0).cast("long")
     return d.join(hits, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),

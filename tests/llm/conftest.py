@@ -5,7 +5,7 @@ import random
 import pytest
 
 # names that operators use inside, as extra columns of the input
-CLASHES = "key string, row string, g string, fp string, cut string, block string, start string, n_words string, kept string"
+CLASHES = "key string, row string, g string, fp string, cut string, block string, start string, n_words string, kept string, _key string, _id string"
 
 
 def _texts():
