@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import seeded_order
+from roadpulse.operators import contraction
 from roadpulse.session import RoundState, stored_with_metrics, stored
 
 # Exact below this many nodes, else k pivots with this seed.
@@ -193,10 +194,15 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame | None = None, k: int |
                                   bad=F.count_if(F.coalesce(F.col("w"), F.lit(0)) <= 0))
     if m["bad"]:
         raise ValueError(f"{m['bad'] // 2} edges have no length or one below a millimetre")
-    dist = _distances(sources, arcs)
-    tight = _tight(dist, arcs, st)
-    sigma = _path_counts(sources, tight, st)
-    credit = stored(_credits(sigma, tight, st))
+    two = arcs.groupBy("a").agg(F.count(F.lit(1)).alias("deg")).where("deg = 2")
+    if not two.isEmpty():
+        # chains of nodes with two neighbours: rounds by junctions, not by nodes
+        credit = stored(contraction.credits(arcs, sources, n))
+    else:
+        dist = _distances(sources, arcs)
+        tight = _tight(dist, arcs, st)
+        sigma = _path_counts(sources, tight, st)
+        credit = stored(_credits(sigma, tight, st))
     scale = 1.0
     if normalized:
         scale = 1.0 / (n * (n - 1)) if n > 1 else 0.0

@@ -110,6 +110,9 @@ def nth_pairs(keys: DataFrame, ranks, what: str = "k1", stats=None) -> list[tupl
                 out[row["i"]] = (row["k1"], row["k2"])
                 active.pop(row["i"])
             continue
+        for rg, cnt in active.values():
+            if rg.on_id and rg.lo2 == rg.hi2:
+                raise ValueError(f"{cnt} rows share one pair ({what}, id); the rank inside them is not defined")
         # one refinement round for every open cut
         tagged = F.array(*[F.when(rg.pred(), F.struct(F.lit(i).alias("i"), rg.bucket().alias("b")))
                            for i, (rg, _) in active.items()])
@@ -217,3 +220,26 @@ def recover_column(target: DataFrame, source: DataFrame, key: str, column: str)
     if total:
         raise ValueError(f"refusing to recover {column!r}: {total} mismatched cells {mism}")
     return target.join(source.select(key, column), key, "left")
+
+
+POSITION = "__row_number"
+
+
+def positional_mismatches(target: DataFrame, source: DataFrame, exclude=()) -> DataFrame:
+    """J1 gate for files without a key: ``target`` and ``source`` carry their rows'
+    numbers in file order (``POSITION``). Rows one file has and the other lacks
+    count in ``__missing_key``; per shared column, cells that disagree."""
+    return alignment_mismatches(target, source, POSITION, exclude)
+
+
+def recover_by_position(target: DataFrame, source: DataFrame, column: str) -> DataFrame:
+    """``column`` of ``source`` attached to the row of the same number, after
+    the gate. Files of different lengths or with cells that disagree raise, with the counts."""
+    mism = positional_mismatches(target, source, exclude=(column,)).first().asDict()
+    missing = mism.pop("__missing_key")
+    if missing:
+        raise ValueError(f"refusing to recover {column!r} by position: {missing} rows have no counterpart, the files differ in length")
+    total = sum(mism.values())
+    if total:
+        raise ValueError(f"refusing to recover {column!r} by position: {total} mismatched cells {mism}; the files are not row-aligned")
+    return target.join(source.select(POSITION, column), POSITION, "left").drop(POSITION)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadpulse.operators.ranks import with_next
 from roadpulse.sources.tables import table
 
 
@@ -87,14 +88,10 @@ def x3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive node ids within a label form a polyline; key 0."""
-    from pyspark.sql import Window
-    n = x3_nodes(spark, sf_dir)
-    w = Window.partitionBy("label").orderBy("node_id")
-    nxt = n.select("label", F.col("node_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"),
-                   F.lead("node_id").over(w).alias("v"), F.lead("x").over(w).alias("vx"),
-                   F.lead("y").over(w).alias("vy"))
-    return nxt.where(F.col("v").isNotNull()).select(
-        "u", "v", F.lit(0).alias("key"), "ux", "uy", "vx", "vy")
+    nxt = with_next(x3_nodes(spark, sf_dir), "label", "node_id", ["node_id", "x", "y"])
+    return nxt.where("next_node_id IS NOT NULL").select(
+        F.col("node_id").alias("u"), F.col("next_node_id").alias("v"), F.lit(0).alias("key"), F.col("x").alias("ux"), F.col("y").alias("uy"),
+        F.col("next_x").alias("vx"), F.col("next_y").alias("vy"))
 
 
 def x3_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,21 @@ def q_oversample(spark, sf_dir):
     return o.groupBy("incident_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query("oversample_draw", f"""{X2_SPLIT_SQL},
+  tr AS (SELECT * FROM split_rows WHERE split = 'train'),
+  c AS (SELECT count_if({LABEL}) AS pos, count_if(NOT {LABEL}) AS neg FROM tr),
+  plan AS (SELECT pos, greatest(CAST(round_even(neg * 0.5e0, 0) AS BIGINT) - pos, 0) AS extra FROM c),
+  d AS (SELECT unnest(range(extra::BIGINT)) AS i, pos FROM plan),
+  drawn AS (SELECT ('0x' || substr(md5('42:draw:' || CAST(i AS VARCHAR)), 1, 15))::BIGINT % pos AS rank, count(*) AS times FROM d GROUP BY 1),
+  ranked AS (SELECT incident_id, row_number() OVER (ORDER BY incident_id) - 1 AS rank FROM tr WHERE {LABEL}),
+  n AS (SELECT t.incident_id, CAST(coalesce(times, 0) AS BIGINT) AS times FROM tr t LEFT JOIN ranked USING (incident_id) LEFT JOIN drawn USING (rank))
+SELECT incident_id, draw, ('0x' || substr(md5('42:' || CAST(incident_id AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 15))::BIGINT AS shuffle_key
+FROM (SELECT incident_id, unnest(range(times + 1))::INT AS draw FROM n)""")
+def q_oversample_draw(spark, sf_dir):
+    """M3 as drawn with replacement: some positives never, some several times, the total exact."""
+    return sampling.oversample_with_replacement(_train(spark, sf_dir), LABEL).select("incident_id", "draw", "shuffle_key")
+
+
 @query("seeded_sample", f"""{X2_SPLIT_SQL}
 SELECT incident_id FROM split_rows WHERE split = 'val' ORDER BY {seeded_order_sql(42, 'incident_id')}, incident_id LIMIT 14""")
 def q_seeded_sample(spark, sf_dir):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions import geo
 from roadpulse.operators import graph, snap
-from roadpulse.plans.adapters import X2_SQL, X3_NODES_SQL, X4_SQL, x2_incidents, x3_nodes, x4_edges
+from roadpulse.operators.ranks import with_next
+from roadpulse.plans.adapters import X2_SQL, X3_NODES_SQL, X4_SQL, x2_incidents, x3_edges, x3_nodes, x4_edges
 from roadpulse.plans.registry import query
 from roadpulse.session import stored
 from roadpulse.sources.tables import table
@@ -64,25 +65,27 @@ def q_edge_betweenness_pivots(spark, sf_dir):
     return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
 
 
-STRETCH = 8  # nodes of a stretch of road: the rounds needed stay the same as the network grows
+def _road_sql(nodes: str) -> str:
+    """Betweenness of the polylines' edges. An edge with i of its road's l nodes
+    before it lies on the paths from each source before it to the l - i nodes
+    behind it, and the other way round. Sources follow the rule of the pivots."""
+    return f"""piv AS (SELECT node_id, count(*) OVER () AS n, least({graph.K_PIVOTS}, count(*) OVER () - 1) AS k0,
+           row_number() OVER (ORDER BY md5('42:' || CAST(node_id AS VARCHAR)), node_id) AS r FROM {nodes}),
+  src AS (SELECT node_id, n, CASE WHEN n <= {graph.EXACT_THRESHOLD_NODES} THEN n ELSE k0 END AS k,
+           CASE WHEN n <= {graph.EXACT_THRESHOLD_NODES} OR r <= k0 THEN 1 ELSE 0 END AS is_source FROM piv),
+  p AS (SELECT x.*, lead(x.node_id) OVER w AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY label) AS l, n::DOUBLE AS n, k::DOUBLE AS k,
+               sum(is_source) OVER w AS before, sum(is_source) OVER (PARTITION BY label) AS every
+        FROM {nodes} x JOIN src USING (node_id) WINDOW w AS (PARTITION BY label ORDER BY x.node_id)),
+  c AS (SELECT *, (before * (l - i) + (every - before) * i) * (n / k) / (n * (n - 1)) AS c FROM p)"""
 
 
-@query("edge_betweenness_roads", f"""WITH n AS (SELECT *, node_id // {STRETCH} AS stretch FROM ({X3_NODES_SQL}) x),
-  p AS (SELECT node_id AS u, lead(node_id) OVER w AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY label, stretch) AS l
-        FROM n WINDOW w AS (PARTITION BY label, stretch ORDER BY node_id)),
-  t AS (SELECT count(*)::DOUBLE AS n FROM p)
-SELECT u, v, round(2e0 * i * (l - i) / (n * (n - 1)), 12) AS centrality FROM p, t WHERE v IS NOT NULL""")
+@query("edge_betweenness_roads", f"""WITH n0 AS ({X3_NODES_SQL}), {_road_sql("n0")}
+SELECT node_id AS u, v, round(c, 12) AS centrality FROM c WHERE v IS NOT NULL""")
 def q_edge_betweenness_roads(spark, sf_dir):
-    """G2 on a network that grows with the data: stretches of road with lengths
-    from coordinates. On a path of l nodes, i of them before an edge, 2 i (l - i)
-    ordered pairs pass it."""
-    from pyspark.sql import Window
-    n = x3_nodes(spark, sf_dir).withColumn("stretch", F.floor(F.col("node_id") / STRETCH))
-    w = Window.partitionBy("label", "stretch").orderBy("node_id")
-    nxt = lambda c: F.lead(c).over(w)
-    e = n.select(F.col("node_id").alias("u"), nxt("node_id").alias("v"),
-                 F.hypot(nxt("x") - F.col("x"), nxt("y") - F.col("y")).alias("w")).where("v IS NOT NULL")
-    eb = graph.edge_betweenness(stored(e), n.select("node_id"))
+    """G2 on a network that grows with the data: the whole polylines, with
+    lengths from coordinates."""
+    e = x3_edges(spark, sf_dir).select("u", "v", F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")).alias("w"))
+    eb = graph.edge_betweenness(stored(e), x3_nodes(spark, sf_dir).select("node_id"))
     return eb.select("u", "v", F.round("centrality", 12).alias("centrality"))
 
 
@@ -154,12 +157,8 @@ _SNAP_DIST = geo.point_segment_distance_sql("q.x", "q.y", "s.ux", "s.uy", "s.vx"
 
 
 @query("centrality_from_degrees", f"""WITH deg AS (SELECT node_id, label, 12.97e0 + x * 3e-7 AS lat, 77.59e0 + y * 3e-7 AS lon FROM ({X3_NODES_SQL}) n0),
-  n AS (SELECT node_id, label, node_id // {STRETCH} AS stretch, round({_NE}, 2) AS x, round({_NN}, 2) AS y FROM deg),
-  p AS (SELECT node_id AS u, lead(node_id) OVER w AS v, x AS ux, y AS uy, lead(x) OVER w AS vx, lead(y) OVER w AS vy,
-               row_number() OVER w AS i, count(*) OVER (PARTITION BY label, stretch) AS l
-        FROM n WINDOW w AS (PARTITION BY label, stretch ORDER BY node_id)),
-  t AS (SELECT count(*)::DOUBLE AS n FROM p),
-  s AS (SELECT u, v, ux, uy, vx, vy, 2e0 * i * (l - i) / (n * (n - 1)) AS c FROM p, t WHERE v IS NOT NULL),
+  n1 AS (SELECT node_id, label, round({_NE}, 2) AS x, round({_NN}, 2) AS y FROM deg), {_road_sql("n1")},
+  s AS (SELECT c.node_id AS u, v, c.x AS ux, c.y AS uy, n1.x AS vx, n1.y AS vy, c FROM c JOIN n1 ON n1.node_id = v),
   q AS (SELECT incident_id, round({_PE}, 2) AS x, round({_PN}, 2) AS y FROM ({X2_SQL}) x2 WHERE incident_id % 19 <> 0),
   d AS (SELECT q.incident_id, s.u, s.v, s.c, {_SNAP_DIST} AS d FROM q, s),
   b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY d, u, v) AS r FROM d) WHERE r = 1)
@@ -169,16 +168,13 @@ def q_centrality_from_degrees(spark, sf_dir):
     """Step 2 end to end: network and incidents in degrees, projected; parallel
     edges collapsed; betweenness of its edges; every incident (some have no
     coordinate) snapped to its nearest edge and given that edge's score."""
-    from pyspark.sql import Window
     east, north = geo.utm_project("lat", "lon")
     n = x3_nodes(spark, sf_dir).select("node_id", "label", (F.lit(12.97) + F.col("x") * F.lit(3e-7)).alias("lat"),
                                        (F.lit(77.59) + F.col("y") * F.lit(3e-7)).alias("lon"))
-    n = stored(n.select("node_id", "label", F.floor(F.col("node_id") / STRETCH).alias("stretch"),
-                        F.round(east, 2).alias("x"), F.round(north, 2).alias("y")))
-    w = Window.partitionBy("label", "stretch").orderBy("node_id")
-    nxt = lambda c: F.lead(c).over(w)
-    road = n.select(F.col("node_id").alias("u"), nxt("node_id").alias("v"), F.col("x").alias("ax"), F.col("y").alias("ay"),
-                    nxt("x").alias("bx"), nxt("y").alias("by")).where("v IS NOT NULL")
+    n = stored(n.select("node_id", "label", F.round(east, 2).alias("x"), F.round(north, 2).alias("y")))
+    road = stored(with_next(n, "label", "node_id", ["node_id", "x", "y"]).where("next_node_id IS NOT NULL").select(
+        F.col("node_id").alias("u"), F.col("next_node_id").alias("v"), F.col("x").alias("ax"), F.col("y").alias("ay"),
+        F.col("next_x").alias("bx"), F.col("next_y").alias("by")))
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     both = road.select("u", "v", length.alias("length")).unionByName(road.select(F.col("v").alias("u"), F.col("u").alias("v"), (2 * length).alias("length")))
     simple = graph.collapse_simple(both)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roadpulse.functions import timefn
 from roadpulse.operators import clean, split
 from roadpulse.plans.adapters import X1_SQL, X2_SQL, x1_lifecycle, x2_incidents
 from roadpulse.plans.registry import query
+from roadpulse.session import scratch_path
 
 W2 = f"WITH x2 AS ({X2_SQL})"
 
@@ -119,6 +122,56 @@ def q_recovery_audit(spark, sf_dir):
     return split.alignment_mismatches(dmg, ready.drop("event_cause"), "incident_id")
 
 
+_EXPORT = ["latitude", "longitude", "resolution_minutes", "corridor", "event_cause"]
+
+
+def _exports(spark, sf_dir, drop_first=False):
+    """Two CSV exports without id, in id order and over different numbers of
+    files: one with the split key, one without; read back with row numbers."""
+    from roadpulse.sources import incidents as src
+    ready = x2_incidents(spark, sf_dir).withColumn("split_timestamp", timefn.ts_text("split_timestamp"))
+    frames = []
+    for files, columns, rows in ((3, _EXPORT, ready), (5, [*_EXPORT, "split_timestamp"], ready.where("incident_id <> 0") if drop_first else ready)):
+        path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+        src.write_table(rows.repartitionByRange(files, "incident_id").sortWithinPartitions("incident_id").select(*columns), path, "csv")
+        ddl = ", ".join(f"{c} {'string' if c in ('corridor', 'event_cause', 'split_timestamp') else 'double'}" for c in columns)
+        scan = spark.read.schema(ddl).option("header", True).csv(path)
+        frames.append(src.with_row_numbers(scan, split.POSITION))
+    return frames
+
+
+@query("positional_recovery", f"""{W2}
+SELECT latitude, longitude, resolution_minutes, corridor, event_cause, strftime(split_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS split_timestamp FROM x2""")
+def q_positional_recovery(spark, sf_dir):
+    """J1 without a key: the lost column comes back by row position, after every
+    shared column of every row has been compared."""
+    target, source = _exports(spark, sf_dir)
+    return split.recover_by_position(target, source, "split_timestamp").select(*_EXPORT, "split_timestamp")
+
+
+@query("positional_recovery_gate", f"""{W2},
+  l AS (SELECT *, row_number() OVER (ORDER BY incident_id) AS i FROM x2),
+  r AS (SELECT *, row_number() OVER (ORDER BY incident_id) AS i FROM x2 WHERE incident_id <> (SELECT min(incident_id) FROM x2 WHERE incident_id = 0)),
+  j AS (SELECT l.i AS li, r.i AS ri, l.latitude AS la, r.latitude AS ra, l.longitude AS lo, r.longitude AS ro,
+               l.resolution_minutes AS lm, r.resolution_minutes AS rm, l.corridor AS lc, r.corridor AS rc, l.event_cause AS le, r.event_cause AS re
+        FROM l FULL OUTER JOIN r ON l.i = r.i)
+SELECT count_if(li IS NULL OR ri IS NULL)::BIGINT AS missing_rows,
+       count_if(abs(la - ra) > 1e-6 + 1e-6 * abs(ra))::BIGINT AS latitude, count_if(abs(lo - ro) > 1e-6 + 1e-6 * abs(ro))::BIGINT AS longitude,
+       count_if((lm IS NULL) <> (rm IS NULL) AND li IS NOT NULL AND ri IS NOT NULL OR abs(lm - rm) > 1e-6 + 1e-6 * abs(rm))::BIGINT AS resolution_minutes,
+       count_if(lc <> rc)::BIGINT AS corridor, count_if(le <> re)::BIGINT AS event_cause, true AS refused FROM j""")
+def q_positional_recovery_gate(spark, sf_dir):
+    """One file lost its first row, so all rows moved up; the gate counts
+    what disagrees and the recovery refuses."""
+    target, source = _exports(spark, sf_dir, drop_first=True)
+    try:
+        split.recover_by_position(target, source, "split_timestamp")
+        refused = False
+    except ValueError:
+        refused = True
+    found = split.positional_mismatches(target, source, exclude=("split_timestamp",))
+    return found.withColumnRenamed("__missing_key", "missing_rows").withColumn("refused", F.lit(refused))
+
+
 @query("strict_timestamp_gate", f"""{W2}
 SELECT count(*) AS n, CAST(count_if(split_timestamp IS NULL) AS BIGINT) AS n_unparseable,
        CAST(count_if(incident_id % 23 = 0 OR incident_id % 29 = 0) AS BIGINT) AS n_damaged FROM x2""")

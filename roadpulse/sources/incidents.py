@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from roadpulse.session import stored
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -24,9 +26,11 @@ def raw_schema(columns=RAW_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def load_raw_csv(spark: SparkSession, path: str, columns=RAW_COLUMNS) -> DataFrame:
-    """All columns as text (no coercion at read time); quoted multi-line fields allowed."""
-    return (spark.read.schema(raw_schema(columns)).option("header", True).option("multiLine", True)
+def load_raw_csv(spark: SparkSession, path: str, columns=RAW_COLUMNS, multi_line: bool = True) -> DataFrame:
+    """All columns as text (no coercion at read time). Quoted fields may hold
+    line breaks, for which a file must be read by one task; without such fields,
+    ``multi_line=False`` splits large files over many tasks."""
+    return (spark.read.schema(raw_schema(columns)).option("header", True).option("multiLine", multi_line)
             .option("escape", '"').csv(path))
 
 
@@ -38,13 +42,33 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
         raise FileNotFoundError(f"expected an incident file at {path}") from e
 
 
-def load_incidents_csv(spark: SparkSession, path: str, columns=None, required=REQUIRED) -> DataFrame:
+def load_incidents_csv(spark: SparkSession, path: str, columns=None, required=REQUIRED, multi_line: bool = True) -> DataFrame:
     """CSV scan + existence and required-column checks."""
     header = csv_header(spark, path)
     missing = [c for c in required if c not in header]
     if missing:
         raise KeyError(f"required column(s) {missing} missing from {path}")
-    return load_raw_csv(spark, path, columns or header)
+    return load_raw_csv(spark, path, columns or header, multi_line)
+
+
+def with_row_numbers(scan: DataFrame, out: str = "row_number") -> DataFrame:
+    """``scan`` (a DataFrame read from files) with its rows' gapless numbers from
+    0 in file order: files by path, rows as they lie in the file.
+
+    A file may be read in several splits and by any tasks. Every row notes its
+    split's file and offset; rows of a split keep their order within a task.
+    One row per split (its count) says where each split's numbers begin.
+    """
+    from pyspark.sql import Window
+    names = scan.columns
+    told = stored(scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"),
+                              F.monotonically_increasing_id().alias("__id")))
+    splits = told.groupBy("__file", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select("__file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = stored(starts)  # its written size decides how it is joined
+    numbered = told.join(starts, ["__file", "__at"])
+    return numbered.select(*names, (F.col("__start") + F.col("__id") - F.col("__first")).cast("long").alias(out))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -88,3 +88,44 @@ def test_fractional_lengths_and_gate(spark):
 def test_pivot_rule():
     assert graph.n_sources(25) is None and graph.n_sources(3000) is None
     assert graph.n_sources(3001) == 500 and graph.n_sources(10, 4) == 4
+
+
+def _chained(seed):
+    """Random networks of chains: parallel chains, rings on a junction, closed
+    rings, dead ends, short lengths so that many ways are equally long."""
+    import random
+    rnd = random.Random(seed)
+    edges, nxt = [], [20]
+
+    def chain(a, b, k):
+        at = a
+        for _ in range(k):
+            edges.append((at, nxt[0], rnd.choice((1, 1, 2))))
+            at = nxt[0]
+            nxt[0] += 1
+        edges.append((at, b, rnd.choice((1, 2))))
+
+    for _ in range(9):
+        a, b = rnd.sample(range(6), 2)
+        chain(a, b, rnd.randint(1, 5))
+    chain(2, 2, 4)                       # a ring on a junction
+    chain(10, 10, 5)                     # a closed ring
+    chain(11, 12, 6)                     # a road of its own
+    chain(0, 13, 3)                      # a dead end
+    edges.append((0, 4, 3))
+    return edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contracted_chains_match_brandes(spark, seed):
+    edges = _chained(seed)
+    nodes = sorted({x for u, v, _ in edges for x in (u, v)})
+    n = len(nodes)
+    got = _run(spark, edges)
+    ref = brandes_edges(nodes, edges)
+    assert got == pytest.approx({(min(u, v), max(u, v)): ref.get((min(u, v), max(u, v)), 0.0) / (n * (n - 1)) for u, v, _ in edges}, abs=1e-12)
+    k = 7
+    pivots = [r["s"] for r in graph.pivot_sources(spark.createDataFrame([(x,) for x in nodes], "node_id long"), k).collect()]
+    ref = brandes_edges(nodes, edges, pivots)
+    got = _run(spark, edges, k)
+    assert got == pytest.approx({(min(u, v), max(u, v)): ref.get((min(u, v), max(u, v)), 0.0) * n / k / (n * (n - 1)) for u, v, _ in edges}, abs=1e-12)
