@@ -55,11 +55,15 @@ def kpis(q: DataFrame) -> DataFrame:
                  F.round(F.lit(100.0) - F.least(F.lit(95.0), F.coalesce(avg, F.lit(0.0))), 6).alias("readiness"))
 
 
-def ops_status(k: DataFrame) -> DataFrame:
+def status_of():
     """A10: any Critical -> Elevated, any High -> Heightened, else Normal."""
-    return k.select(F.when(F.col("n_critical") > 0, "Elevated Operations")
-                    .when(F.col("n_high") > 0, "Heightened Operations")
-                    .otherwise("Normal Operations").alias("ops_status"))
+    return (F.when(F.col("n_critical") > 0, "Elevated Operations")
+            .when(F.col("n_high") > 0, "Heightened Operations")
+            .otherwise("Normal Operations"))
+
+
+def ops_status(k: DataFrame) -> DataFrame:
+    return k.select(status_of().alias("ops_status"))
 
 
 def corridor_rollup(q: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from roadpulse.operators import encode, learn, sampling
 from roadpulse.operators.risk import RiskScorer
 from roadpulse.plans.catalog_eval import SWEEP_SQL
 from roadpulse.plans.catalog_features import _ODD_JUNCTION_SQL, odd_junctions
-from roadpulse.plans.catalog_risk import X5_SPLIT_SQL, x5_with_split
+from roadpulse.plans.catalog_risk import FIT_SQL, X5_SPLIT_SQL, x5_with_split
 from roadpulse.plans.registry import query
 from roadpulse.session import scratch_path, stored
 
@@ -86,6 +86,31 @@ def _classifier(spark, sf_dir):
     return _once("classifier", spark, sf_dir, fit)
 
 
+_LISTS = ["event_cause", "veh_type", "corridor", "zone", "junction"]
+
+
+def _artifacts(spark, sf_dir):
+    """Folder with all that inference needs, written once a session and table set."""
+    def fit():
+        from roadpulse.operators import artifacts
+        from roadpulse.operators import evaluate as ev
+        df = incidents(spark, sf_dir)
+        train = stored(df.where(F.col("split") == "train"))
+        _, reg = _regressor(spark, sf_dir)
+        rest, clf = _classifier(spark, sf_dir)
+        encoders = {}
+        for model, cols, label in (("regressor", ["junction"], Y_REG), ("classifier", ["junction", "zone"], Y_CLF)):
+            g = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
+            encoders |= {(model, c): (encode.encoder_table(train, c, label, g), g) for c in cols}
+        val = rest.where(F.col("split") == "val").drop("closure_probability")
+        best = ev.best_threshold(ev.threshold_sweep(learn.predict_probability(clf.model, val, CLF_SPEC), Y_CLF, "closure_probability")).first()
+        folder = scratch_path(spark, f"artifacts-{uuid.uuid4().hex}")
+        artifacts.save(spark, folder, {"regressor": reg.model, "classifier": clf.model}, {"regressor": REG_SPEC, "classifier": CLF_SPEC}, encoders,
+                       RiskScorer().fit(train), encode.vocabulary(train, _LISTS), _LISTS, best["threshold"])
+        return folder
+    return _once("artifacts", spark, sf_dir, fit)
+
+
 _TEST = f"{X5_SPLIT_SQL} SELECT incident_id, true AS valid FROM split_rows WHERE split = 'test'"
 
 
@@ -211,7 +236,6 @@ def q_boosting_rounds(spark, sf_dir):
                                        "patience_kept boolean, beats_one_tree boolean")
 
 
-_LISTS = ["event_cause", "veh_type", "corridor", "zone", "junction"]
 _RULES = {"hour": "h BETWEEN 0 AND 23", "dow": "d BETWEEN 0 AND 6", "month": "m BETWEEN 1 AND 12",
           "lat": "latitude BETWEEN 12.8e0 AND 13.3e0", "lon": "longitude BETWEEN 77.38e0 AND 77.76e0",
           "centrality": "centrality_score BETWEEN 0e0 AND 0.07e0", "snap": "snap BETWEEN 0e0 AND 500e0"}
@@ -284,3 +308,113 @@ def q_metadata_document(spark, sf_dir):
     path = scratch_path(spark, f"metadata-{uuid.uuid4().hex}")
     src.write_metadata(spark.createDataFrame(names, schema).unionByName(sizes).unionByName(words), path)
     return src.read_metadata(spark, path, schema)
+
+
+@query("artifact_inference", f"""{X5_SPLIT_SQL}
+SELECT incident_id, true AS same_minutes, true AS same_probability, true AS scored FROM split_rows WHERE split = 'test'""")
+def q_artifact_inference(spark, sf_dir):
+    """S7 + S8 + P26: another session loads the artefacts and scores TEST rows
+    from their raw columns; its predictions are the fitting session's."""
+    from roadpulse.operators import artifacts
+    folder = _artifacts(spark, sf_dir)
+    test, reg = _regressor(spark, sf_dir)
+    rest, clf = _classifier(spark, sf_dir)
+    a = learn.predict_minutes(reg.model, test.drop("predicted_resolution_minutes"), REG_SPEC).select(
+        "incident_id", F.col("predicted_resolution_minutes").alias("minutes"))
+    b = learn.predict_probability(clf.model, rest.where(F.col("split") == "test").drop("closure_probability"), CLF_SPEC).select(
+        "incident_id", F.col("closure_probability").alias("probability"))
+    other = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        other.conf.set(key, spark.conf.get(key))
+    raw = scratch_path(spark, f"raw-{uuid.uuid4().hex}")
+    test.drop("junction_te", "predicted_resolution_minutes", "closure_probability").write.parquet(raw)
+    done = scratch_path(spark, f"scored-{uuid.uuid4().hex}")
+    artifacts.Inference.load(other, folder).predict(other.read.parquet(raw)).write.parquet(done)
+    s = spark.read.parquet(done)
+    near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) < 1e-9, F.lit(False))
+    return s.join(a, "incident_id").join(b, "incident_id").select(
+        "incident_id", near("predicted_resolution_minutes", "minutes").alias("same_minutes"), near("closure_probability", "probability").alias("same_probability"),
+        (F.col("cascade_risk_score").between(0.0, 100.0) & F.col("priority").isNotNull() & F.col("closure_expected").isNotNull()).alias("scored"))
+
+
+def _fed(spark, rows, parts, batch_fn, name):
+    """Runs a stream over a folder that grows by one of ``parts`` parts (by id)
+    between runs: each run starts anew from the checkpoint. The folder of the sinks."""
+    from roadpulse.streaming import jobs
+    out = jobs.new_run_dir(spark, name)
+    for k in range(parts):
+        rows.where(F.col("incident_id") % parts == k).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        jobs.run_available_now(stream, out, batch_fn=batch_fn)
+    return out
+
+
+@query("stream_intake", f"""{X5_SPLIT_SQL},
+  f AS (SELECT incident_id, split, latitude, longitude, hour(split_timestamp + INTERVAL 330 MINUTE) AS h,
+               isodow(split_timestamp + INTERVAL 330 MINUTE) - 1 AS d, month(split_timestamp + INTERVAL 330 MINUTE) AS m,
+               centrality_score, CAST(incident_id * 31 % 1000 AS DOUBLE) AS snap, event_cause, corridor, zone,
+               CASE incident_id % 5 {_VEHICLE_SQL} END AS veh_type, {_ODD_JUNCTION_SQL} AS junction FROM split_rows)
+SELECT 'INC-' || CAST(incident_id AS VARCHAR) AS id, concat_ws(',', {_REASONS}) AS reasons, incident_id % 3 AS epoch, true AS same_as_batch
+FROM f WHERE split <> 'train'""")
+def q_stream_intake(spark, sf_dir):
+    """ST1: the whole live intake as a stream that is started three times over a
+    growing folder; queue and quarantine hold every row once, each in its epoch,
+    and the queue's rows are those of the batch."""
+    from roadpulse.operators import artifacts, validate
+    from roadpulse.operators import queue as queue_ops
+    from roadpulse.streaming import jobs
+    df = odd_junctions(incidents(spark, sf_dir)).where(F.col("split") != "train").drop("predicted_resolution_minutes", "closure_probability")
+    df = stored(df)
+    inf = artifacts.Inference.load(spark, _artifacts(spark, sf_dir))
+    out = _fed(spark, df, 3, jobs.intake(inf), "intake")
+    live = spark.read.parquet(f"{out}/queue")
+    good, _ = validate.quarantine(stored(inf.validated(df)))
+    batch = queue_ops.build_queue(inf.predict(good), is_new=True).drop("reported_at")
+    values = [c for c in batch.columns if c != "id"]
+    same = live.join(batch.select(F.col("id").alias("__id"), F.struct(*values).alias("__b")), F.col("id") == F.col("__id"), "left").select(
+        "id", F.lit("").alias("reasons"), F.col("epoch").cast("long").alias("epoch"), F.col("__b").eqNullSafe(F.struct(*values)).alias("same_as_batch"))
+    refused = spark.read.parquet(f"{out}/quarantine").select(
+        F.concat(F.lit("INC-"), F.col("incident_id").cast("string")).alias("id"), F.array_join("reasons", ",").alias("reasons"),
+        F.col("epoch").cast("long").alias("epoch"), F.lit(True).alias("same_as_batch"))
+    return same.unionByName(refused)
+
+
+_TIER_COUNTS = ", ".join(f"count_if(priority = '{t}' AND incident_id % 3 <= e)::BIGINT AS n_{t.lower()}"
+                         for t in ("Critical", "High", "Elevated", "Moderate", "Low"))
+
+
+@query("stream_kpis", f"""{FIT_SQL},
+  k AS (SELECT e AS epoch, count_if(incident_id % 3 <= e)::BIGINT AS n_active, {_TIER_COUNTS}, avg(cascade_risk_score) FILTER (incident_id % 3 <= e) AS a
+        FROM banded, range(3) r(e) GROUP BY e)
+SELECT epoch, n_active, n_critical, n_high, n_elevated, n_moderate, n_low, round(a, 6) AS avg_crs,
+       round(100e0 - least(95e0, coalesce(a, 0e0)), 6) AS readiness,
+       CASE WHEN n_critical > 0 THEN 'Elevated Operations' WHEN n_high > 0 THEN 'Heightened Operations' ELSE 'Normal Operations' END AS ops_status FROM k""")
+def q_stream_kpis(spark, sf_dir):
+    """ST2, A9, A10: KPIs after each of three epochs, every run restarted from
+    the checkpoint, from states that add up."""
+    from roadpulse.operators import queue as queue_ops
+    from roadpulse.streaming import jobs
+    df = stored(x5_with_split(spark, sf_dir))
+    scorer = RiskScorer().fit(df.where(F.col("split") == "train"))
+
+    def batch(rows, epoch, path):
+        jobs.queue_sinks(queue_ops.build_queue(scorer.score(rows), is_new=True).drop("reported_at"), path.removesuffix("/data"), epoch)
+    out = _fed(spark, df, 3, batch, "kpis")
+    return jobs.running_kpis(spark.read.parquet(f"{out}/kpis").withColumn("epoch", F.col("epoch").cast("long")))
+
+
+@query("stream_top_corridors", f"""{FIT_SQL},
+  t AS (SELECT corridor, sum(cascade_risk_score) AS total, count(*) AS n FROM banded GROUP BY corridor)
+SELECT corridor, round(total, 6) AS total_crs, n AS count, row_number() OVER (ORDER BY total DESC, corridor)::INT AS rank FROM t
+QUALIFY rank <= 5""")
+def q_stream_top_corridors(spark, sf_dir):
+    """ST2, W4, W9: the top five corridors from totals kept per epoch."""
+    from roadpulse.operators import queue as queue_ops
+    from roadpulse.streaming import jobs
+    df = stored(x5_with_split(spark, sf_dir))
+    scorer = RiskScorer().fit(df.where(F.col("split") == "train"))
+
+    def batch(rows, epoch, path):
+        jobs.queue_sinks(queue_ops.build_queue(scorer.score(rows), is_new=True).drop("reported_at"), path.removesuffix("/data"), epoch)
+    out = _fed(spark, df, 3, batch, "corridor-totals")
+    return jobs.running_top_corridors(spark.read.parquet(f"{out}/corridors")).withColumn("total_crs", F.round("total_crs", 6))

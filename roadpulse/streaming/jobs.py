@@ -1,5 +1,7 @@
-"""Structured Streaming jobs (ST1-ST4): intake -> validate -> score -> queue,
-running roll-ups, windowed hour counts, duplicate-submission guard.
+"""Structured Streaming jobs (ST1-ST4): intake -> validate -> features -> models
+-> score -> queue with a quarantine and running KPIs, scoring of rows that
+carry their predictions, running roll-ups, windowed hour counts,
+duplicate-submission guard.
 
 Every job reads a file stream with a declared schema, keeps its state and
 offsets in a checkpoint folder under the session's reliable checkpoint
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.operators import queue as queue_ops
 from roadpulse.operators.risk import RiskScorer
-from roadpulse.session import scratch_path
+from roadpulse.session import scratch_path, stored
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -92,3 +94,58 @@ def hourly_counts(events: DataFrame, ts: str = "event_time", watermark: str = "1
 def dedup(events: DataFrame, key: str, ts: str = "event_time", watermark: str = "1 hour") -> DataFrame:
     """ST4: drop re-submissions of the same id that arrive within the watermark."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+
+
+def _epoch_sink(df: DataFrame, out: str, name: str, epoch: int) -> None:
+    """A repeated epoch (after a failure) replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
+
+
+def kpi_state(q: DataFrame) -> DataFrame:
+    """A9 in a form that adds up over epochs: counts per tier and the sum of scores."""
+    return q.agg(F.count(F.lit(1)).alias("n_active"), *[F.count_if(F.col("priority") == t).alias(f"n_{t.lower()}") for t in queue_ops.TIERS],
+                 F.sum("crs").alias("sum_crs"), F.count("crs").alias("n_crs"))
+
+
+def running_kpis(states: DataFrame) -> DataFrame:
+    """A9 + A10 after every epoch, from the epochs' states (one row each)."""
+    from pyspark.sql import Window
+    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ["n_active", *[f"n_{t.lower()}" for t in queue_ops.TIERS]]
+    upto = states.select("epoch", *[F.sum(c).over(w).alias(c) for c in counts],
+                         F.try_divide(F.sum("sum_crs").over(w), F.sum("n_crs").over(w)).alias("avg"))
+    return upto.select("epoch", *counts, F.round("avg", 6).alias("avg_crs"), F.round(
+        F.lit(100.0) - F.least(F.lit(95.0), F.coalesce("avg", F.lit(0.0))), 6).alias("readiness"), queue_ops.status_of().alias("ops_status"))
+
+
+def running_top_corridors(totals: DataFrame, n: int = 5) -> DataFrame:
+    """W4 + W9 over the epochs' corridor totals (corridor, total_crs, count)."""
+    from pyspark.sql import Window
+    top = totals.groupBy("corridor").agg(F.sum("total_crs").alias("total_crs"), F.sum("count").alias("count")).orderBy(
+        F.desc("total_crs"), F.asc("corridor")).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_crs"), F.asc("corridor"))))  # n rows
+
+
+def queue_sinks(q: DataFrame, out: str, epoch: int) -> None:
+    """Queue rows of an epoch, its KPI state and its corridor totals."""
+    q = stored(q)
+    _epoch_sink(q, out, "queue", epoch)
+    _epoch_sink(kpi_state(q), out, "kpis", epoch)
+    _epoch_sink(corridor_totals(q), out, "corridors", epoch)
+
+
+def intake(inference):
+    """ST1 (F5, P26, M8, M13, U2): a batch function for ``run_available_now``.
+
+    Rows of a micro-batch are checked against the stored lists and bounds;
+    accepted ones get features, both models' predictions and a risk score and
+    join the queue, the others go to the quarantine with the rules they broke.
+    Both sinks, the KPIs and the corridor totals are written per epoch."""
+    from roadpulse.operators import validate
+
+    def run(df: DataFrame, epoch: int, path: str) -> None:
+        out = path.removesuffix("/data")
+        accepted, refused = validate.quarantine(stored(inference.validated(df)))
+        _epoch_sink(refused, out, "quarantine", epoch)
+        queue_sinks(queue_ops.build_queue(inference.predict(accepted), is_new=True).drop("reported_at"), out, epoch)
+    return run
