@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 
 # What a worker remembers of words and their pieces, in bytes; beyond it the
 # memory is emptied and filled anew, within a column of texts as well.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 80 << 20
 ENTRY = 240  # of an entry besides its letters and ids: two objects and its place in the table
 # Bytes of texts whose words are held at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 6 << 20
 
 
 def _byte_symbols() -> list[str]:
