@@ -58,9 +58,9 @@ def _span_digest(words: Column, start: Column, n: Column | int) -> Column:
     return F.unhex(F.md5(F.array_join(F.slice(words, start + 1, n), " ")))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a written table) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def benchmark_spans(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -118,9 +118,8 @@ def _candidates(fingerprinted: DataFrame, prints: DataFrame) -> DataFrame:
 
 def _extended(docs: DataFrame, found: DataFrame, short: list[int], span: int, k: int) -> DataFrame:
     """key, n, start, digest: the spans around every hit in the candidate texts."""
-    d = docs.select(text_key(F.col("t")).alias("key"), F.col("t")).join(found.select("key"), "key", "left_semi")
-    # copies are folded where they are read, before a text is sent anywhere
-    d = d.groupBy("key").agg(F.first("t").alias("t")).join(found, "key")
+    d = docs.select(text_key(F.col("t")).alias("key"), F.col("t"))
+    d = d.join(found, "key").dropDuplicates(["key"])
     d = d.select("key", "found", words_of(F.col("t")).alias("w"))
     d = d.select("key", "found", "w", _grams(F.col("w"), k).alias("g"))
     long = F.transform(F.filter("found", lambda x: x["n"] == k), lambda x: x["f"])
@@ -159,8 +158,8 @@ def _hit_texts(docs: DataFrame, text: str, fingerprinted: DataFrame, prints: Dat
     spans = benchmark_spans(benchmark, item_id, item_text, span)
     marks = materialize(spans.groupBy("n", "digest").agg(
         F.collect_set(F.struct("item_id")).alias("items")), "spans")  # in structs, as sets drop nulls
-    # a span's list of items has no bound, so the written size of ``marks`` decides how it is joined
-    hits = materialize(_extended(t, found, short, span, k).join(marks, ["n", "digest"]), "hits")
+    # only rows are counted here: a span's list of items has no bound of its own
+    hits = materialize(_extended(t, found, short, span, k).join(_small(marks, BROADCAST_ROWS // 4), ["n", "digest"]), "hits")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
