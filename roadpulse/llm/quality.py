@@ -2,9 +2,11 @@
 
 Every document gets its own measures and rule failures. Failures are then
 aggregated by host; each host's failure rate is shrunk towards the corpus
-rate with a beta prior whose strength is fitted to the hosts themselves
-(method of moments), so a host with few documents stays near the corpus rate
-and a large one near its own. A host whose shrunk rate is beyond a rule's
+rate (all failures over all documents) with a beta prior whose strength is
+fitted to the hosts themselves: the spread of their rates around the corpus
+rate, less the spread that sampling alone gives hosts of their sizes (method of
+moments). So a host with few documents stays near the corpus rate and a large
+one near its own. A host whose shrunk rate is beyond a rule's
 limit is judged bad, and the verdict is joined back to its documents.
 
 Only column expressions are used; a document's words never leave its row.
@@ -27,6 +29,7 @@ SYMBOLS = "[#*$%&|<>]"
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+MAX_DUP_LINE_PERCENT = 30
 WINDOW = 8
 # A host is bad when, after shrinking, more than this share of its documents
 # fail the rule. The limits are shares of documents, not of words.
@@ -57,6 +60,7 @@ def document_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                  F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                  F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+                 F.size("lines").cast("long").alias("n_lines"),
                  _windows(c("w"), window).alias("g"))
     # Positions are sorted by hash only in texts that have a repeated window.
     d = d.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"),
@@ -68,19 +72,20 @@ def document_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, p: F.struct((acc["n"] + p + window - F.greatest(p, acc["end"])).alias("n"),
                                 (p + window).alias("end")))
-    return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines",
                     F.coalesce(covered["n"], F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def rule_failures(measures: DataFrame, min_words: int = MIN_WORDS,
-                  max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """Adds base_failed and the two rules that only count towards hosts:
-    more symbols than words, and more repeated lines than a third of the words."""
+                  max_repeat_percent: int = MAX_REPEAT_PERCENT,
+                  max_dup_line_percent: int = MAX_DUP_LINE_PERCENT) -> DataFrame:
+    """Adds base_failed and the two rules that only count towards hosts: more
+    symbols than words, and too large a share of the lines being repeats."""
     c = F.col
     return measures.withColumns({
         "base_failed": (c("n_words") < min_words) | (100 * c("n_repeat_words") > max_repeat_percent * c("n_words")),
         "symbols_failed": c("n_symbols") > c("n_words"),
-        "lines_failed": 3 * c("n_dup_lines") > c("n_words"),
+        "lines_failed": 100 * c("n_dup_lines") > max_dup_line_percent * c("n_lines"),
     })
 
 
@@ -91,16 +96,18 @@ def host_verdicts(judged: DataFrame, limits: dict[str, float] | None = None) ->
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.col(f"{r}_failed").cast("int")).alias(f"f_{r}") for r in limits])
     rate = {r: F.col(f"f_{r}") / F.col("n") for r in limits}
-    prior = hosts.agg(*[x for r in limits for x in (
-        F.avg(rate[r]).alias(f"m_{r}"), F.var_samp(rate[r]).alias(f"v_{r}"))])
+    sums = hosts.agg(F.avg(1 / F.col("n")).alias("inv"), *[x for r in limits for x in (
+        F.try_divide(F.sum(f"f_{r}"), F.sum("n")).alias(f"m_{r}"), F.avg(rate[r]).alias(f"a_{r}"),
+        F.avg(rate[r] * rate[r]).alias(f"q_{r}"))])
     low, high = PRIOR_DOCS
     strength = {}
     for r in limits:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength[r] = F.least(F.greatest(F.coalesce(F.try_divide(m * (1 - m), v) - 1, F.lit(high)), F.lit(low)),
-                              F.lit(high))
-    prior = prior.select(F.lit(1).alias("_one"), *[F.col(f"m_{r}") for r in limits],
-                         *[strength[r].alias(f"k_{r}") for r in limits])
+        m = F.col(f"m_{r}")
+        sampling = m * (1 - m)  # variance of one document
+        spread = F.col(f"q_{r}") - 2 * m * F.col(f"a_{r}") + m * m - sampling * F.col("inv")
+        strength[r] = F.when(spread > 0, F.least(F.greatest(sampling / spread - 1, F.lit(low)), F.lit(high))).otherwise(high)
+    prior = sums.select(F.lit(1).alias("_one"), *[F.col(f"m_{r}") for r in limits],
+                        *[strength[r].alias(f"k_{r}") for r in limits])
     # one row of priors: the join adds columns, it makes no pairs
     both = hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one").drop("_one")
     shrunk = {r: (F.col(f"f_{r}") + F.col(f"m_{r}") * F.col(f"k_{r}")) / (F.col("n") + F.col(f"k_{r}")) for r in limits}
@@ -117,12 +124,14 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     A document is kept if it passes the base rule and its host isn't bad. The
     measures are written once: hosts are aggregated from them (partial sums
-    before the shuffle, so a hot host costs a row per task) and the verdicts
-    are joined to those narrow rows, never to the texts.
+    before the shuffle, so a hot host costs a row per task). The bad hosts are
+    written as well, so that their size is known: a short list is broadcast and
+    a hot host's rows stay where they are. Texts take no part in the join.
     """
     judged = materialize(rule_failures(document_measures(docs, doc_id, text, host)), "quality")
-    hosts = host_verdicts(judged, limits).select(F.col("host").alias("_host"), "host_bad")
-    return (judged.join(hosts, judged["host"] == F.col("_host"), "left").drop("_host")
+    bad = materialize(host_verdicts(judged, limits).where("host_bad").select(F.col("host").alias("_host"), "host_bad"),
+                      "bad-hosts")
+    return (judged.join(bad, judged["host"] == bad["_host"], "left").drop("_host")
             .withColumn("host_bad", F.coalesce("host_bad", F.lit(False)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_bad")))
 

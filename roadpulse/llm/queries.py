@@ -65,17 +65,20 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
 m AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    n_symbols > n_words AS symbols_failed, 3 * n_dup_lines > n_words AS lines_failed FROM m),
+    n_symbols > n_words AS symbols_failed, 100 * n_dup_lines > 30 * n_lines AS lines_failed FROM m),
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS fb, sum(symbols_failed::INT) AS fs,
     sum(lines_failed::INT) AS fl FROM j WHERE source IS NOT NULL GROUP BY 1),
-prior AS (SELECT avg(fb / n) AS mb, var_samp(fb / n) AS vb, avg(fs / n) AS ms, var_samp(fs / n) AS vs,
-    avg(fl / n) AS ml, var_samp(fl / n) AS vl FROM hosts),
-k AS (SELECT *, least(greatest(coalesce(mb * (1 - mb) / nullif(vb, 0) - 1, 1000), 1), 1000) AS kb,
-    least(greatest(coalesce(ms * (1 - ms) / nullif(vs, 0) - 1, 1000), 1), 1000) AS ks,
-    least(greatest(coalesce(ml * (1 - ml) / nullif(vl, 0) - 1, 1000), 1), 1000) AS kl FROM prior),
+prior AS (SELECT avg(1 / n) AS inv, sum(fb) / sum(n) AS mb, avg(fb / n) AS ab, avg(fb / n * (fb / n)) AS qb,
+    sum(fs) / sum(n) AS ms, avg(fs / n) AS as_, avg(fs / n * (fs / n)) AS qs,
+    sum(fl) / sum(n) AS ml, avg(fl / n) AS al, avg(fl / n * (fl / n)) AS ql FROM hosts),
+v AS (SELECT *, qb - 2 * mb * ab + mb * mb - mb * (1 - mb) * inv AS vb, qs - 2 * ms * as_ + ms * ms - ms * (1 - ms) * inv AS vs,
+    ql - 2 * ml * al + ml * ml - ml * (1 - ml) * inv AS vl FROM prior),
+k AS (SELECT mb, ms, ml, CASE WHEN vb > 0 THEN least(greatest(mb * (1 - mb) / vb - 1, 1), 1000) ELSE 1000 END AS kb,
+    CASE WHEN vs > 0 THEN least(greatest(ms * (1 - ms) / vs - 1, 1), 1000) ELSE 1000 END AS ks,
+    CASE WHEN vl > 0 THEN least(greatest(ml * (1 - ml) / vl - 1, 1), 1000) ELSE 1000 END AS kl FROM v),
 bad AS (SELECT source, (fb + mb * kb) / (n + kb) > 0.5 OR (fs + ms * ks) / (n + ks) > 0.8
     OR (fl + ml * kl) / (n + kl) > 0.8 AS host_bad FROM hosts, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

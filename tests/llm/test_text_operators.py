@@ -56,6 +56,29 @@ def test_host_rates_are_shrunk(spark):
     assert kept == {r["doc_id"] for r in judged.where("kept").collect()} == set(range(40)) | {302}
 
 
+def test_host_that_only_the_line_rule_rejects(spark):
+    from roadpulse.llm.quality import quality_verdicts
+    own = "word%d another thing that is a sentence of more than twenty words in all so that it passes the base rule of the method here"
+    rows = [(i, own % i, f"clean{i % 4}") for i in range(80)]
+    # two repeats among five lines of a document, none of them long enough to be a repeated window of words
+    rows += [(100 + i, "menu\n" + own % i + "\nhome page\nmenu\nhome page", "menus") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_verdicts(docs)
+    assert {r["host"] for r in got.where("host_bad").collect()} == {"menus"}
+    assert got.where("base_failed or symbols_failed").count() == 0
+    assert {r["doc_id"] for r in got.where("kept").collect()} == set(range(80))
+
+
+def test_sampling_noise_is_no_spread(spark):
+    """Hosts of three documents whose failures differ by chance alone stay near the corpus rate."""
+    from roadpulse.llm.quality import host_verdicts
+    failures = [2] + [1] * 8 + [0] * 21
+    rows = [(f"h{h}", i < f, False, False) for h, f in enumerate(failures) for i in range(3)]
+    judged = spark.createDataFrame(rows, "host string, base_failed boolean, symbols_failed boolean, lines_failed boolean")
+    rates = {r["host"]: r["rate_base"] for r in host_verdicts(judged).collect()}
+    assert abs(rates["h0"] - 10 / 90) < 0.01 and not host_verdicts(judged).where("host_bad").count()
+
+
 def test_quality_keeps_columns(awkward, nothing):
     from roadpulse.llm.quality import kept_documents, quality_verdicts
     kept = kept_documents(awkward)
