@@ -9,9 +9,9 @@ So each sequence has its slot in training order from its number, the key and N
 alone; no table of random numbers, sort or driver is needed, and the order can
 be reproduced.
 
-Slots are cut into ranges; each range is one task, which writes one shard of
-``slots`` records of ``stride`` unsigned 16 or 32-bit ids at fixed places.
-Record s of the order is at byte (s mod slots) * stride * width of shard
+Slots are cut into ranges; each range goes to one task by its number, and that
+task writes it as one file: a shard of ``slots`` records of ``stride`` unsigned
+16 or 32-bit ids at fixed places. Record s of the order is at byte (s mod slots) * stride * width of shard
 s div slots: a reader resumes anywhere by that arithmetic and reads on.
 
 A shard is written under a name of its own attempt and only listed once its
@@ -160,7 +160,7 @@ def write_order(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
     order = numbered.select("number", "ids", "parts").mapInArrow(
         placed, f"slot long, shard long, ids binary, parts {parts}")
     shards = max(1, -(-n // slots))
-    order = order.repartitionByRange(shards, "slot").sortWithinPartitions("slot")
+    order = order.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, out, now, name = zstandard.ZstdDecompressor(), None, None, ""
@@ -168,17 +168,16 @@ def write_order(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
             crc, count, names = [], [], []
             for shard, slot, blob in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(),
                                          b.column("ids").to_pylist(), strict=True):
-                if (shard, slot % slots) != now:  # another shard, or a range that begins inside one
+                if shard != now:
                     if out:
                         out.close()
-                    name = f"{folder}/shard-{shard:08d}-{slot % slots:08d}-{uuid.uuid4().hex}.bin"
+                    name, now = f"{folder}/shard-{shard:08d}-{uuid.uuid4().hex}.bin", shard
                     out = open_output(name)
                 own = np.frombuffer(unpack.decompress(blob), width)
                 out.write(own.tobytes() + np.full(stride - len(own), PAD, width).tobytes())
                 crc.append(zlib.crc32(own.tobytes()))
                 count.append(len(own))
                 names.append(name)
-                now = (shard, slot % slots + 1)
             yield pa.RecordBatch.from_arrays(
                 [b.column("slot"), b.column("shard"), pa.array(names, pa.string()), pa.array(count, pa.int32()),
                  pa.array(crc, pa.int64()), b.column("parts")], names=["slot", "shard", "path", "n_tokens", "ids_crc32", "parts"])
@@ -187,10 +186,8 @@ def write_order(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
 
     listed = materialize(order.mapInArrow(
         written, f"slot long, shard long, path string, n_tokens int, ids_crc32 long, parts {parts}"), "order")
-    # a file begins at the first slot that was written to it
-    begun = listed.groupBy("path").agg(F.min("slot").alias("first_slot"))
     size = stride * np.dtype(width).itemsize
-    return listed.join(begun, "path").withColumn("record_offset", (F.col("slot") - F.col("first_slot")) * size).select(
+    return listed.withColumn("record_offset", F.col("slot") % slots * size).select(
         "slot", "shard", "path", "record_offset", "n_tokens", "ids_crc32", F.explode("parts").alias("part")).select(
         "slot", "shard", "path", "record_offset", "n_tokens", "ids_crc32", "part.*")
 

@@ -313,8 +313,10 @@ def test_training_order(spark, awkward, nothing, tmp_path):
     got = write_order(awkward, f"file://{tmp_path}/o", stride=128, slots=16).collect()
     slots = sorted({r["slot"] for r in got})
     assert slots == list(range(len(slots))) and all(r["shard"] == r["slot"] // 16 for r in got)
+    assert len(slots) > 32 and len({r["path"] for r in got}) == len({r["shard"] for r in got})  # one file a shard
     texts, pieces = collections.Counter(), {}
     for r in got:
+        assert r["record_offset"] == r["slot"] % 16 * 128 * 2
         ids = read_record(r["path"], r["record_offset"], r["n_tokens"])
         assert zlib.crc32(ids.tobytes()) == r["ids_crc32"] and len(ids) <= 128
         pieces.setdefault((r["slot"], r["offset"]), (r["doc_id"], r["start"], ids[r["offset"]:r["offset"] + r["length"]].tolist()))
