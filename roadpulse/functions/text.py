@@ -38,8 +38,3 @@ def percent_label(c) -> Column:
 
 def minutes_label(c) -> Column:
     return F.concat(F.lit("~"), F.bround(_c(c), 0).cast("long").cast("string"), F.lit(" min"))
-
-
-def sequential_id(n, base: int = 1000, prefix: str = "INC-") -> Column:
-    """``INC-{base+n}``."""
-    return F.concat(F.lit(prefix), (F.lit(base) + _c(n)).cast("string"))

@@ -40,15 +40,21 @@ SEED = 42
 DEFAULT_LENGTH = 1.0
 
 
-def collapse_simple(arcs: DataFrame, u: str = "u", v: str = "v", length: str = "length") -> DataFrame:
+def collapse_simple(arcs: DataFrame, u: str = "u", v: str = "v", length: str = "length",
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Multigraph -> simple undirected graph, shortest parallel edge kept.
 
-    Missing lengths count as 1.0; self-loops stay (as ``u = v``).
+    Missing lengths count as 1.0; self-loops stay (as ``u = v``). Columns in
+    ``carry`` (its key, its geometry) are those of the edge that is kept; of
+    equally short ones that is the first by these columns, then by its source.
     """
     a, b = F.least(F.col(u), F.col(v)), F.greatest(F.col(u), F.col(v))
-    return (arcs.groupBy(a.alias("u"), b.alias("v"))
-            .agg(F.min(F.coalesce(F.col(length).cast("double"), F.lit(DEFAULT_LENGTH))).alias("length"),
-                 F.count(F.lit(1)).alias("n_parallel")))
+    metres = F.coalesce(F.col(length).cast("double"), F.lit(DEFAULT_LENGTH))
+    if not carry:
+        return arcs.groupBy(a.alias("u"), b.alias("v")).agg(F.min(metres).alias("length"), F.count(F.lit(1)).alias("n_parallel"))
+    edge = F.struct(metres.alias("length"), *[F.col(c).alias(c) for c in carry], F.col(u).alias("source"))
+    kept = arcs.groupBy(a.alias("u"), b.alias("v")).agg(F.min(edge).alias("kept"), F.count(F.lit(1)).alias("n_parallel"))
+    return kept.select("u", "v", "kept.length", "n_parallel", *[F.col(f"kept.{c}").alias(c) for c in carry])
 
 
 def graph_metadata(arcs: DataFrame, simple: DataFrame, nodes: DataFrame, n_sources: int | None = None,

@@ -86,11 +86,6 @@ def null_share(col: str) -> Column:
     return F.avg(F.col(col).isNull().cast("double"))
 
 
-def majority(col: str) -> Column:
-    """Most frequent value, smallest on a tie."""
-    return F.mode(col, True)
-
-
 def quantile_pick(df: DataFrame, col: str, probs) -> DataFrame:
     """One row per requested probability (pooled quantiles)."""
     q = exact_quantiles(df, {"q": col}, probs)

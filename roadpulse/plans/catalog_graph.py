@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roadpulse.functions import geo
-from roadpulse.operators import graph, snap
+from roadpulse.operators import enrich, graph, snap
 from roadpulse.operators.ranks import with_next
 from roadpulse.plans.adapters import X2_SQL, X3_NODES_SQL, X4_SQL, x2_incidents, x3_edges, x3_nodes, x4_edges
 from roadpulse.plans.registry import query
-from roadpulse.session import stored
+from roadpulse.session import scratch_path, stored
+from roadpulse.sources import incidents as src
 from roadpulse.sources.tables import table
 
 _BASE = f"""WITH RECURSIVE e AS ({X4_SQL}),
@@ -187,3 +190,57 @@ def q_centrality_from_degrees(spark, sf_dir):
     out = graph.assign_centrality(snap.attach_snaps(inc, snaps), eb)
     return out.select("incident_id", "nearest_u", F.round("snap_distance", 4).alias("snap_distance_m"),
                       F.round("centrality_score", 12).alias("centrality_score"))
+
+
+def _projected_sql(lat: str, lon: str, x: str, y: str) -> str:
+    east, north = geo.utm_project_sql(lat, lon)
+    return f"round({east}, 2) AS {x}, round({north}, 2) AS {y}"
+
+
+@query("graphml_to_enriched", f"""WITH n0 AS (SELECT node_id, label, x, y, 77.59e0 + y * 3e-7 AS lon, 12.97e0 + x * 3e-7 AS lat FROM ({X3_NODES_SQL}) t), {_road_sql("n0")},
+  road AS (SELECT p.node_id AS u, v, p.lon AS ulon, p.lat AS ulat, o.lon AS vlon, o.lat AS vlat,
+             1e0 + (abs(o.x - p.x) + abs(o.y - p.y)) / 1e3 AS length,
+             (p.lon + o.lon) / 2e0 + 1e-4 * (p.node_id % 5 + 1) AS mlon, (p.lat + o.lat) / 2e0 AS mlat
+           FROM p JOIN n0 o ON o.node_id = p.v),
+  arcs AS (SELECT u, v, u AS source, 0 AS key, CASE WHEN u % 7 <> 3 THEN length END AS length FROM road
+    UNION ALL SELECT u, v, v, 1, CASE WHEN u % 2 = 0 THEN 0.5e0 * length ELSE 2e0 * length END FROM road WHERE u % 3 <> 0),
+  kept AS (SELECT u, v, key FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY coalesce(length, 1e0), key, source) AS r FROM arcs) WHERE r = 1),
+  deg AS (SELECT u, v, 0 AS key, ulon, ulat, vlon, vlat FROM road
+    UNION ALL SELECT v, u, 1, vlon, vlat, mlon, mlat FROM road WHERE u % 3 <> 0
+    UNION ALL SELECT v, u, 1, mlon, mlat, ulon, ulat FROM road WHERE u % 3 <> 0),
+  s AS (SELECT u, v, key, {_projected_sql("ulat", "ulon", "ux", "uy")}, {_projected_sql("vlat", "vlon", "vx", "vy")} FROM deg),
+  q AS (SELECT incident_id, {_projected_sql("latitude", "longitude", "x", "y")} FROM ({X2_SQL}) x2 WHERE incident_id % 19 <> 0),
+  d AS (SELECT q.incident_id, s.u, s.v, s.key, {_SNAP_DIST} AS d FROM q, s),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY d, u, v, key) AS r FROM d) WHERE r = 1)
+SELECT x2.incident_id, b.u AS nearest_u, b.v AS nearest_v, b.key AS nearest_key, round(b.d, 4) AS snap_distance_m,
+  coalesce(b.d > 750e0, false) AS low_confidence_snap, kept.key AS kept_key, round(c.c, 12) AS centrality_score
+FROM ({X2_SQL}) x2 LEFT JOIN b USING (incident_id)
+  LEFT JOIN kept ON kept.u = least(b.u, b.v) AND kept.v = greatest(b.u, b.v)
+  LEFT JOIN c ON c.node_id = kept.u AND c.v = kept.v""")
+def q_graphml_to_enriched(spark, sf_dir):
+    """Step 2 from its files (S5, P18, A19, G2, J4, J2, P16, J3, S9): the roads as
+    GraphML in degrees, two thirds of them with a bent edge back beside the
+    straight one, some without a length; read, projected, collapsed to the
+    shortest parallel edge, scored; incidents (some without coordinates) snapped
+    to all edges along their shapes; the enriched table saved and read back."""
+    path = scratch_path(spark, f"step2/{uuid.uuid4().hex}")
+    lon, lat = (lambda c: F.lit(77.59) + F.col(c) * F.lit(3e-7)), (lambda c: F.lit(12.97) + F.col(c) * F.lit(3e-7))
+    e = stored(x3_edges(spark, sf_dir).select(
+        "u", "v", lon("uy").alias("ulon"), lat("ux").alias("ulat"), lon("vy").alias("vlon"), lat("vx").alias("vlat"),
+        (F.lit(1.0) + (F.abs(F.col("vx") - F.col("ux")) + F.abs(F.col("vy") - F.col("uy"))) / F.lit(1e3)).alias("length")))
+    at = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    middle = at((F.col("ulon") + F.col("vlon")) / 2 + F.lit(1e-4) * (F.col("u") % 5 + 1), (F.col("ulat") + F.col("vlat")) / 2)
+    bent = F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", at(F.col("vlon"), F.col("vlat")), middle, at(F.col("ulon"), F.col("ulat"))), F.lit(")"))
+    there = e.select("u", "v", F.lit(0).alias("key"), F.when(F.col("u") % 7 != 3, F.col("length")).alias("length"), F.lit(None).cast("string").alias("geometry"))
+    back = e.where("u % 3 <> 0").select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("key"), (
+        F.when(F.col("u") % 2 == 0, F.lit(0.5)).otherwise(F.lit(2.0)) * F.col("length")).alias("length"), bent.alias("geometry"))
+    n = x3_nodes(spark, sf_dir).select("node_id", lon("y").alias("x"), lat("x").alias("y"))
+    src.write_graphml(n, there.unionByName(back), f"{path}/graph")
+    nodes, edges = src.read_graphml(spark, f"{path}/graph/*")
+    known = F.col("incident_id") % 19 != 0
+    inc = x2_incidents(spark, sf_dir).select("incident_id", "zone", F.when(known, F.col("latitude")).alias("latitude"),
+                                             F.when(known, F.col("longitude")).alias("longitude"))
+    src.write_table(enrich.enrich_incidents(inc, stored(nodes), stored(edges), digits=2), f"{path}/enriched")
+    return spark.read.parquet(f"{path}/enriched").select(
+        "incident_id", "nearest_u", "nearest_v", "nearest_key", F.round("snap_distance", 4).alias("snap_distance_m"),
+        "low_confidence_snap", "kept_key", F.round("centrality_score", 12).alias("centrality_score"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions import geo, timefn
@@ -135,11 +136,18 @@ _FEATURES = ", ".join(f"('{c}')" for c in REG_SPEC.columns)
 
 @query("feature_importance", f"SELECT feature, true AS valid FROM (VALUES {_FEATURES}) f(feature)")
 def q_feature_importance(spark, sf_dir):
-    """M10 + W6: all features of the regressor, the useful ones with positive gain."""
+    """M10 + W6 + S10: all features of the regressor, the useful ones with positive
+    gain, written as CSV and read back; ranks are gapless and follow the gain."""
     _, fitted = _regressor(spark, sf_dir)
     imp = learn.feature_importance(fitted.model, REG_SPEC, scratch_path(spark, f"trees-{uuid.uuid4().hex}"), top=15)
-    return imp.select("feature", ((F.col("gain_importance") >= 0) & (
-        (F.col("split_importance") > 0) | (F.col("gain_importance") == 0))).alias("valid"))
+    path = scratch_path(spark, f"importance-{uuid.uuid4().hex}")
+    learn.write_importance(imp, path)
+    better = Window.orderBy("rank")  # one row per feature
+    read = learn.read_importance(spark, path).withColumns({
+        "before": F.lag("gain_importance").over(better), "nth": F.row_number().over(better)})
+    return read.select("feature", ((F.col("gain_importance") >= 0) & (
+        (F.col("split_importance") > 0) | (F.col("gain_importance") == 0)) & (F.col("rank") == F.col("nth")) & F.coalesce(
+            F.col("before") >= F.col("gain_importance"), F.lit(True))).alias("valid"))
 
 
 @query("predict", f"""{X5_SPLIT_SQL}

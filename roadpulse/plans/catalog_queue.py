@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadpulse.functions import risk as rf
+from roadpulse.functions import text
 from roadpulse.operators import queue
+from roadpulse.plans.adapters import X5_SQL
 from roadpulse.plans.catalog_risk import FIT_SQL, scored_x5
 from roadpulse.plans.registry import query
 from roadpulse.session import stored
@@ -140,3 +142,18 @@ def q_select_incident(spark, sf_dir):
     there = q.agg(F.min("id")).first()[0]
     return queue.select_incident(q, "INC-0").select(F.lit("absent").alias("asked"), "id", "crs").unionByName(
         queue.select_incident(q, there).select(F.lit("present").alias("asked"), "id", "crs"))
+
+
+@query("intake_defaults", f"""SELECT 'INC-' || CAST(incident_id AS VARCHAR) AS id, CASE WHEN incident_id % 5 IN (0, 1, 2) THEN 'unknown' ELSE junction END AS junction,
+       true AS is_new, 'Active' AS status, true AS stamped
+FROM ({X5_SQL}) x5 WHERE incident_id % 2 = 0""")
+def q_intake_defaults(spark, sf_dir):
+    """P33 + P36: junctions sent empty, blank or not at all get the default; new
+    queue rows carry the time of their report and are active."""
+    s = scored_x5(spark, sf_dir).where("incident_id % 2 = 0")
+    kind = F.col("incident_id") % 5
+    sent = F.when(kind == 0, "").when(kind == 1, " \t ").when(kind == 2, F.lit(None)).otherwise(F.col("junction"))
+    q = queue.build_queue(s, is_new=True)
+    j = s.select(F.concat(F.lit("INC-"), F.col("incident_id").cast("string")).alias("id"), text.blank_to(sent).alias("junction"))
+    return q.join(j, "id").select("id", "junction", "is_new", "status", F.col("reported_at").rlike(
+        "^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$").alias("stamped"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roadpulse.functions import risk as rf
@@ -9,6 +11,8 @@ from roadpulse.operators.risk import RiskScorer
 from roadpulse.plans.adapters import X2_SQL
 from roadpulse.plans.catalog_risk import FIT_SQL, x5_with_split
 from roadpulse.plans.registry import query
+from roadpulse.session import scratch_path
+from roadpulse.sources.tables import table
 from roadpulse.streaming import jobs
 
 
@@ -77,3 +81,41 @@ def q_stream_dedup(spark, sf_dir):
     out = jobs.new_run_dir(spark, "dedup")
     jobs.run_available_now(jobs.dedup(a.unionByName(b), "incident_id"), out)
     return spark.read.parquet(f"{out}/data").select("incident_id")
+
+
+def _two_deliveries(spark, sf_dir, again: str):
+    """The events as two deliveries, cut in the middle of their time; the second
+    one also repeats rows of the first: ``again`` says which, given ``event_time``
+    and the first delivery's end ``last``."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("incident_id"), F.col("ts").cast("timestamp").alias("event_time"))
+    span = e.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+    cut = span.select(F.timestamp_micros(F.expr("(unix_micros(a) + unix_micros(b)) div 2")).alias("cut")).first()["cut"]
+    first = e.where(F.col("event_time") < F.lit(cut))
+    last = first.agg(F.max("event_time").alias("last")).first()["last"]
+    repeated = first.withColumn("last", F.lit(last)).where(again).drop("last")
+    return first, e.where(F.col("event_time") >= F.lit(cut)).unionByName(repeated)
+
+
+@query("stream_resume_dedup", "SELECT event_id AS incident_id FROM events")
+def q_stream_resume_dedup(spark, sf_dir):
+    """ST4 stopped and resumed: the second run gets new events and the whole first
+    delivery again. What is inside the watermark is known from the recovered
+    state, what is behind it is late; each event passes once."""
+    out, folder = jobs.new_run_dir(spark, "resume-dedup"), scratch_path(spark, f"arrivals/{uuid.uuid4().hex}")
+    for rows in _two_deliveries(spark, sf_dir, "true"):
+        rows.write.mode("append").parquet(folder)
+        jobs.resume(spark, folder, rows.schema, lambda s: jobs.dedup(s, "incident_id"), out)
+    return spark.read.parquet(f"{out}/data").select("incident_id")
+
+
+@query("stream_resume_hours", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
+FROM events GROUP BY 1""")
+def q_stream_resume_hours(spark, sf_dir):
+    """ST3 stopped inside an hour and resumed: that hour's count goes on from the
+    recovered state; repeated rows of closed hours are late and count nowhere."""
+    out, folder = jobs.new_run_dir(spark, "resume-hours"), scratch_path(spark, f"arrivals/{uuid.uuid4().hex}")
+    for rows in _two_deliveries(spark, sf_dir, "event_time < last - INTERVAL 3 HOURS"):
+        rows.write.mode("append").parquet(folder)
+        jobs.resume(spark, folder, rows.schema, jobs.hourly_counts, out, "update", jobs.upsert_batch)
+    return jobs.latest(spark.read.parquet(f"{out}/data"), ["window_start"], ["n"]).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")

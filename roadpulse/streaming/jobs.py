@@ -57,6 +57,15 @@ def run_available_now(stream: DataFrame, out: str, mode: str = "append", fmt: st
         raise RuntimeError(str(q.exception()))
 
 
+def resume(spark: SparkSession, folder: str, schema, job, out: str, mode: str = "append", batch_fn=None) -> None:
+    """One more run of ``job`` over a folder that files keep arriving in.
+
+    Which files were read, the watermark and the state come from the checkpoint
+    under ``out`` alone, so runs may be days and sessions apart: a row of an
+    earlier run is known again, and one behind its watermark is late."""
+    run_available_now(job(spark.readStream.schema(schema).parquet(folder)), out, mode, batch_fn=batch_fn)
+
+
 def upsert_batch(df: DataFrame, epoch: int, path: str) -> None:
     """Update-mode rows, kept per epoch (a repeated epoch replaces itself)."""
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

@@ -63,3 +63,25 @@ def test_stream_reads_files_and_folders(spark, tmp_path):
         jobs.run_available_now(jobs.hourly_counts(stream), out, mode="update", batch_fn=jobs.upsert_batch)
         got = jobs.latest(spark.read.parquet(f"{out}/data"), ["window_start"], ["n"])
         assert {r["window_start"]: r["n"] for r in got.collect()} == want
+
+
+def test_resumed_run_knows_state_and_watermark(spark, tmp_path):
+    """Two runs over a growing folder: an open hour goes on counting, a repeated
+    row is known again, a late row counts nowhere."""
+    t0 = dt.datetime(2024, 1, 1, 0, 0)
+    first = [(1, t0), (2, t0 + dt.timedelta(hours=4)), (3, t0 + dt.timedelta(hours=4, minutes=10))]
+    second = [(4, t0 + dt.timedelta(hours=4, minutes=50)), (5, t0 + dt.timedelta(hours=6)),
+              (2, t0 + dt.timedelta(hours=4)),        # again, inside the watermark
+              (9, t0 + dt.timedelta(minutes=30))]     # late: its hour is closed
+    schema = "incident_id long, event_time timestamp"
+    folder = str(tmp_path / "in")
+    ids, hours = str(tmp_path / "ids"), str(tmp_path / "hours")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.resume(spark, folder, schema, lambda s: jobs.dedup(s, "incident_id"), ids)
+        jobs.resume(spark, folder, schema, jobs.hourly_counts, hours, "update", jobs.upsert_batch)
+    assert sorted(r["incident_id"] for r in spark.read.parquet(f"{ids}/data").collect()) == [1, 2, 3, 4, 5]
+    got = jobs.latest(spark.read.parquet(f"{hours}/data"), ["window_start"], ["n"])
+    assert {r["window_start"].hour: r["n"] for r in got.collect()} == {0: 1, 4: 4, 6: 1}
+    jobs.resume(spark, folder, schema, lambda s: jobs.dedup(s, "incident_id"), ids)  # nothing new
+    assert spark.read.parquet(f"{ids}/data").count() == 5
