@@ -89,7 +89,15 @@ def _arcs(edges: DataFrame) -> DataFrame:
             .unionByName(e.select(F.col("v").alias("a"), F.col("u").alias("b"), "w")))
 
 
-MERGE_ROUNDS = 8  # rounds whose improvements are kept apart
+MERGE_ROUNDS = 8  # rounds whose rows are kept apart
+
+
+def _summed(parts: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """The sum of ``value`` per ``keys`` over the rounds' tables."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*keys).agg(F.sum(value).alias(value))
 
 
 def _distances(sources: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -135,10 +143,9 @@ def _path_counts(sources: DataFrame, tight: DataFrame, st: RoundState) -> DataFr
             break
         levels.append(nxt)
         level = nxt
-    allp = levels[0]
-    for lv in levels[1:]:
-        allp = allp.unionByName(lv)
-    return st.keep(allp.groupBy("s", "node").agg(F.sum("n").alias("sigma")))
+        if len(levels) > MERGE_ROUNDS:
+            levels = [st.keep(_summed(levels, ["s", "node"], "n"))]
+    return st.keep(_summed(levels, ["s", "node"], "n").withColumnRenamed("n", "sigma"))
 
 
 def _credits(sigma: DataFrame, tight: DataFrame, st: RoundState) -> DataFrame:
@@ -153,14 +160,13 @@ def _credits(sigma: DataFrame, tight: DataFrame, st: RoundState) -> DataFrame:
         if n == 0:
             break
         pushes.append(push.groupBy("a", "b").agg(F.sum("f").alias("f")))
+        if len(pushes) > MERGE_ROUNDS:
+            pushes = [st.keep(_summed(pushes, ["a", "b"], "f"))]
         packets = (push.where(F.col("a") != F.col("s"))
                    .groupBy("s", F.col("a").alias("b")).agg(F.sum("f").alias("x")))
     if not pushes:
         return sigma.sparkSession.createDataFrame([], "u long, v long, credit double")
-    allp = pushes[0]
-    for p in pushes[1:]:
-        allp = allp.unionByName(p)
-    return (allp.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return (_summed(pushes, ["a", "b"], "f").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
             .agg(F.sum("f").alias("credit")))
 
 

@@ -129,3 +129,19 @@ def test_contracted_chains_match_brandes(spark, seed):
     ref = brandes_edges(nodes, edges, pivots)
     got = _run(spark, edges, k)
     assert got == pytest.approx({(min(u, v), max(u, v)): ref.get((min(u, v), max(u, v)), 0.0) * n / k / (n * (n - 1)) for u, v, _ in edges}, abs=1e-12)
+
+
+def test_rounds_are_merged(spark, monkeypatch):
+    """A ladder (no node of two neighbours but its corners, which are joined) is deep
+    enough for several merges; with and without them the results are the same."""
+    rungs = 14
+    edges = [(2 * i, 2 * i + 1, 3) for i in range(rungs)] + [(2 * i + s, 2 * i + 2 + s, 2 + i % 3) for i in range(rungs - 1) for s in (0, 1)]
+    edges += [(0, 2 * rungs - 1, 50), (1, 2 * rungs - 2, 50)]  # no chains: the frontier job runs
+    nodes = sorted({x for u, v, _ in edges for x in (u, v)})
+    ref, n = brandes_edges(nodes, edges), len(nodes)
+    for merge in (2, 1000):
+        monkeypatch.setattr(graph, "MERGE_ROUNDS", merge)
+        got = _run(spark, edges)
+        for u, v, _ in edges:
+            key = (min(u, v), max(u, v))
+            assert got[key] == pytest.approx(ref.get(key, 0.0) / (n * (n - 1)), abs=1e-12)
