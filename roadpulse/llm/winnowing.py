@@ -148,7 +148,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """One row per distinct text with a hit: key, n_hit (words inside a shared
     span), n_items, item_ids (sorted as strings, each once, without the null one)."""
     prints, short = _prints(benchmark, item_text, span, k)
-    return _hit_texts(docs, text, _fingerprinted(docs, text_of(text), short, span, k), prints, short, benchmark, item_id, item_text, span, k)
+    # written first: Spark infers a filter on what is exploded and would push it,
+    # words and hashes written out in it, below the step that computes them once
+    d = materialize(_fingerprinted(docs, text_of(text), short, span, k), "document-fingerprints")
+    return _hit_texts(docs, text, d, prints, short, benchmark, item_id, item_text, span, k)
 
 
 def _hit_texts(docs: DataFrame, text: str, fingerprinted: DataFrame, prints: DataFrame, short: list[int], benchmark: DataFrame,
