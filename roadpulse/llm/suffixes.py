@@ -9,21 +9,25 @@ stretch of text:
    equal offsets. A stretch of consecutive windows has one anchor; its
    surrounding (the union of these windows) is its context.
 2. Anchors whose k-gram occurs once in the corpus are done: none of their
-   windows repeats. Of the others, those with the same context are a class; if
-   a class has two members or more, all its windows repeat.
-3. Classes that share a k-gram but not the context may share some windows. One
-   representative each goes into a sparse suffix array: the suffixes that
-   begin at the anchors are sorted into runs, equal ones folded together, the
-   runs are *front-coded* (length of the common prefix with the one before and
-   the rest), *exchanged* by k-gram, and merged by a *loser tree that knows
-   common prefixes*: of two strings whose common prefixes with the last winner
-   differ, the longer prefix wins without looking at a byte; only for equal
-   ones the comparison goes on, behind the known prefix. The merge gives each
-   suffix its longest common prefix with any other.
-4. Where that is long enough to complete a window, the window's hash (together
-   with its k-gram's, 128 bits) decides, counted over all representatives that
-   share the k-gram. These lie together; a k-gram with very many contexts is
-   split by window hash, so that no task compares more than a bounded share.
+   windows repeats. Of the others, those with the same context are a class.
+   Of a class with two members or more all windows repeat.
+3. One representative of every class goes into a sparse suffix array: the
+   suffixes that begin at the anchors are sorted into runs, the runs are
+   *front-coded* (length of the common prefix with the one before and the
+   rest), *exchanged* by k-gram, and merged by a *loser tree that knows common
+   prefixes*: of two strings whose common prefixes with the last winner differ,
+   the longer prefix wins without looking at a byte; only for equal ones the
+   comparison goes on, behind the known prefix.
+4. What repeats is read off the merge. Two suffixes share at least the smallest
+   common prefix between them, so the merge yields nested groups of suffixes
+   with a common prefix of d bytes. Inside a group the bytes before the anchors,
+   read backwards, are kept in order; neighbours in that order that share e of
+   them have d + e equal bytes around their anchors, and if these are ``length``
+   or more, all windows inside are repeats of both. When two groups join, the
+   smaller one is put into the larger one, so that a string is moved few times.
+5. A k-gram with more than ``GROUP`` classes (a passage set into very many
+   different texts) must not be in one task. Its windows are hashed (with the
+   k-gram 128 bits), split by that hash and counted.
 
 Results depend on texts only, so rows are linked by a digest of the text.
 
@@ -34,8 +38,9 @@ ends; repeated rows are occurrences of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import struct
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +57,7 @@ PLACE = np.uint64((1 << 24) - 1)
 RUN_ROWS = 20_000  # representatives of a sorted run
 BUCKET_ROWS = 50_000  # representatives merged by one task
 WINDOWS = 1_000_000  # window hashes compared at a time, beyond it up to the end of a group
-GROUP = 20_000  # contexts of one k-gram that are compared by one task
+GROUP = 20_000  # contexts of one k-gram that are merged by one task
 
 
 # ---- 1. anchors -------------------------------------------------------------
@@ -145,20 +150,21 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return known
 
 
-def front_coded(sorted_strings: list[tuple[bytes, int]]) -> bytes:
-    """A run of (string, count) as common prefix length, rest and count."""
+def front_coded(sorted_strings: list[tuple[bytes, bytes]]) -> bytes:
+    """A run of (string, what comes with it) as common prefix length and rest."""
     out, before = bytearray(), b""
-    for s, count in sorted_strings:
+    for s, more in sorted_strings:
         h = common_prefix(before, s)
-        for n in (h, len(s) - h, count):
+        for n in (h, len(s) - h, len(more)):
             _varint(n, out)
         out += s[h:]
+        out += more
         before = s
     return bytes(out)
 
 
-def decoded(run: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """(string, common prefix with the one before, count), in order."""
+def decoded(run: bytes) -> Iterator[tuple[bytes, int, bytes]]:
+    """(string, common prefix with the one before, what comes with it), in order."""
     at, s = 0, b""
     while at < len(run):
         told = []
@@ -172,15 +178,15 @@ def decoded(run: bytes) -> Iterator[tuple[bytes, int, int]]:
                     break
                 shift += 7
             told.append(n)
-        h, rest, count = told
+        h, rest, more = told
         s = s[:h] + run[at:at + rest]
-        at += rest
-        yield s, h, count
+        at += rest + more
+        yield s, h, run[at - more:at]
 
 
-def merged(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
-    """(string, common prefix with the one before, count) over all runs in
-    order, equal strings as one.
+def merged(runs: list[bytes]) -> Iterator[tuple[bytes, int, bytes]]:
+    """(string, common prefix with the one before, what comes with it) over all
+    runs in order.
 
     A loser tree over the runs' heads. Each head knows its common prefix with
     the string that left the tree last; that string is no larger than any
@@ -191,11 +197,11 @@ def merged(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
         k *= 2
     heads = [decoded(r) for r in runs]
     string: list[bytes | None] = [None] * k
-    prefix, count = [0] * k, [0] * k
+    prefix, more = [0] * k, [b""] * k
     for i, h in enumerate(heads):
         got = next(h, None)
         if got:
-            string[i], _, count[i] = got
+            string[i], _, more[i] = got
 
     def play(a: int, b: int) -> tuple[int, int]:
         """(winner, loser); the loser's prefix becomes the one it shares with the winner."""
@@ -222,59 +228,100 @@ def merged(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
         return win
 
     win = build(1)
-    last, shared, total = None, 0, 0
     while string[win] is not None:
-        s, h = string[win], prefix[win]
-        if last is not None and h == len(s) == len(last):
-            total += count[win]
-        else:
-            if last is not None:
-                yield last, shared, total
-            last, shared, total = s, h, count[win]
+        yield string[win], prefix[win], more[win]
         got = next(heads[win], None)
         if got:
-            string[win], prefix[win], count[win] = got
+            string[win], prefix[win], more[win] = got
         else:
             string[win] = None
         node = (win + k) // 2
         while node:
             win, loser[node] = play(win, loser[node])
             node //= 2
-    if last is not None:
-        yield last, shared, total
-
 
-def longest_shared(runs: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    """(string, longest prefix it shares with another one) over all runs."""
-    before = None
-    for s, h, n in merged(runs):
-        if before:
-            yield before[0], max(before[1], h)
-        before = (s, len(s) if n > 1 else h)
-    if before:
-        yield before
 
-
-def shared_prefixes(reps: DataFrame, n: int) -> DataFrame:
-    """(suffix, shared): digest of every distinct suffix among ``reps`` (columns
-    context, at, g) and the longest prefix that it shares with another."""
+# ---- 4. repeats from common prefixes ----------------------------------------
+
+HEAD = "<qq?"  # k-gram and context hash, whether the class has several members
+
+
+def repeated_windows(strings: Iterable[tuple[bytes, int, bytes]], length: int, gram: int) -> Iterator[tuple[int, int, int, int | None]]:
+    """(k-gram hash, context hash, first, last): ranges of a class's windows that
+    repeat; no last one means all of them. ``strings`` are merged suffixes, with
+    HEAD and the bytes before the anchor, backwards."""
+    own: list[tuple[int, int, int, list[tuple[int, int]] | None]] = []
+    groups: list[tuple[int, list[tuple[bytes, int]]]] = []  # common prefix with the group before, members by what is before
+
+    def note(member: int, before: int, behind: int) -> None:
+        _, _, at, ranges = own[member]
+        if ranges is not None:
+            ranges.append((at - before, at - (length - behind)))
+
+    def join(least: int) -> None:
+        while len(groups) > 1 and groups[-1][0] >= least:
+            behind, a = groups.pop()
+            shared, b = groups.pop()
+            small, large = (a, b) if len(a) < len(b) else (b, a)
+            for entry in small:
+                place = bisect_left(large, entry)
+                for near in large[max(0, place - 1):place + 1]:
+                    before = common_prefix(entry[0], near[0])
+                    if before + behind >= length:
+                        note(entry[1], before, behind)
+                        note(near[1], before, behind)
+                large.insert(place, entry)
+            groups.append((shared, large))
+
+    def close() -> Iterator[tuple[int, int, int, int | None]]:
+        join(0)
+        for g, x, _, ranges in own:
+            if ranges is None:
+                yield g, x, 0, None
+                continue
+            end = -1
+            for a, b in sorted(ranges):
+                if end < 0:
+                    first, end = a, b
+                elif a > end + 1:
+                    yield g, x, first, end
+                    first, end = a, b
+                else:
+                    end = max(end, b)
+            if end >= 0:
+                yield g, x, first, end
+        own.clear()
+        groups.clear()
+
+    for _, shared, more in strings:
+        if shared < gram:  # no window in common with those before
+            yield from close()
+        join(shared)
+        g, x, several = struct.unpack_from(HEAD, more)
+        left = more[struct.calcsize(HEAD):]
+        groups.append((shared, [(left, len(own))]))
+        own.append((g, x, len(left), None if several else []))
+    yield from close()
+
+
+def merged_repeats(reps: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """(g, x, first, last), as ``repeated_windows``, for classes (columns context,
+    at, g, x, m)."""
     buckets = max(1, -(-n // BUCKET_ROWS))
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, int]] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             bucket = sorted(held)
-            runs = [front_coded(sorted(held[b].items())) for b in bucket]
+            runs = [front_coded(sorted(held[b])) for b in bucket]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
         for batch in batches:
-            for context, at, g in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = held.setdefault(g % buckets, {})
-                s = context[at:]
-                own[s] = own.get(s, 0) + 1
+            for context, at, g, x, m in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.setdefault(g % buckets, []).append((context[at:], struct.pack(HEAD, g, x, m > 1) + context[:at][::-1]))
                 size += 1
             if size > RUN_ROWS:
                 yield flush()
@@ -284,72 +331,67 @@ def shared_prefixes(reps: DataFrame, n: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, runs = None, []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            digests, shared = [], []
-            for s, h in longest_shared(runs):
-                digests.append(hashlib.md5(s, usedforsecurity=False).digest())
-                shared.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(shared, pa.int32())], names=["suffix", "shared"])
+        def done() -> pa.RecordBatch:
+            told = list(zip(*repeated_windows(merged(runs), length, gram), strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names=["g", "x", "first", "last"])
 
         for batch in batches:
             for bucket, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and runs:
-                    yield from done()
+                    yield done()
                     runs = []
                 now = bucket
                 runs.append(run)
         if runs:
-            yield from done()
+            yield done()
 
-    runs = reps.select("context", "at", "g").mapInArrow(sorted_runs, "bucket int, run binary")
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "suffix binary, shared int")
+    runs = reps.select("context", "at", "g", "x", "m").mapInArrow(sorted_runs, "bucket int, run binary")
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "g long, x long, first int, last int")
 
 
 # ---- the whole --------------------------------------------------------------
 
 def _contexts(docs: DataFrame, reps: DataFrame, text: str, length: int) -> DataFrame:
-    """``reps`` (key, lo, width, at, g, m, parts) with the bytes of their contexts.
+    """``reps`` (key, lo, width, at, g, x, m, parts) with the bytes of their contexts.
 
     Copies of a text are folded before the shuffle, so a text that a third of
     all rows hold travels once per task."""
     t = text_of(text)
     texts = docs.where(F.octet_length(t) >= length).groupBy(text_key(t).alias("key")).agg(F.first(t.cast("binary")).alias("raw"))
-    wanted = reps.groupBy("key").agg(F.collect_list(F.struct("lo", "width", "at", "g", "m", "parts")).alias("own"))
+    wanted = reps.groupBy("key").agg(F.collect_list(F.struct("lo", "width", "at", "g", "x", "m", "parts")).alias("own"))
     joined = texts.join(wanted, "key").select("key", "raw", "own")
-    own = joined.select("key", "raw", F.explode("own").alias("r")).select(
-        "key", F.col("r.lo").alias("lo"), (F.col("r.at") - F.col("r.lo")).alias("at"), "r.g", "r.m", "r.parts",
+    return joined.select("raw", F.explode("own").alias("r")).select(
+        (F.col("r.at") - F.col("r.lo")).alias("at"), "r.g", "r.x", "r.m", "r.parts",
         F.substring(F.col("raw"), F.col("r.lo") + 1, F.col("r.width") + length).alias("context"))
-    return own.withColumn("suffix", F.unhex(F.md5(F.substring(F.col("context"), F.col("at") + 1, F.length("context")))))
 
 
 def _windows(reps: DataFrame, length: int) -> DataFrame:
-    """(g, part, key, lo, m, at, hashes): of every representative's windows that
-    its suffix shares far enough, their hashes; window i begins at lo + at[i].
-    A k-gram with very many contexts (``parts`` > 1) is split by window hash."""
-    schema = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("key", pa.binary()), ("lo", pa.int32()), ("m", pa.int64()),
+    """(g, part, x, m, at, hashes): the hashes of every representative's windows,
+    split into ``parts`` by window hash; at: the numbers of the windows."""
+    schema = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("x", pa.int64()), ("m", pa.int64()),
                         ("at", pa.binary()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                n = min(len(r["context"]) - length, r["at"] - length + r["shared"]) + 1
-                if n <= 0:
-                    continue
-                data = np.frombuffer(r["context"], np.uint8)[:n - 1 + length]
-                h, at = window_hashes(doubled(data, length), length, np.arange(n)), np.arange(n, dtype=np.uint16)
+                n = len(r["context"]) - length + 1
+                h = window_hashes(doubled(np.frombuffer(r["context"], np.uint8), length), length, np.arange(n))
+                at = np.arange(n, dtype=np.uint16)
                 for part in range(r["parts"]):
-                    own = slice(None) if r["parts"] == 1 else h % np.uint64(r["parts"]) == part
-                    out.append((r["g"], part, r["key"], r["lo"], r["m"], at[own].tobytes(), h[own].tobytes()))
+                    own = h % np.uint64(r["parts"]) == part
+                    if own.any():
+                        out.append((r["g"], part, r["x"], r["m"], at[own].tobytes(), h[own].tobytes()))
             columns = list(zip(*out, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return reps.select("g", "parts", "key", "lo", "m", "context", "at", "shared").mapInArrow(
-        hashed, "g long, part int, key binary, lo int, m long, at binary, hashes binary")
+    return reps.select("g", "parts", "x", "m", "context").mapInArrow(
+        hashed, "g long, part int, x long, m long, at binary, hashes binary")
 
 
-def _repeated_windows(windows: DataFrame, length: int) -> DataFrame:
-    """(key, start, end): runs of windows that another representative has too.
+def _hashed_repeats(windows: DataFrame) -> DataFrame:
+    """(g, x, first, last): runs of windows that another representative has too.
     ``windows`` lies sorted by (g, part), so equal windows are in one stretch."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -362,16 +404,16 @@ def _repeated_windows(windows: DataFrame, length: int) -> DataFrame:
             whole = np.concatenate(h) ^ np.repeat(gram, n) if len(h) else np.zeros(0, np.uint64)
             _, place, count = np.unique(whole, return_inverse=True, return_counts=True)
             twice = count[place] > 1
-            keys, starts, ends = [], [], []
+            out: list[tuple[int, int, int, int]] = []
             for r, a, b in zip(rows, np.cumsum(n) - n, np.cumsum(n), strict=True):
                 if r["m"] == 1 and twice[a:b].any():  # classes of several members repeat as a whole
                     at = np.frombuffer(r["at"], np.uint16)[twice[a:b]].astype(np.int64)
                     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
-                    keys += [r["key"]] * len(cut)
-                    starts += (r["lo"] + at[cut]).tolist()
-                    ends += (r["lo"] + at[np.r_[cut[1:], len(at)] - 1] + length).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                                              names=["key", "start", "end"])
+                    last = at[np.r_[cut[1:], len(at)] - 1]
+                    out += [(r["g"], r["x"], i, j) for i, j in zip(at[cut].tolist(), last.tolist(), strict=True)]
+            told = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names=["g", "x", "first", "last"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -383,7 +425,7 @@ def _repeated_windows(windows: DataFrame, length: int) -> DataFrame:
         yield done(held)
 
     dealt = windows.repartition("g", "part").sortWithinPartitions("g", "part")
-    return dealt.mapInArrow(counted, "key binary, start int, end int")
+    return dealt.mapInArrow(counted, "g long, x long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -392,25 +434,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     if not 2 * gram <= length:
         raise ValueError("the gram must be at most half as long as the strings")
     found = materialize(anchor_table(docs, text, length, gram), "anchors")
-    grams = found.groupBy("g").agg(F.sum("n").alias("total"), (F.min("x") != F.max("x")).alias("mixed"))
-    grams = grams.where("total > 1").select(F.col("g").alias("_g"), "mixed")
+    grams = found.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("g").alias("_g"))
     found = materialize(found.join(grams, found["g"] == grams["_g"]).drop("_g"), "repeated-anchors")
     least = F.min(F.struct("key", "lo", "width", "at")).alias("r")
-    classes = materialize(found.groupBy("g", "x").agg(F.sum("n").alias("m"), F.first("mixed").alias("mixed"), least), "classes")
-    equal = classes.where("m > 1").select(F.col("g").alias("_g"), F.col("x").alias("_x"))
-    whole = found.join(equal, (found["g"] == equal["_g"]) & (found["x"] == equal["_x"])).select(
-        "key", F.col("lo").alias("start"), (F.col("last") + length).alias("end"))
-
-    reps = classes.where("mixed")
-    # a k-gram with more contexts than one task should compare is split by window
-    many = reps.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")).where("parts > 1")
-    reps = reps.join(many, "g", "left").select("r.key", "r.lo", "r.width", "r.at", "g", "x", "m", F.coalesce("parts", F.lit(1)).alias("parts"))
+    classes = materialize(found.groupBy("g", "x").agg(F.sum("n").alias("m"), least), "classes")
+    many = classes.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")).where("parts > 1")
+    reps = classes.join(many, "g", "left").select("r.key", "r.lo", "r.width", "r.at", "g", "x", "m", F.coalesce("parts", F.lit(1)).alias("parts"))
     reps = materialize(_contexts(docs, reps, text, length), "contexts")
-    shared = materialize(shared_prefixes(reps, reps.count()), "shared")
-    reps = reps.join(shared, "suffix")
-    windows = _windows(reps, length)
-    some = _repeated_windows(windows, length)
-    spans = whole.union(some).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+    cold, hot = reps.where("parts = 1"), reps.where("parts > 1")
+    repeats = merged_repeats(cold, cold.count(), length, gram).union(_hashed_repeats(_windows(hot, length))).union(
+        hot.where("m > 1").select("g", "x", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")))
+    repeats = materialize(repeats, "repeats").select(F.col("g").alias("_g"), F.col("x").alias("_x"), "first", F.col("last").alias("until"))
+    spans = found.join(repeats, (found["g"] == repeats["_g"]) & (found["x"] == repeats["_x"])).select(
+        "key", (F.col("lo") + F.col("first")).alias("start"),
+        (F.coalesce(F.col("lo") + F.col("until"), F.col("last")) + length).alias("end"))
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.mapInArrow(_joined_spans, "key binary, spans array<struct<start:int,end:int>>")
 
 

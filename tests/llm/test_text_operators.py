@@ -265,17 +265,50 @@ def test_loser_tree_knows_prefixes():
     from roadpulse.llm import suffixes
     rnd = random.Random(3)
     for _ in range(60):
-        runs, whole = [], collections.Counter()
+        runs, whole = [], []
         for _ in range(rnd.randint(1, 7)):
-            c = collections.Counter(bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 30)))
-            whole += c
-            runs.append(suffixes.front_coded(sorted(c.items())))
+            own = [(bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))), b"%d" % rnd.randint(0, 9)) for _ in range(rnd.randint(0, 30))]
+            whole += own
+            runs.append(suffixes.front_coded(sorted(own)))
         got = list(suffixes.merged(runs))
-        assert [(s, n) for s, _, n in got] == sorted(whole.items())
+        assert sorted((s, more) for s, _, more in got) == sorted(whole)
+        assert [s for s, _, _ in got] == sorted(s for s, _ in whole)
         for (a, _, _), (b, h, _) in zip(got, got[1:], strict=False):
             assert h == suffixes.common_prefix(a, b)
 
 
+def test_repeats_follow_from_common_prefixes():
+    """Ranges read off merged suffixes against a comparison of all windows."""
+    import random
+    import struct
+
+    from roadpulse.llm import suffixes
+    rnd = random.Random(5)
+    length, gram = 12, 3
+    for _ in range(200):
+        # contexts around the anchor "abc", each with all its windows of 12 bytes
+        classes = {}
+        for x in range(rnd.randint(1, 40)):
+            left = bytes(rnd.choice(b"xy") for _ in range(rnd.randint(0, 9)))
+            right = bytes(rnd.choice(b"xy") for _ in range(rnd.randint(max(0, 9 - len(left)), 9)))
+            classes.setdefault((left, right), x)
+        runs = [[] for _ in range(3)]
+        for (left, right), x in classes.items():
+            rnd.choice(runs).append((b"abc" + right, struct.pack(suffixes.HEAD, 7, x, x % 10 == 0) + left[::-1]))
+        got = collections.defaultdict(set)
+        for g, x, first, last in suffixes.repeated_windows(suffixes.merged([suffixes.front_coded(sorted(r)) for r in runs]), length, gram):
+            assert g == 7
+            got[x] |= {"all"} if last is None else set(range(first, last + 1))
+        counts = collections.Counter()
+        for left, right in classes:
+            whole = left + b"abc" + right
+            counts.update((whole[i:i + length], len(left) - i) for i in range(len(whole) - length + 1))
+        for (left, right), x in classes.items():
+            whole = left + b"abc" + right
+            want = {i for i in range(len(whole) - length + 1) if counts[whole[i:i + length], len(left) - i] > 1}
+            assert got[x] == ({"all"} if x % 10 == 0 else want)
+
+
 # ---- operator 2 ---------------------------------------------------------------
 
 def test_elias_fano():
