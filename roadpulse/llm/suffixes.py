@@ -347,7 +347,7 @@ def merged_repeats(reps: DataFrame, n: int, length: int, gram: int) -> DataFrame
             yield done()
 
     runs = reps.select("context", "at", "g", "x", "m").mapInArrow(sorted_runs, "bucket int, run binary")
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "g long, x long, first int, last int")
+    return runs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "g long, x long, first int, last int")
 
 
 # ---- the whole --------------------------------------------------------------
