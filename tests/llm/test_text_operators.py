@@ -323,34 +323,39 @@ def test_elias_fano():
         assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_language_model(awkward, nothing, monkeypatch, small):
+@pytest.mark.parametrize(("small", "order", "min_context"), [(True, 3, 2), (False, 2, 1), (True, 4, 1)])
+def test_language_model(awkward, nothing, monkeypatch, small, order, min_context):
     from roadpulse.llm import ngram
     if small:
         monkeypatch.setattr(ngram, "BLOCK_BYTES", 3000)
         monkeypatch.setattr(ngram, "SHARD_BYTES", 2000)
     rows = [(i, [*(t or "").encode().lower().split(), b"\n"], i is not None and zlib.crc32(str(i).encode()) % 5 == 1)
             for i, t in rows_of(awkward)]
-    c, pair, after = collections.Counter(), collections.Counter(), collections.Counter()
+    # a context is the words before a token, the start mark among them, as far as there are any
+    def contexts(t, j):
+        return [tuple([None, *t][j + 1 - k:j + 1]) for k in range(1, min(order - 1, j + 1) + 1)]
+
+    c, gram, after = collections.Counter(), collections.Counter(), collections.Counter()
     for _, t, held in rows:
         if not held:
             c.update(t)
-            pair.update(zip([None, *t[:-1]], t, strict=True))
-            after.update([None, *t[:-1]])
-    follow = collections.Counter(a for a, _ in pair)
+            gram.update((a, w) for j, w in enumerate(t) for a in contexts(t, j))
+            after.update(a for j in range(len(t)) for a in contexts(t, j))
+    follow = collections.Counter(a for a, _ in gram)
     n, v = sum(c.values()), len(c)
     want = {}
     for i, t, held in rows:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         score = 0.0
-        for a, b in zip([None, *t[:-1]], t, strict=True):
+        for j, b in enumerate(t):
             p = (c[b] + 0.5) / (n + 0.5 * (v + 1))
-            if after[a]:
-                p = (max(pair[a, b] - 0.75, 0) + 0.75 * follow[a] * p) / after[a]
+            for a in contexts(t, j):
+                if after[a] >= (1 if len(a) == 1 else min_context):
+                    p = (max(gram[a, b] - 0.75, 0) + 0.75 * follow[a] * p) / after[a]
             score += math.log10(p)
         want.setdefault((i, held, len(t), sum(c[w] > 0 for w in t), n, round(base, 6)), []).append(score)
     got = {}
-    for r in ngram.score_documents(awkward).collect():
+    for r in ngram.score_documents(awkward, order=order, min_context=min_context).collect():
         got.setdefault((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)), []).append(r["score"])
     assert got.keys() == want.keys()
     for k, scores in want.items():
