@@ -145,3 +145,20 @@ def test_rounds_are_merged(spark, monkeypatch):
         for u, v, _ in edges:
             key = (min(u, v), max(u, v))
             assert got[key] == pytest.approx(ref.get(key, 0.0) / (n * (n - 1)), abs=1e-12)
+
+
+def test_line_items_are_joined_once(spark, monkeypatch):
+    from conftest import SF001
+
+    from roadpulse.plans import adapters, catalog_graph
+    read = []
+    scan = adapters.table
+
+    def seen(session, folder, name):
+        read.append(name)
+        return scan(session, folder, name)
+    monkeypatch.setattr(adapters, "table", seen)
+    monkeypatch.setattr(catalog_graph, "table", seen)
+    rows = catalog_graph.q_assign_centrality(spark, SF001).count()
+    assert read.count("lineitem") == 1
+    assert rows == scan(spark, SF001, "lineitem").count()
