@@ -34,6 +34,17 @@ def test_step_two(spark, network):
     assert got[4]["nearest_u"] is None and got[4]["centrality_score"] is None
 
 
+def test_step_two_counts_every_source_at_any_size(spark, network, monkeypatch):
+    """No size of the network from which some nodes only are sources."""
+    monkeypatch.setattr(graph, "EXACT_THRESHOLD_NODES", 2)
+    monkeypatch.setattr(graph, "K_PIVOTS", 1)
+    inc = spark.createDataFrame([(1, 12.901, 77.505), (3, 12.9, 77.515)], "incident_id long, latitude double, longitude double")
+    got = [r["centrality_score"] for r in enrich_incidents(inc, *network).collect()]
+    assert got == pytest.approx([2 / 3, 2 / 3])
+    one = [r["centrality_score"] for r in enrich_incidents(inc, *network, k=1).collect()]
+    assert one != pytest.approx([2 / 3, 2 / 3])  # pivots only where asked for
+
+
 def test_step_two_without_rows(network):
     inc = network[0].limit(0).select(F.col("node_id").alias("incident_id"), F.col("y").alias("latitude"), F.col("x").alias("longitude"))
     assert enrich_incidents(inc, *network).count() == 0
